@@ -17,8 +17,10 @@ KEPT_REPLIES = ("ok", "okay", "no", "yes", "hi", "hello", "good", "fine")
 SYSTEM_NOTICE = (r"^(以下为新消息|你已添加了|以上是打招呼的内容|收到了一条新消息|\[.*撤回.*\]"
                  r"|领了红包|收到了红包|发出了红包|拍了拍|以下为合并的消息"
                  r"|\d+条新消息|跳转到最新消息|查看更多消息|对方正在输入.*)$")
-SCREEN_SCRAP = r"^(?:\d+(?:\.\d+)?[KMGkmg]|[QO\d]{0,2}[:：]\d{1,2}|[A-Za-z]{1,3})$"
-BARE_NUMBER = r"(?U)^[\d\s.]+$"
+# White space around is part of the next patterns, so that no row is stripped just to be tested.
+SCREEN_SCRAP = r"(?U)^\s*(?:\d+(?:\.\d+)?[KMGkmg]|[QO\d]{0,2}[:：]\d{1,2}|[A-Za-z]{1,3})\s*$"
+BARE_NUMBER = r"(?U)^\s*[\d\s.]*[\d.][\d\s.]*$"
+MEANINGFUL = (r"(?Us)^\s*(?:(?=.*[一-鿿])\S.*\S|[\d.\-:/]{6,}|[A-Za-z0-9.\-:_/]{4,})\s*$")
 
 # Groups: year, month, day, recent day, week day, hour, minute, second.
 LABEL_SHAPES = (r"(?U)^(?:(?:(\d{4})\s*年\s*)?(\d{1,2})\s*月\s*(\d{1,2})\s*日|(昨天|前天)"

@@ -4,6 +4,7 @@ native bounds of ``operators.entities``."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -22,6 +23,10 @@ def _ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def _common(a: str, b: str) -> int:
+    return sum((Counter(a) & Counter(b)).values())
+
+
 def numbers_agree(a: str, b: str) -> bool:
     """A number of six or more digits on one side holds one of the other side."""
     return any(x in y or y in x for x in _LONG_NUMBER.findall(a) for y in _LONG_NUMBER.findall(b))
@@ -33,14 +38,32 @@ def fuzzy_same(a: str, b: str, threshold: float = K.FUZZY_RATIO) -> bool:
         return False
     if numbers_agree(a, b):
         return True
-    return abs(len(na) - len(nb)) <= max(2, len(na) // 3) and _ratio(na, nb) >= threshold
+    size = len(na) + len(nb)
+    # matched characters are common characters, so too few of those settle it
+    return (abs(len(na) - len(nb)) <= max(2, len(na) // 3) and 2 * _common(na, nb) / size >= threshold
+            and _ratio(na, nb) >= threshold)
 
 
 def window_contains(target: str, token: str, threshold: float = K.WINDOW_RATIO) -> bool:
     """Some stretch of the longer name resembles the whole shorter one (a cut name)."""
     t, n = _PUNCTUATION.sub("", target), _PUNCTUATION.sub("", token)
     k = len(t)
-    return 4 <= k < len(n) and any(_ratio(t, n[i:i + k]) >= threshold for i in range(len(n) - k + 1))
+    if not 4 <= k < len(n):
+        return False
+    # characters of the target not yet matched by the window, kept up to date while the window moves
+    left = Counter(t)
+    left.subtract(n[:k])
+    common = k - sum(v for v in left.values() if v > 0)
+    for i in range(len(n) - k + 1):
+        if common / k >= threshold and _ratio(t, n[i:i + k]) >= threshold:
+            return True
+        if i + k < len(n):
+            gone, come = n[i], n[i + k]
+            left[gone] += 1
+            common -= left[gone] > 0
+            common += left[come] > 0
+            left[come] -= 1
+    return False
 
 
 def subseq_drop(short: str, long: str) -> bool:

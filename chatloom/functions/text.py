@@ -36,23 +36,19 @@ def is_system_notice(c: Column | str) -> Column:
 
 def is_ui_noise(c: Column | str) -> Column:
     """File sizes, clock scraps and up to three Latin letters. Blank text is not noise."""
-    t = strip(F.coalesce(as_col(c), F.lit("")))
-    return t.rlike(K.SCREEN_SCRAP) & ~F.lower(t).isin(*K.KEPT_REPLIES)
+    t = F.coalesce(as_col(c), F.lit(""))
+    return t.rlike(K.SCREEN_SCRAP) & ~F.lower(strip(t)).isin(*K.KEPT_REPLIES)
 
 
 def is_bad_speaker(c: Column | str) -> Column:
-    s = strip(F.coalesce(as_col(c), F.lit("")))
-    return (s != "") & (is_ui_noise(s) | s.rlike(K.BARE_NUMBER))
+    s = F.coalesce(as_col(c), F.lit(""))
+    return is_ui_noise(s) | s.rlike(K.BARE_NUMBER)
 
 
 def is_meaningful(c: Column | str) -> Column:
     """Worth indexing: two or more characters with a CJK one, or a number or date of six, or an ASCII
     token of four."""
-    t = strip(F.coalesce(as_col(c), F.lit("")))
-    n = F.length(t)
-    return (n >= 2) & (t.rlike("[一-鿿]")
-                       | ((n >= 6) & t.rlike(r"^[\d.\-:/]+$"))
-                       | ((n >= 4) & t.rlike(r"^[A-Za-z0-9.\-:_/]+$")))
+    return F.coalesce(as_col(c).rlike(K.MEANINGFUL), F.lit(False))
 
 
 def voice_seconds(c: Column | str) -> Column:

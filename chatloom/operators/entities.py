@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.similarity import name_variant, same_reading, variant_of_any
 from ..functions.text import characters, norm_name
-from ..session import shared_dir
+from ..session import settle, shared_dir
 from .scan import fold_sorted, key_ddl
 
 
@@ -87,13 +87,22 @@ def _digit_grams() -> Column:
         F.sequence(F.lit(1), F.length(r) - 5), lambda i: F.substring(r, i, F.lit(6)))))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, keys: list[str] = []) -> DataFrame:
-    """Every (left, right) pair of distinct names that can be variants, as ``name`` and ``other``.
-    Loses none; see ``tests/test_entities.py`` for the check against all pairs."""
-    l, r = (_with_tokens(d.select(*keys, "name").distinct()) for d in (left, right))
-    counts = (l.select(F.explode("_tok").alias("token")).unionAll(r.select(F.explode("_tok").alias("token")))
-              .groupBy("token").agg(F.count("*").alias("df")))
-    l, r = (_rarest_first(d, counts, keys).withColumn("_num", _digit_grams()) for d in (l, r))
+def candidate_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[str] = []) -> DataFrame:
+    """Every (left, right) pair of distinct names that can be variants, as ``name`` and ``other``; within
+    ``left`` if ``right`` is not given. Loses none; ``tests/test_entities.py`` checks it against all pairs.
+
+    The tokenised names are stored first: they are small next to what they come from and are read by
+    each of the steps below.
+    """
+    sides = [left] if right is None else [left, right]
+    sides = [_with_tokens(d.select(*keys, "name").distinct()) for d in sides]
+    counts = None
+    for d in sides:
+        t = d.select(F.explode("_tok").alias("token"))
+        counts = t if counts is None else counts.unionAll(t)
+    counts = counts.groupBy("token").agg(F.count("*").alias("df"))
+    sides = [settle(_rarest_first(d, counts, keys).withColumn("_num", _digit_grams()), "names") for d in sides]
+    l, r = sides[0], sides[-1]
     one = l.select(*keys, "name", F.explode(_probes("one")).alias("_k"))
     other = r.select(*keys, F.col("name").alias("other"), F.explode(_probes("other")).alias("_k"))
     met = one.join(other, [*keys, "_k"]).filter("name <> other").select(*keys, "name", "other").distinct()
@@ -103,9 +112,12 @@ def candidate_pairs(left: DataFrame, right: DataFrame, keys: list[str] = []) ->
             .filter(_possible()).select(*keys, "name", "other"))
 
 
-def variant_pairs(left: DataFrame, right: DataFrame, keys: list[str] = []) -> DataFrame:
-    """Pairs where ``name`` (left) is a variant of ``other`` (right)."""
-    return candidate_pairs(left, right, keys).filter(name_variant("name", "other"))
+def variant_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[str] = []) -> DataFrame:
+    """Pairs where ``name`` (left) is a variant of ``other`` (right). Scoring costs far more than its bytes
+    suggest, so candidates are spread over all partitions first."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = candidate_pairs(left, right, keys).repartition(n, "name", "other")
+    return spread.filter(name_variant("name", "other"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
@@ -175,8 +187,8 @@ def dedupe_names(names: DataFrame, keys: list[str] = []) -> DataFrame:
     ``names`` holds (keys, pos, name); repeats of a name collapse to the first position beforehand.
     """
     first = names.groupBy(*keys, "name").agg(F.min("pos").alias("pos"))
-    first = first.withColumn("id", F.xxhash64(*keys, "name"))
-    pairs = variant_pairs(first, first, keys)
+    first = settle(first.withColumn("id", F.xxhash64(*keys, "name")), "first-readings")
+    pairs = variant_pairs(first, None, keys)
     ids = lambda c: F.xxhash64(*keys, F.col(c))
     edges = pairs.select(ids("name").alias("u"), ids("other").alias("v"))
     root = components(first.select("id"), edges)

@@ -66,8 +66,8 @@ def clean_speaker(messages: DataFrame) -> DataFrame:
 def meaningful_lines(lines: DataFrame, keys: list[str], order: str, k: int = 10) -> DataFrame:
     """Per key the first ``k`` different lines worth indexing, in order. Copies collapse in the partial
     aggregation, so a line repeated without end costs one row per task."""
-    t = lines.withColumn("text", strip("text"))
-    first = t.filter(is_meaningful("text")).groupBy(*keys, "text").agg(F.min(order).alias(order))
+    kept = lines.filter(is_meaningful("text")).select(*keys, strip("text").alias("text"), order)
+    first = kept.groupBy(*keys, "text").agg(F.min(order).alias(order))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     return first.withColumn("rank", rank).filter(F.col("rank") <= k)
 

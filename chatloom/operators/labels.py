@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
+from ..functions.constants import FIRST_YEAR
 from ..functions.timelabel import label_parts, parse_time_label
 from .scan import SCREENS_PER_SLICE, carry_scan, fold_sorted, key_ddl, slice_of
 
@@ -94,7 +94,7 @@ class _Summary:
             self.states = moved
         elif shape == "md" and (mo, d) != (2, 29):
             self.states = {}
-            for y in range(min(K.FIRST_YEAR, self.clk.year - 1), self.clk.year + 3):
+            for y in range(min(FIRST_YEAR, self.clk.year - 1), self.clk.year + 3):
                 t = self.clk.month_day((date(y, 1, 1).toordinal() - EPOCH, 0), int(mo), int(d), int(sod))
                 self.states.setdefault(t, []).append(y)
         elif shape == "md":
@@ -176,7 +176,8 @@ def resolve_labels(labels: DataFrame, as_of: datetime, keys: list[str], screen:
     rows = (labels.select(*keys, screen, cy, "text", slice_of(screen, width).alias("_slice"),
                           label_parts("text", as_of).alias("_p"))
             .select(*sliced, p["shape"].alias("shape"), F.unix_date(p["day"]).alias("day"), p["mo"].alias("mo"),
-                    p["d"].alias("d"), p["clock"].alias("clock"), screen, cy, "text"))
+                    p["d"].alias("d"), p["clock"].alias("clock"), screen, cy, "text")
+            .repartition(*sliced))      # one exchange serves the summary and the replay
     summary = fold_sorted(rows, sliced, [screen, cy, "text"], lambda: _Summary(as_of),
                           f"{ddl}, _slice bigint, fixed bigint, program array<array<int>>, "
                           "by_year array<array<bigint>>")

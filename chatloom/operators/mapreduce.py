@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.constants import CATEGORIES
 from ..functions.lines import parse_json_loose
 from ..functions.text import character_key
 from .scan import ROWS_PER_SLICE, fold_sorted, key_ddl, slice_of
@@ -148,7 +149,7 @@ def extract_by_rules(chunk: str) -> str:
     import json
     import re
 
-    out = {c: [] for c in K.CATEGORIES}
+    out = {c: [] for c in CATEGORIES}
     for line in chunk.split("\n"):
         date = re.search(r"\d{4}-\d{2}-\d{2}", line)
         if date:
@@ -182,7 +183,7 @@ def points_of(mapped: DataFrame, keys: list[str]) -> DataFrame:
     """Long form of the replies that could be read: one row per point, in reply order."""
     good = mapped.filter(F.col("raw").isNull())
     parts = None
-    for no, c in enumerate(K.CATEGORIES):
+    for no, c in enumerate(CATEGORIES):
         items = F.coalesce(F.try_variant_get("value", f"$.{c}", f"array<{POINT}>"),
                            F.array().cast(f"array<{POINT}>"))
         one = good.select(*keys, "chunk_no", F.lit(no).alias("category_no"), F.lit(c).alias("category"),
@@ -221,8 +222,8 @@ def points_json(merged: DataFrame, keys: list[str], order: list[str] = ["chunk_n
     entry = F.struct(F.col("_r"), F.to_json(F.struct(*fields)).alias("j"))
     per = near.groupBy(*keys, "category").agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["j"]), ", ").alias("j"))
-    wide = per.groupBy(*keys).agg(*[F.max(F.when(F.col("category") == c, F.col("j"))).alias(c) for c in K.CATEGORIES])
-    parts = [F.concat(F.lit(f'"{c}": ['), F.coalesce(c, F.lit("")), F.lit("]")) for c in K.CATEGORIES]
+    wide = per.groupBy(*keys).agg(*[F.max(F.when(F.col("category") == c, F.col("j"))).alias(c) for c in CATEGORIES])
+    parts = [F.concat(F.lit(f'"{c}": ['), F.coalesce(c, F.lit("")), F.lit("]")) for c in CATEGORIES]
     text = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
     return wide.select(*keys, F.substring(text, 1, chars).alias("points"))
 

@@ -44,7 +44,13 @@ def carry_scan(df: DataFrame, keys: list[str], piece: Column, order: list[Column
     inside = (Window.partitionBy(*keys, "_slice").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow))
     position = F.struct(*order)
-    ends = cut.groupBy(*keys, "_slice").agg(
+    telling = cut
+    if not total:       # rows without any value leave nothing behind; often that spares most of the scan
+        some = F.lit(False)
+        for e in last.values():
+            some = some | e.isNotNull()
+        telling = cut.filter(some)
+    ends = telling.groupBy(*keys, "_slice").agg(
         *[F.max_by(e, F.when(e.isNotNull(), position)).alias(n) for n, e in last.items()],
         *[F.sum(e).alias(n) for n, e in total.items()])
     earlier = (Window.partitionBy(*keys).orderBy("_slice")

@@ -11,7 +11,7 @@ from ..schema import BLOCK
 
 def place_blocks(raw: DataFrame, floor: float = 0.5) -> DataFrame:
     """Drop blocks below the score floor or without text; add edges and centre of the four corners."""
-    xs, ys = (F.transform("box", lambda p, i=i: p[i]) for i in (0, 1))
+    xs, ys = F.transform("box", lambda p: p[0]), F.transform("box", lambda p: p[1])
     mean = lambda v: (F.aggregate(v, F.lit(0), lambda a, x: a + x) / F.size(v)).cast("int")
     return (raw.withColumn("text", strip(F.coalesce("text", F.lit(""))))
             .withColumn("score", F.coalesce("score", F.lit(0.0)))
