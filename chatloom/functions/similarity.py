@@ -86,17 +86,22 @@ def same_reading(a: str, b: str) -> bool:
 
 
 @F.pandas_udf(BooleanType())
-def name_variant(a: pd.Series, b: pd.Series) -> pd.Series:
+def _score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x is not None and y is not None and same_reading(x, y) for x, y in zip(a, b)], dtype="bool")
 
 
+# Declared non-deterministic only to stay where it is written: the optimizer would otherwise move it below the
+# cheap bounds and the removal of repeated pairs.
+name_variant = _score.asNondeterministic()
+
+
 def variant_of_any(name: Column | str, wanted: list[str]) -> Column:
     """Whether a name is a reading of one of a few requested names (a job parameter)."""
     @F.pandas_udf(BooleanType())
     def hit(names: pd.Series) -> pd.Series:
         return pd.Series([n is not None and any(same_reading(n, w) for w in wanted) for n in names], dtype="bool")
 
-    return hit(as_col(name))
+    return hit.asNondeterministic()(as_col(name))
 
 
 def shared_digit_run(a: Column | str, b: Column | str) -> Column:

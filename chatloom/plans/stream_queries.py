@@ -1,0 +1,100 @@
+"""The streaming operators, run over a driver table until nothing is left."""
+
+from pyspark.sql import functions as F
+
+from ..functions.text import text_fingerprint
+from ..operators.selection import ledger_latest
+from ..session import shared_dir
+from ..streaming import sinks as ss
+from ..streaming import stateful as sf
+from ..streaming import windows as sw
+from . import views as v
+from .order_queries import KEPT, PARTS
+from .registry import query
+
+
+def _stream(spark, d, name):
+    """A driver table as a file stream."""
+    schema = v.table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _run(stream):
+    spark = stream.sparkSession
+    ss.use_durable_state(spark)
+    return ss.run_to_files(stream, shared_dir(spark, "stream-out"), shared_dir(spark, "stream-state"))
+
+
+# append mode hands out a window once the watermark (latest time less one hour) has passed its end
+CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query(f"""SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n FROM events GROUP BY 1, 2
+HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= {CLOSED}""")
+def stream_counts(spark, d):
+    return _run(sw.stream_counts(_stream(spark, d, "events"), ["event_type"]))
+
+
+@query(f"""SELECT window_start, count(*) AS n FROM (SELECT ts, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS window_start
+  FROM events CROSS JOIN range(4) r(k)) GROUP BY 1 HAVING window_start + INTERVAL 1 HOUR <= {CLOSED}""")
+def stream_rate(spark, d):
+    return _run(sw.stream_rate(_stream(spark, d, "events"), []))
+
+
+@query(f"""WITH p AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM (
+  SELECT user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE)::INT, 1) AS o FROM events))
+SELECT user_id, min(ts) AS pause_start, max(ts) + INTERVAL 30 MINUTE AS resume_at, count(*) AS n_events FROM p GROUP BY user_id, no
+HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}""")
+def stream_activity_pauses(spark, d):
+    return _run(sw.stream_activity_pauses(_stream(spark, d, "events"), ["user_id"], "30 minutes"))
+
+
+def _screen_lines(documents):
+    """Lines of each document with their rank among equal texts on the same screen of four, inside the row."""
+    lines = v.filled_lines(F.col("text"))
+    fps = F.transform(lines, lambda x: text_fingerprint(x))
+    named = documents.select(F.col("doc_id").alias("chat"), F.arrays_zip(lines.alias("text"), fps.alias("fp")).alias("rows"))
+    rank = F.size(F.filter(F.slice("rows", F.col("line_no") - F.col("line_no") % 4 + 1, F.col("line_no") % 4),
+                           lambda r: r["fp"] == F.col("fp")))
+    return (named.select("chat", "rows", F.posexplode("rows").alias("line_no", "r"))
+            .select("chat", "rows", "line_no", "r.text", "r.fp")
+            .select("chat", "fp", rank.cast("long").alias("rank"), F.floor(F.col("line_no") / 4).alias("screen_idx"), "text"))
+
+
+@query(v.with_views("SELECT chat, screen_idx, fp, rank, text FROM k", "lines", extra=KEPT))
+def stream_dedup_overlap(spark, d):
+    out = _run(sf.stream_dedup_overlap(_screen_lines(_stream(spark, d, "documents")), ["chat"]))
+    return out.filter("NOT late").select("chat", "screen_idx", "fp", "rank", "text")
+
+
+@query(v.with_views("SELECT chat, screen_idx, cy, text, ts FROM fold", "labels_", recursive=True, extra=PARTS))
+def stream_resolve_labels(spark, d):
+    labels = v.event_labels(v.with_seq(v.msg_events(spark, d)))
+    path = shared_dir(spark, "labels")
+    labels.write.parquet(path)
+    stream = spark.readStream.schema(labels.schema).parquet(path)
+    return _run(sf.stream_resolve_labels(stream, v.EVENTS_AS_OF, ["chat"]))
+
+
+@query()
+def stream_merge_names(spark, d):
+    p = _stream(spark, d, "pages")
+    r = v.reading_columns(p).withColumn("screen_idx", F.floor(F.col("pos") / 20).cast("int"))
+    out = _run(sf.stream_merge_names(r, ["list_id"]))
+    return out.groupBy("list_id", "no").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
+
+
+@query("""SELECT name, count(*) AS n, arg_max(CASE WHEN o_orderstatus <> 'F' THEN 'done' ELSE 'error' END,
+  (o_orderdate, o_orderkey)) AS status FROM (SELECT 'chat ' || o_custkey AS name, * FROM orders) GROUP BY 1""")
+def ledger_upsert(spark, d):
+    """Results appended to the ledger batch by batch; all of them are new to the first batch."""
+    o = _stream(spark, d, "orders")
+    bad = F.col("o_orderstatus") == "F"
+    results = o.select(F.concat(F.lit("chat "), F.col("o_custkey").cast("string")).alias("name"), (F.col("o_custkey") % 500).alias("messages"),
+                       F.when(bad, F.lit("timeout")).alias("error"), (F.col("o_orderdate") + F.make_dt_interval(
+                           F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") / 1e6).cast("decimal(18,6)"))).alias("at"))
+    path = shared_dir(spark, "ledger")
+    ss.upsert_ledger(results, path, shared_dir(spark, "stream-state"))
+    rows = spark.read.parquet(path)
+    latest = ledger_latest(rows, ["at"]).select("name", "status")
+    return rows.groupBy("name").agg(F.count("*").alias("n")).join(latest, "name")

@@ -142,9 +142,12 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
 def readings(spark: SparkSession, d: str) -> DataFrame:
     """Page addresses read as chat names, a list per top-level domain: site and path without what all
     addresses share. Page variants (anchors, tracking, trailing slashes) give variant readings."""
-    p = table(spark, d, "pages")
+    return reading_columns(table(spark, d, "pages"))
+
+
+def reading_columns(pages: DataFrame) -> DataFrame:
     name = F.regexp_replace("url", r"^https?://(?:(?:www|m|blog)\.)?|\.example\.(?:com|org|net)", "")
-    return p.select(F.regexp_extract("url", r"example\.([a-z]+)", 1).alias("list_id"), F.col("page_id").alias("pos"),
+    return pages.select(F.regexp_extract("url", r"example\.([a-z]+)", 1).alias("list_id"), F.col("page_id").alias("pos"),
                     name.alias("name")).filter("name <> ''")
 
 
