@@ -37,6 +37,9 @@ TIME_OR_BADGE = r"^(?:\d{1,2}:\d{2}|昨天|前天|(?:星期|周)[一二三四五
 PUNCTUATION_ONLY = r"(?U)^[\s·.。,，、()（）\[\]【】]{0,3}$"
 SEARCH_BOX = "^[以QO]?搜[索茶系文]?$"
 DATE_STAMP = r"^\d{1,2}-\d{1,2}$"
+# Any of the four above (or nothing) between white space, as one test.
+LAYOUT_SCRAP = r"(?U)^\s*(?:" + "|".join(
+    p.replace("(?U)", "").strip("^$") for p in (PUNCTUATION_ONLY, TIME_OR_BADGE, SEARCH_BOX, DATE_STAMP)) + r")\s*$"
 STAMP = (r"^(?:\d{1,2}:\d{2}|昨天|前天|(?:星期|周)[一二三四五六日天]"
          r"|(?:19|20)\d{2}[/.]\d{1,2}(?:[/.]\d{1,2})?|\d{1,2}[/-]\d{1,2}|\[\d+条\]|\d+条新消息?)$")
 STAMP_AFTER_REPAIR = (r"^(?:\d{1,2}:\d{2}|(?:19|20)\d{2}[/.]\d{1,2}(?:[/.]\d{1,2})?"

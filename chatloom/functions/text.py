@@ -12,6 +12,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Name a value once; without it nested conditions repeat the whole expression below them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", "")
 
@@ -72,16 +77,23 @@ def safe_name(c: Column | str, limit: int = 60, default: str = "chat") -> Column
 
 def strip_fused_suffix(c: Column | str) -> Column:
     """``struct(name, stamp)``: the name without a clock or date the reader glued to it, and that date."""
-    name = F.regexp_replace(strip(c), K.FUSED_CLOCK, "")
-    stamp = F.lit("")
-    for pattern in (K.FUSED_YEAR, K.FUSED_MONTH_DAY):
-        tail = F.regexp_extract(name, pattern, 1)
-        rest = strip(F.substring(name, F.lit(1), F.length(name) - F.length(tail)))
-        take = (tail != "") & (F.length(rest) >= 2)
-        stamp = F.when(take, tail).otherwise(stamp)
-        name = F.when(take, rest).otherwise(name)
-    name = strip(F.regexp_replace(name, K.NAME_TAIL, ""))
-    return F.struct(name.alias("name"), stamp.alias("stamp"))
+    def cut(pattern: str):
+        def step(v: Column) -> Column:
+            tail = F.regexp_extract(v["name"], pattern, 1)
+            return let(F.struct(v["name"].alias("name"), v["stamp"].alias("stamp"), tail.alias("tail"), strip(
+                F.substring(v["name"], F.lit(1), F.length(v["name"]) - F.length(tail))).alias("rest")), choose)
+        return step
+
+    def choose(v: Column) -> Column:
+        take = (v["tail"] != "") & (F.length(v["rest"]) >= 2)
+        return F.struct(F.when(take, v["rest"]).otherwise(v["name"]).alias("name"),
+                        F.when(take, v["tail"]).otherwise(v["stamp"]).alias("stamp"))
+
+    def tidy(v: Column) -> Column:
+        return F.struct(strip(F.regexp_replace(v["name"], K.NAME_TAIL, "")).alias("name"), v["stamp"].alias("stamp"))
+
+    whole = F.struct(F.regexp_replace(strip(c), K.FUSED_CLOCK, "").alias("name"), F.lit("").alias("stamp"))
+    return let(let(let(whole, cut(K.FUSED_YEAR)), cut(K.FUSED_MONTH_DAY)), tidy)
 
 
 def character_key(c: Column | str, limit: int = 80) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import as_col, strip
+from .text import as_col, let, strip
 
 
 def ntz(t: datetime) -> Column:
@@ -25,11 +25,6 @@ def is_time_label(c: Column | str) -> Column:
     return F.coalesce(as_col(c).rlike(K.TIME_LABEL), F.lit(False))
 
 
-def let(value: Column, body) -> Column:
-    """Name a value once; without it nested conditions repeat the whole expression below them."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _moment(day: Column, clock: Column) -> Column:
     zero = F.lit(0)
     return day.cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, clock.cast("decimal(18,6)"))

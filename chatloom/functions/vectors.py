@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_col
+from .text import as_col, let
 
 
 def vector_dhash(c: Column | str, width: int | None = None) -> Column:
@@ -20,7 +20,7 @@ def vector_dhash(c: Column | str, width: int | None = None) -> Column:
 
 
 def _total(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
 
 def vectors_equal(a: Column | str, b: Column | str, eps: float = 1.5) -> Column:
@@ -34,12 +34,16 @@ def vectors_relate(a: Column | str, b: Column | str) -> Column:
     """Mean-centred normalised inner product; 0 where either side has no contrast."""
     a, b = as_col(a), as_col(b)
 
-    def centred(v: Column) -> Column:
-        d = F.transform(v, lambda x: x.cast("double"))
-        mean = _total(d) / F.size(d)
-        return F.transform(d, lambda x: x - mean)
+    def products(mean: Column) -> Column:
+        def add(acc: Column, z: Column) -> Column:
+            x, y = z["x"] - mean["a"], z["y"] - mean["b"]
+            return F.struct((acc["xy"] + x * y).alias("xy"), (acc["xx"] + x * x).alias("xx"), (acc["yy"] + y * y).alias("yy"))
 
-    ca, cb = centred(a), centred(b)
-    norm = F.sqrt(_total(F.transform(ca, lambda x: x * x))) * F.sqrt(_total(F.transform(cb, lambda x: x * x)))
-    dot = _total(F.zip_with(ca, cb, lambda x, y: x * y))
-    return F.when((F.size(a) == F.size(b)) & (norm > 1e-6), dot / norm).otherwise(0.0)
+        both = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+        zero = F.struct(*[F.lit(0.0).alias(n) for n in ("xy", "xx", "yy")])
+        return F.aggregate(both, zero, add, lambda s: F.struct(
+            s["xy"].alias("xy"), (F.sqrt(s["xx"]) * F.sqrt(s["yy"])).alias("norm")))
+
+    means = F.struct((_total(a) / F.size(a)).alias("a"), (_total(b) / F.size(b)).alias("b"))
+    ratio = let(let(means, products), lambda p: F.when(p["norm"] > 1e-6, p["xy"] / p["norm"]).otherwise(0.0))
+    return F.when(F.size(a) == F.size(b), ratio).otherwise(0.0)

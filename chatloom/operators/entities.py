@@ -38,9 +38,13 @@ def _rarest_first(names: DataFrame, counts: DataFrame, keys: list[str]) -> DataF
     return names.join(ranked, [*keys, "name"], "left").withColumn("_rare", F.coalesce("_rare", F.array().cast("array<string>")))
 
 
+# How two names can meet, as the first part of a blocking key.
+SAME, NUMBER, SHORT_IN_LONG, LONG_OVER_SHORT, DROPPED, KEPT = range(6)
+
+
 def _probes(role: str) -> Column:
-    """Blocking keys of a name. ``role`` is ``one`` or ``other``; the contained name of a pair may be on
-    either side, so each side emits both its short-form and its long-form keys.
+    """Blocking keys of a name as ``(kind, token, place)``. ``role`` is ``one`` or ``other``; the contained name
+    of a pair may be on either side, so each side emits both its short-form and its long-form keys.
 
     same      overlap of at least 0.35 (la + lb) with close lengths: rare-token prefix on both sides
     inside    a window of the longer name covers 0.8 of the shorter: the shorter one's rare prefix
@@ -50,9 +54,11 @@ def _probes(role: str) -> Column:
     number    a digit run of six or more inside another: six-digit grams
     """
     n, rare = F.col("_n"), F.col("_rare")
+    none = F.array().cast("array<string>")
 
-    def keyed(kind: str, tokens: Column) -> Column:
-        return F.transform(tokens, lambda t: F.concat(F.lit(kind + "|"), t))
+    def keyed(kind: int, tokens: Column) -> Column:
+        return F.transform(F.coalesce(tokens, none), lambda t, i: F.struct(
+            F.lit(kind).alias("kind"), t.alias("token"), i.alias("place")))
 
     close = F.ceil(F.lit(0.35) * (2 * n - F.greatest(F.lit(2), F.floor(n / 3))) - F.lit(1e-9))
     same = F.when(n >= 2, F.slice(rare, F.lit(1), F.greatest(F.lit(1), n - close + 1).cast("int")))
@@ -61,13 +67,21 @@ def _probes(role: str) -> Column:
     first = F.substring(norm_name("name"), 1, 1)
     short_drop = F.when(n >= 4, F.transform(F.slice(rare, 1, 1), lambda t: F.concat(first, t)))
     long_drop = F.when(n >= 5, F.transform(F.slice(rare, 1, 7), lambda t: F.concat(first, t)))
-    none = F.array().cast("array<string>")
-    a, b = ("s", "l") if role == "one" else ("l", "s")
-    # in-a / in-b: this side's short form meets the other side's long form, and the other way round
-    parts = [keyed("same", F.coalesce(same, none)), keyed("num", F.coalesce(F.col("_num"), none)),
-             keyed(f"in{a}", F.coalesce(short_in, none)), keyed(f"in{b}", F.when(n >= 5, rare).otherwise(none)),
-             keyed(f"drop{a}", F.coalesce(short_drop, none)), keyed(f"drop{b}", F.coalesce(long_drop, none))]
-    return F.array_distinct(F.flatten(F.array(*parts)))
+    # this side's short form meets the other side's long form, and the other way round
+    short, long, cut, full = ((SHORT_IN_LONG, LONG_OVER_SHORT, DROPPED, KEPT) if role == "one"
+                              else (LONG_OVER_SHORT, SHORT_IN_LONG, KEPT, DROPPED))
+    return F.flatten(F.array(keyed(SAME, same), keyed(NUMBER, F.array_distinct("_num")), keyed(short, short_in),
+                             keyed(long, F.when(n >= 5, rare)), keyed(cut, short_drop), keyed(full, long_drop)))
+
+
+def _fits() -> Column:
+    """Length bounds of a meeting, and for ``same`` how many common characters can still follow the first
+    common token. A later common token may fail this; the first one of a real pair never does."""
+    n, m, kind = F.col("_n"), F.col("_m"), F.col("_p.kind")
+    rest = F.least(n - F.col("_p.place"), m - F.col("_q.place"))
+    gap = F.abs(n - m)
+    return (F.when(kind == SAME, (gap <= F.greatest(F.lit(2), F.floor(F.greatest(n, m) / 3))) & (rest >= 0.35 * (n + m) - 1e-9))
+            .when(kind.isin(SHORT_IN_LONG, DROPPED), n < m).when(kind.isin(LONG_OVER_SHORT, KEPT), n > m).otherwise(True))
 
 
 def _possible() -> Column:
@@ -103,13 +117,20 @@ def candidate_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[
     counts = counts.groupBy("token").agg(F.count("*").alias("df"))
     sides = [settle(_rarest_first(d, counts, keys).withColumn("_num", _digit_grams()), "names") for d in sides]
     l, r = sides[0], sides[-1]
-    one = l.select(*keys, "name", F.explode(_probes("one")).alias("_k"))
-    other = r.select(*keys, F.col("name").alias("other"), F.explode(_probes("other")).alias("_k"))
-    met = one.join(other, [*keys, "_k"]).filter("name <> other").select(*keys, "name", "other").distinct()
+    one = l.select(*keys, "name", "_n", F.explode(_probes("one")).alias("_p"))
+    other = r.select(*keys, F.col("name").alias("other"), F.col("_n").alias("_m"), F.explode(_probes("other")).alias("_q"))
+    meet = [one[k] == other[k] for k in keys] + [one["_p.kind"] == other["_q.kind"], one["_p.token"] == other["_q.token"]]
+    # bounds are symmetric: within one table each pair is formed once and turned round at the end
+    apart = F.col("name") < F.col("other") if right is None else F.col("name") != F.col("other")
+    met = one.join(other, meet).filter(apart & _fits()).select(*[one[k] for k in keys], "name", "other").distinct()
     side = lambda d, s, as_: d.select(*keys, F.col("name").alias(as_), *[
         F.col(c).alias(f"{c}_{s}") for c in ("_tok", "_n", "_num")])
-    return (met.join(side(l, "a", "name"), [*keys, "name"]).join(side(r, "b", "other"), [*keys, "other"])
+    near = (met.join(side(l, "a", "name"), [*keys, "name"]).join(side(r, "b", "other"), [*keys, "other"])
             .filter(_possible()).select(*keys, "name", "other"))
+    if right is not None:
+        return near
+    turn = F.array(F.struct("name", "other"), F.struct(F.col("other").alias("name"), F.col("name").alias("other")))
+    return near.select(*keys, F.explode(turn).alias("_t")).select(*keys, "_t.name", "_t.other")
 
 
 def variant_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[str] = []) -> DataFrame:

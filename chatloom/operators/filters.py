@@ -80,11 +80,10 @@ def skip_system_chats(names: DataFrame, skip: tuple[str, ...] = K.SYSTEM_CHATS,
 def layout_denoise(blocks: DataFrame, list_width: int = 0) -> DataFrame:
     """Blocks of a list screen that can be part of an item name or preview."""
     right = int((list_width or 10 ** 6) * K.RIGHT_SHARE)
-    t = strip(F.coalesce("text", F.lit("")))
-    scrap = (t == "") | t.rlike(K.PUNCTUATION_ONLY) | t.rlike(K.TIME_OR_BADGE) | t.rlike(K.SEARCH_BOX) \
-        | t.rlike(K.DATE_STAMP)
+    t = F.coalesce("text", F.lit(""))
+    scrap = t.rlike(K.LAYOUT_SCRAP)
     if list_width:
-        scrap = scrap | ((F.col("cx") > right) & t.rlike(r"(?U)^\d+$"))
+        scrap = scrap | ((F.col("cx") > right) & t.rlike(r"(?U)^\s*\d+\s*$"))
     return blocks.filter((F.col("cy") >= K.TOP_BAND) & ~scrap)
 
 

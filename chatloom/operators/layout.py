@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.stamps import is_stamp
-from ..functions.text import strip, strip_fused_suffix
+from ..functions.text import let, strip, strip_fused_suffix
 from ..functions.timelabel import is_time_label
 from .filters import layout_denoise
 from .scan import fold_sorted, key_ddl
@@ -35,10 +35,11 @@ def item_name(clustered: DataFrame, keys: list[str], seq: str = "seq") -> DataFr
     glued to it. Items without a usable name drop out."""
     top = F.min_by(F.struct("text"), F.struct("line", "cx", "cy", seq))
     items = clustered.groupBy(*keys, "item").agg(top.alias("t"), F.min("cy").alias("row_y"))
-    clean = items.withColumn("c", strip_fused_suffix("t.text"))
-    name = F.col("c.name")
-    return (clean.filter((F.length(name) >= 2) & ~name.rlike(K.TIME_OR_BADGE))
-            .select(*keys, "item", "row_y", name.alias("name"), F.col("c.stamp").alias("fused")))
+    # usable or NULL: one value to test, so that the filter does not repeat the cleaning
+    usable = let(strip_fused_suffix("t.text"), lambda c: F.when(
+        (F.length(c["name"]) >= 2) & ~c["name"].rlike(K.TIME_OR_BADGE), c))
+    clean = items.withColumn("c", usable).filter(F.col("c").isNotNull())
+    return clean.select(*keys, "item", "row_y", F.col("c.name").alias("name"), F.col("c.stamp").alias("fused"))
 
 
 def row_stamp(items: DataFrame, blocks: DataFrame, keys: list[str], list_width: int,

@@ -23,8 +23,7 @@ def tail_cut(kept: DataFrame, keys: list[str], order: str = "pos", older: str =
     """A list runs from recent to old, so everything after its last row that is proven recent goes. A list
     without such a row stays whole. The cut is one maximum per list, not an ordered window."""
     last = (kept.filter(F.col(older) == F.lit(False)).groupBy(*keys).agg(F.max(order).alias("_last")))
-    out = kept.join(last, keys, "left") if keys else kept.join(last, F.lit(1) == F.lit(1), "left")
-    return out.filter(F.col("_last").isNull() | (F.col(order) <= F.col("_last"))).drop("_last")
+    return kept.join(last, keys, "left").filter(F.col("_last").isNull() | (F.col(order) <= F.col("_last"))).drop("_last")
 
 
 def select_active(names: DataFrame, stamps: DataFrame, spec: str, as_of: datetime, keys: list[str],
@@ -74,11 +73,12 @@ def drop_failed(latest: DataFrame) -> DataFrame:
 
 def batch_summary(ledger: DataFrame, skipped: DataFrame, by: list[str] = []) -> DataFrame:
     """done, failed, skipped and messages of one run (or of each ``by``)."""
-    run = ledger.groupBy(*by).agg(
-        F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "error").alias("failed"),
-        F.coalesce(F.sum(F.when(F.col("status") == "done", F.col("messages"))), F.lit(0)).alias("messages"))
+    ok = F.col("status") == "done"
+    run = ledger.groupBy(*by).agg(F.count_if(ok).alias("done"), F.count_if(F.col("status") == "error").alias("failed"),
+                                  F.sum(F.when(ok, F.col("messages")).cast("long")).alias("messages"))
     left = skipped.groupBy(*by).agg(F.count("*").alias("skipped"))
-    both = run.join(left, by, "full") if by else run.join(left, F.lit(1) == F.lit(1), "full")
+    both = run.unionByName(left, allowMissingColumns=True).groupBy(*by).agg(
+        *[F.max(c).alias(c) for c in ("done", "failed", "skipped", "messages")])
     return both.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("done", "failed", "skipped", "messages")])
 
 

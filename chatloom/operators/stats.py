@@ -167,13 +167,14 @@ def stats_brief(messages: DataFrame, by: list[str], parity: bool = False) -> Dat
 
 def report_overview(messages: DataFrame, by: list[str] = []) -> DataFrame:
     """The six headline figures as (no, metric, value) rows."""
-    days = by_day(messages, by)
+    kinds = ("text", "image", "voice")
     agg = messages.groupBy(*by).agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("text", "image", "voice")])
+        F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
     best = F.max(F.struct(F.col("n"), (-F.unix_date("day")).alias("r"), F.col("day")))
-    d = days.groupBy(*by).agg(F.count("*").alias("active"), best.alias("b"))
-    # one row on each side when there is no grouping
-    both = agg.join(d, by, "left") if by else agg.join(d, F.lit(1) == F.lit(1), "left")
+    d = by_day(messages, by).groupBy(*by).agg(F.count("*").alias("active"), best.alias("b"))
+    # one row per report on either side: stacked and folded, which needs no join
+    both = agg.unionByName(d, allowMissingColumns=True).groupBy(*by).agg(
+        *[F.max(c).alias(c) for c in ("n", *kinds, "active", "b")])
     rows = [("消息总量", F.format_string("%d 条", "n")), ("文字消息", F.format_string("%d 条", "text")),
             ("图片消息", F.format_string("%d 条", "image")), ("语音消息", F.format_string("%d 条", "voice")),
             ("活跃天数", F.format_string("%d 天", F.coalesce("active", F.lit(0)))),

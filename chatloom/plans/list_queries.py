@@ -303,14 +303,13 @@ def shared_digit_run_pairs(spark, d):
             .select("pos", shared_digit_run("name", "other").alias("shared")))
 
 
-@query("""SELECT doc_id, length(n) >= 5 AS dropped FROM (
-  SELECT doc_id, regexp_replace(substr(text, 1, 12), '[\\s\\p{Z}·.。:：()（）\\[\\]【】\\-—_]+', '', 'g') AS n FROM documents)""")
-def subseq_drop_openings(spark, d):
-    # dropping any one character but the first of a name of five or more gives such a reading
-    n = norm_name(F.substring("text", 1, 12))
-    cut = F.concat(F.substring(n, 1, 2), F.substring(n, F.lit(4), F.length(n)))
-    t = v.table(spark, d, "documents").select("doc_id", n.alias("name"), cut.alias("cut"))
-    return t.select("doc_id", is_subseq_drop("cut", "name").alias("dropped"))
+@query("""SELECT page_id AS pos, length(n) >= 5 AS dropped FROM (SELECT page_id, regexp_replace(regexp_replace(
+  url, '^https?://((www|m|blog)\\.)?|\\.example\\.(com|org|net)', '', 'g'), '[\\s\\p{Z}·.。:：()（）\\[\\]【】\\-—_]+', '', 'g') AS n FROM pages)""")
+def subseq_drop_readings(spark, d):
+    # leaving out one character after the second makes a reading of any name that keeps four
+    n = norm_name("name")
+    cut = F.concat(F.substring(n, F.lit(1), F.lit(2)), F.substring(n, F.lit(4), F.length(n)))
+    return v.readings(spark, d).select("pos", is_subseq_drop(cut, n).alias("dropped"))
 
 
 @query()

@@ -50,11 +50,11 @@ def parse_message_ts(spark, d):
     return e.select("event_id", ch.parse_message_ts(stored).alias("ts"))
 
 
-@query(MSG("""SELECT chat, event_id, kind, ts FROM msg WHERE chat IN (3, 5, 8) AND
-(ts IS NULL OR ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09 23:59:59')"""))
+@query(MSG("""SELECT chat, event_id, kind, ts FROM msg
+WHERE ts IS NULL OR ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09 23:59:59'"""))
 def extract_source(spark, d):
     rg.register_source("events", lambda s, path: v.msg_events(s, path).withColumn("seq", F.col("event_id")))
-    m = rg.extract(spark, "events", [3, 5, 8], "2024-01-05~2024-01-09", datetime(2024, 2, 1), path=d)
+    m = rg.extract(spark, "events", window="2024-01-05~2024-01-09", as_of=datetime(2024, 2, 1), path=d)
     return m.select("chat", "event_id", "kind", "ts")
 
 

@@ -24,11 +24,13 @@ def get_spark(master: str | None = None, **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the cluster's ``spark.checkpoint.dir``; a local one only where that is
-    unset, as in tests."""
+    """A fresh folder under the cluster's ``spark.checkpoint.dir``. Where that is unset a temporary folder
+    serves, but only for a local master: on a cluster no machine sees another's temporary files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="chatloom-")
         spark.sparkContext.setCheckpointDir(base)

@@ -1,8 +1,9 @@
 """Operators with their own state: overlap removal, label carry and the running name list.
 
-State is keyed so that one busy chat spreads: overlap removal keeps one number per (chat, text, rank). Rows
-of a key are put in screen order inside a batch; screens must arrive in order across batches, and what
-comes too late is handed out with ``late = true`` instead of being dropped.
+State is small and does not grow: overlap removal keeps the texts of the last two screens, labels one time,
+names the last sixteen. Rows of a key are put in screen order inside a batch; screens must arrive in
+order across batches, and what comes too late is handed out with ``late = true`` instead of being
+dropped.
 """
 
 from __future__ import annotations
@@ -28,39 +29,48 @@ def _batch(rows, order: list[str]) -> pd.DataFrame:
 
 
 class _Overlap(StatefulProcessor):
-    def __init__(self, keys, window, ttl_ms):
-        self.keys, self.window, self.ttl_ms = keys, window, ttl_ms
+    """Remembers which texts stood on the last ``window - 1`` screens."""
+
+    def __init__(self, columns, window):
+        self.columns, self.window = columns, window
 
     def init(self, handle):
-        self.last = handle.getValueState("last", T.StructType([T.StructField("screen", T.LongType())]),
-                                         **({"ttlDurationMs": self.ttl_ms} if self.ttl_ms else {}))
+        self.recent = handle.getValueState("recent", T.StructType([
+            T.StructField("top", T.LongType()), T.StructField("screens", T.ArrayType(T.LongType())),
+            T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("ranks", T.ArrayType(T.LongType()))]))
 
     def handleInputRows(self, key, rows, timers):
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
+        top, last = None, {}
+        if self.recent.exists():
+            top, screens, texts, ranks = self.recent.get()
+            last = {(t, r): s for s, t, r in zip(screens, texts, ranks)}
+        start, out = top, []
         for row in _batch(rows, ["screen_idx"]).to_dict("records"):
-            screen = int(row["screen_idx"])
-            late = last is not None and screen <= last
-            if late or last is None or screen - last >= self.window:
+            screen, what = int(row["screen_idx"]), (row["fp"], int(row["rank"]))
+            before = last.get(what)
+            late = start is not None and (screen < start or before == screen)
+            if late or before is None or screen - before >= self.window:
                 out.append({**row, "late": late})
             if not late:
-                last = screen
-        self.last.update((last,))
+                last[what] = screen
+                top = screen if top is None else max(top, screen)
+        kept = [(s, t, r) for (t, r), s in last.items() if top - s < self.window]
+        self.recent.update((top, *([list(c) for c in zip(*kept)] if kept else ([], [], []))))
         if out:
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out)[[*self.columns, "late"]]
 
     def close(self):
         pass
 
 
-def stream_dedup_overlap(stream: DataFrame, keys: list[str], window: int = K.DEDUP_SCREENS,
-                         ttl_ms: int | None = None) -> DataFrame:
+def stream_dedup_overlap(stream: DataFrame, keys: list[str], window: int = K.DEDUP_SCREENS, spread: int = 4) -> DataFrame:
     """Streaming ``dedup_overlap`` on (keys, fp, rank, screen_idx, text). Repeats refresh the last screen, so
-    ``dropDuplicatesWithinWatermark`` would not do. ``ttl_ms`` lets state of silent texts expire."""
+    ``dropDuplicatesWithinWatermark`` would not do. Texts of a chat never depend on each other, so each
+    chat is split by text into ``spread`` parts: raise it for streams with one very busy chat."""
     cols = [*keys, "fp", "rank", "screen_idx", "text"]
-    s = stream.select(*cols)
-    return s.groupBy(*keys, "fp", "rank").transformWithStateInPandas(
-        _Overlap(keys, window, ttl_ms), f"{key_ddl(s, cols)}, late boolean", "append", "none")
+    s = stream.select(*cols, F.pmod(F.xxhash64("fp"), F.lit(spread)).alias("_part"))
+    return s.groupBy(*keys, "_part").transformWithStateInPandas(
+        _Overlap(cols, window), f"{key_ddl(s, cols)}, late boolean", "append", "none")
 
 
 class _Labels(StatefulProcessor):
