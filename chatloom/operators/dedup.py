@@ -26,21 +26,28 @@ def dedup_overlap(ranked: DataFrame, keys: list[str], window: int = K.DEDUP_SCRE
     A key occurs at most once per screen, so this is a look-back of two screens: slices of the screen
     axis with a two-screen halo bound each group, and one shuffle serves it.
     """
-    cut = with_halo(ranked, screen, SCREENS_PER_SLICE, window - 1)
-    w = Window.partitionBy(*keys, fp, "rank", "_slice").orderBy(screen)
-    before = F.lag(screen).over(w)
+    return _unseen(with_halo(ranked, screen, SCREENS_PER_SLICE, window - 1), keys, window, screen, fp)
+
+
+def _unseen(cut: DataFrame, keys: list[str], window: int, screen: str, fp: str) -> DataFrame:
+    before = F.lag(screen).over(Window.partitionBy(*keys, fp, "_slice", "rank").orderBy(screen))
     return (cut.withColumn("_before", before)
             .filter(~F.col("_ghost") & (F.col("_before").isNull() | (F.col(screen) - F.col("_before") >= window)))
             .drop("_before", "_slice", "_ghost"))
 
 
 def compose_messages(blocks: DataFrame, keys: list[str], window: int = K.DEDUP_SCREENS,
-                     order: list[str] | None = None) -> DataFrame:
+                     order: list[str] | None = None, screen: str = "screen_idx") -> DataFrame:
     """Fingerprint, rank, overlap removal and notice removal, in that order: a notice counts for the
-    overlap but is no message."""
+    overlap but is no message.
+
+    Rows are placed once by (chat, text, slice of screens). That holds both the rank on a screen and the
+    look-back across screens, so the text is shuffled a single time.
+    """
     fp = blocks.withColumn("fp", text_fingerprint("text", F.col("kind") if "kind" in blocks.columns else None))
-    kept = dedup_overlap(occurrence_rank(fp, keys, order=order), keys, window)
-    return kept.filter(~is_system_notice("text"))
+    placed = with_halo(fp, screen, SCREENS_PER_SLICE, window - 1).repartition(*keys, "fp", "_slice")
+    ranked = occurrence_rank(placed, [*keys, "_slice"], screen, order)
+    return _unseen(ranked, keys, window, screen, "fp").filter(~is_system_notice("text"))
 
 
 def frame_text_set(blocks: DataFrame, keys: list[str], screen: str = "screen_idx") -> DataFrame:

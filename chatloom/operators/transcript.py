@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.lines import doc_line, model_line
+from ..functions.lines import doc_line, model_line, resolved_title
 from ..functions.text import is_ui_noise
 from .scan import ROWS_PER_SLICE, carry_scan, number_rows, slice_of
 
@@ -25,29 +25,38 @@ def reading_position(ordered: DataFrame, keys: list[str], seq: str = "seq", span
     return number_rows(ordered, keys, piece, [F.col("at").asc_nulls_first(), F.col(seq)], "pos")
 
 
-def date_separators(ordered: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+def date_separators(messages: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """One header row per day, placed before its first dated message.
 
     In reading order the days of dated messages never go back, so a day changes exactly at the least
-    (``at``, ``seq``) of its dated messages: an aggregation per day instead of a look-back.
+    (``ts``, ``seq``) of its messages: an aggregation per day instead of a look-back.
     """
-    dated = ordered.filter(F.col("ts").isNotNull())
-    first = F.min(F.struct("at", seq))
+    dated = messages.filter(F.col("ts").isNotNull())
+    first = F.min(F.struct("ts", seq))
     return (dated.groupBy(*keys, F.to_date("ts").alias("day")).agg(first.alias("f"))
-            .select(*keys, F.col("f.at").alias("at"), F.col(f"f.{seq}").alias(seq), "day",
+            .select(*keys, F.col("f.ts").alias("at"), F.col(f"f.{seq}").alias(seq), "day",
                     F.date_format("day", "'■ 'yyyy'年'MM'月'dd'日'").alias("line")))
 
 
 def transcript_lines(messages: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """Lines of the readable transcript in (keys, at, seq, part) order: date headers and messages without
     screen scraps."""
-    ordered = chrono_order(messages, keys, seq)
     scrap = ~F.col("kind").isin("voice", "image") & is_ui_noise("text")
-    body = ordered.filter(~scrap).select(*keys, "at", seq, F.lit(1).alias("part"), doc_line().alias("line"))
-    heads = date_separators(ordered, keys, seq).select(*keys, "at", seq, F.lit(0).alias("part"), "line")
+    body = (chrono_order(messages, keys, seq).filter(~scrap)
+            .select(*keys, "at", seq, F.lit(1).alias("part"), doc_line().alias("line")))
+    heads = date_separators(messages, keys, seq).select(*keys, "at", seq, F.lit(0).alias("part"), "line")
     return body.unionByName(heads)
 
 
+def report_titles(chats: DataFrame, keys: list[str], title: Column, template: Column) -> DataFrame:
+    """Title of each report. Only thirty characters of the joined chat names can show, so thirty-one
+    names per report are enough; the rank limit applies before the shuffle."""
+    each = chats.select(*keys, F.col("chat").cast("string").alias("_c")).distinct()
+    near = (each.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_c"))).filter("_r <= 31"))
+    names = F.array_join(F.array_sort(F.collect_list("_c")), "、")
+    return near.groupBy(*keys).agg(names.alias("_n")).select(*keys, resolved_title(title, F.col("_n"), template).alias("title"))
+
+
 def image_budget(messages: DataFrame, keys: list[str], n: int = K.EMBEDDED_IMAGES, order: str = "seq") -> DataFrame:
     """The images a transcript embeds: the first ``n`` per chat. The rank limit applies before the
     shuffle, so a chat contributes at most ``n`` rows per task."""

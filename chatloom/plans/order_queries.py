@@ -197,7 +197,7 @@ def chrono_order(spark, d):
   SELECT *, row_number() OVER (PARTITION BY chat, ts::DATE ORDER BY "at", seq) AS r FROM o WHERE ts IS NOT NULL) WHERE r = 1""",
            extra=SHUFFLED + ",\n" + ORDERED))
 def date_separators(spark, d):
-    return tr.date_separators(tr.chrono_order(_shuffled(spark, d), ["chat"]), ["chat"])
+    return tr.date_separators(_shuffled(spark, d), ["chat"])
 
 
 SHOWN = "CASE WHEN speaker <> '' THEN '【' || speaker || '】' WHEN side = 'right' THEN '【我】' ELSE '' END"

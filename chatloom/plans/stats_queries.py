@@ -4,12 +4,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..functions.lines import resolved_title
 from ..functions.text import classify_call_error
 from ..operators import filters as fl
 from ..operators import stats as st
 from ..operators.mapreduce import timeline
-from ..operators.transcript import apply_captions, image_budget
+from ..operators.transcript import apply_captions, image_budget, report_titles
 from . import views as v
 from .registry import query
 
@@ -266,8 +265,6 @@ def apply_captions_rows(spark, d):
   CASE report % 3 WHEN 1 THEN '工作情况报告' ELSE '分析报告' END END AS title
 FROM (SELECT report, string_agg(DISTINCT chat::VARCHAR, '、' ORDER BY chat::VARCHAR) AS names FROM msg GROUP BY 1)"""))
 def resolved_title_rows(spark, d):
-    chats = v.msg_events(spark, d).select("report", F.col("chat").cast("string").alias("c")).distinct()
-    names = chats.groupBy("report").agg(F.array_join(F.array_sort(F.collect_list("c")), "、").alias("names"))
     title = F.when(F.col("report") % 3 == 0, "周报").otherwise("")
     template = F.when(F.col("report") % 3 == 1, "work").otherwise("memo")
-    return names.select("report", resolved_title(title, F.col("names"), template).alias("title"))
+    return report_titles(v.msg_events(spark, d), ["report"], title, template)

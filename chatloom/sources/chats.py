@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scan import ROWS_PER_SLICE
 from ..schema import STORED_CHAT
 from ..functions.text import as_col
 
+ROWS_PER_PART = 8192
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -36,7 +36,7 @@ def register_alias(documents: DataFrame, order: str, alias: str = "alias") -> Da
     return named.join(last, ["name", order], "left_semi")
 
 
-def explode_messages(documents: DataFrame, rows_per_part: int = ROWS_PER_SLICE) -> DataFrame:
+def explode_messages(documents: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """One row per message with its position (``seq`` from 1) and defaults for missing fields."""
     flat = documents.select(F.coalesce("name", F.lit("")).alias("chat"),
                             F.coalesce("part", F.lit(0)).alias("part"), F.posexplode("messages").alias("pos", "m"))
@@ -53,7 +53,7 @@ def read_chats(spark: SparkSession, path: str | list[str], multi_line: bool = Tr
     return explode_messages(read_documents(spark, path, multi_line))
 
 
-def nest_chats(messages: DataFrame, chats: DataFrame | None = None, rows_per_part: int = ROWS_PER_SLICE) -> DataFrame:
+def nest_chats(messages: DataFrame, chats: DataFrame | None = None, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Messages to documents. A chat is cut into parts of ``rows_per_part`` messages, which bounds what any
     one row holds. ``chats`` may bring captured_at, time_window and coverage."""
     have = set(messages.columns)
@@ -75,6 +75,6 @@ def nest_chats(messages: DataFrame, chats: DataFrame | None = None, rows_per_par
 
 
 def write_chats(messages: DataFrame, path: str, chats: DataFrame | None = None, mode: str = "errorifexists",
-                rows_per_part: int = ROWS_PER_SLICE) -> None:
+                rows_per_part: int = ROWS_PER_PART) -> None:
     """Store messages as JSON lines, one document per chat part."""
     nest_chats(messages, chats, rows_per_part).write.mode(mode).json(path)

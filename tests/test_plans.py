@@ -84,6 +84,11 @@ def test_dedup_is_one_shuffle_after_ranking(spark, data):
     assert physical.count("Exchange hashpartitioning") == 2
 
 
+def test_composition_is_one_shuffle(spark, data):
+    df = dd.compose_messages(v.doc_lines(spark, data), ["chat"])
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 def test_top_k_per_group_limits_before_the_shuffle(spark, data):
     physical = QUERIES["image_budget_rows"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in physical
