@@ -25,14 +25,13 @@ class _SliceChunks:
     def __init__(self, limit):
         self.limit, self.lengths = limit, []
 
-    def row(self, values):
-        self.lengths.append(values[1])
-        return ()
+    def run(self, columns):
+        self.lengths.append(columns[1])
 
     def end(self):
         import numpy as np
 
-        total = np.cumsum(np.asarray(self.lengths, dtype="int64"))
+        total = np.cumsum(np.concatenate(self.lengths))
         n, whole = len(total), int(total[-1]) if len(total) else 0
         known = {}
 
@@ -86,18 +85,27 @@ class _ChunkCarry:
 
 
 class _ChunkNumbers:
+    """Numbers the lines of a slice, one search per chunk."""
+
     def __init__(self, limit):
         self.limit, self.fill = limit, None
 
-    def row(self, values):
-        seq, length, fill, no = values
+    def run(self, columns):
+        import numpy as np
+
+        seq, lengths, fill, no = columns
         if self.fill is None:
-            self.fill, self.no = int(fill), int(no)
-        out = [(seq, self.no)]
-        self.fill += length
-        if self.fill >= self.limit:
-            self.fill, self.no = 0, self.no + 1
-        return out
+            self.fill, self.no = int(fill[0]), int(no[0])
+        total, numbers, i = np.cumsum(lengths), np.empty(len(seq), dtype="int64"), 0
+        while i < len(seq):
+            base = int(total[i - 1]) if i else 0
+            j = int(np.searchsorted(total, self.limit - self.fill + base))
+            numbers[i:j + 1] = self.no
+            if j >= len(seq):
+                self.fill += int(total[-1]) - base
+                break
+            self.fill, self.no, i = 0, self.no + 1, j + 1
+        return [seq, numbers]
 
     def end(self):
         return ()

@@ -77,30 +77,65 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], make, schema:
     """Walk each key's rows in order with a small Python fold.
 
     Rows arrive as sorted Arrow batches, so memory does not depend on the size of a key. ``make()`` gives a
-    fold for the next key with ``row(values) -> rows`` and ``end() -> rows``; ``values`` is a tuple of the
-    columns after the keys. Use it on keys that hold a bounded run (a slice) or on carry tables.
+    fold for the next key. It takes rows one by one, ``row(values) -> rows``, or the rows of a batch at
+    once, ``run(columns) -> columns``; ``end() -> rows`` closes the key. Values are the columns after the
+    keys. Use it on keys that hold a bounded run (a slice) or on carry tables.
     """
     cols = [*keys, *[c for c in df.columns if c not in keys]]
     n = len(keys)
+    out_names = [f.split()[0] for f in _split_fields(schema)]
 
     def run(batches):
+        import numpy as np
         import pandas as pd
 
+        def frame(pieces):
+            """Output pieces (key, columns) as one frame."""
+            pieces = [(k, c) for k, c in pieces if len(c[0])]
+            if not pieces:
+                return pd.DataFrame(columns=out_names)
+            sizes = [len(c[0]) for _, c in pieces]
+            out = {}
+            for i, name in enumerate(out_names):
+                if i < n:
+                    each = pd.Series([k[i] for k, _ in pieces])
+                    out[name] = each.repeat(sizes).to_numpy()
+                elif isinstance(pieces[0][1][i - n], np.ndarray):
+                    out[name] = np.concatenate([c[i - n] for _, c in pieces])
+                else:
+                    out[name] = pd.Series([v for _, c in pieces for v in c[i - n]], dtype=object)
+            return pd.DataFrame(out)
+
+        def rows(key, found):
+            return (key, [list(c) for c in zip(*found)]) if found else (key, [[]])
+
         fold, current = None, None
         for pdf in batches:
-            out = []
-            for values in pdf.itertuples(index=False, name=None):
-                key = values[:n]
-                if key != current:
+            if not len(pdf):
+                continue
+            by, values = [pdf[k].to_numpy() for k in cols[:n]], [pdf[c].to_numpy() for c in cols[n:]]
+            change = np.zeros(len(pdf), dtype=bool)
+            change[0] = True
+            for k in by:
+                blank = pd.isna(k)
+                change[1:] |= (k[1:] != k[:-1]) & ~(blank[1:] & blank[:-1])
+            starts = np.flatnonzero(change)
+            pieces = []
+            for s, e in zip(starts, [*starts[1:], len(pdf)]):
+                key = tuple(None if pd.isna(k[s]) else k[s] for k in by)
+                if fold is None or key != current:
                     if fold is not None:
-                        out.extend(current + r for r in fold.end())
+                        pieces.append(rows(current, fold.end()))
                     fold, current = make(), key
-                out.extend(key + r for r in fold.row(values[n:]))
-            yield pd.DataFrame(out, columns=out_names)
+                here = [v[s:e] for v in values]
+                if hasattr(fold, "run"):
+                    pieces.append((key, fold.run(here) or [[]]))
+                else:
+                    pieces.append(rows(key, [r for v in zip(*[h.tolist() for h in here]) for r in fold.row(v)]))
+            yield frame(pieces)
         if fold is not None:
-            yield pd.DataFrame([current + r for r in fold.end()], columns=out_names)
+            yield frame([rows(current, fold.end())])
 
-    out_names = [f.split()[0] for f in _split_fields(schema)]
     sorted_rows = df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order)
     return sorted_rows.mapInPandas(run, schema)
 

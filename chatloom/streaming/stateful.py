@@ -23,9 +23,12 @@ from ..operators.labels import _Clock
 from ..operators.scan import key_ddl
 
 
-def _batch(rows, order: list[str]) -> pd.DataFrame:
-    parts = list(rows)
-    return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
+def _batch(rows, order: list[str], columns: list[str]) -> list[tuple]:
+    """Rows of one key in this batch, in order, as tuples. Most keys bring a handful, so no frame is built
+    beyond the ones that arrive."""
+    found = [t for pdf in rows for t in zip(*[pdf[c].tolist() for c in columns])]
+    at = [columns.index(c) for c in order]
+    return sorted(found, key=lambda t: [t[i] for i in at])
 
 
 class _Overlap(StatefulProcessor):
@@ -41,23 +44,25 @@ class _Overlap(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timers):
         top, last = None, {}
-        if self.recent.exists():
-            top, screens, texts, ranks = self.recent.get()
+        known = self.recent.get()
+        if known:
+            top, screens, texts, ranks = known
             last = {(t, r): s for s, t, r in zip(screens, texts, ranks)}
         start, out = top, []
-        for row in _batch(rows, ["screen_idx"]).to_dict("records"):
-            screen, what = int(row["screen_idx"]), (row["fp"], int(row["rank"]))
+        for row in _batch(rows, ["screen_idx"], self.columns):
+            fp, rank, screen, _ = row[-4:]
+            what = (fp, rank)
             before = last.get(what)
             late = start is not None and (screen < start or before == screen)
             if late or before is None or screen - before >= self.window:
-                out.append({**row, "late": late})
+                out.append((*row, late))
             if not late:
                 last[what] = screen
                 top = screen if top is None else max(top, screen)
         kept = [(s, t, r) for (t, r), s in last.items() if top - s < self.window]
         self.recent.update((top, *([list(c) for c in zip(*kept)] if kept else ([], [], []))))
         if out:
-            yield pd.DataFrame(out)[[*self.columns, "late"]]
+            yield pd.DataFrame(out, columns=[*self.columns, "late"])
 
     def close(self):
         pass
@@ -83,12 +88,14 @@ class _Labels(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timers):
         clk = _Clock(self.as_of)
-        last = tuple(self.last.get()) if self.last.exists() else None
+        known = self.last.get()
+        last = tuple(known) if known else None
         out = []
-        for r in _batch(rows, ["screen_idx", "cy", "text"]).itertuples(index=False):
-            last = clk.step(last, r.shape, r.day, r.mo, r.d, r.clock)
+        for screen, cy, text, *parts in _batch(rows, ["screen_idx", "cy", "text"], [
+                "screen_idx", "cy", "text", "shape", "day", "mo", "d", "clock"]):
+            last = clk.step(last, *parts)
             secs = None if last is None else last[0] * 86400 + last[1]
-            out.append((*key, r.screen_idx, r.cy, r.text, secs))
+            out.append((*key, screen, cy, text, secs))
         if last is not None:
             self.last.update((int(last[0]), int(last[1])))
         if out:
@@ -127,14 +134,14 @@ class _Names(StatefulProcessor):
     def handleInputRows(self, key, rows, timers):
         recent = [r[0] for r in self.recent.get()]
         before, now = [r[0] for r in self.before.get()], [r[0] for r in self.now.get()]
-        screen, count = self.at.get() if self.at.exists() else (None, 0)
+        screen, count = self.at.get() or (None, 0)
         offset, seen, changed = count - len(recent), _Seen(self.seen), {}
-        for r in _batch(rows, ["screen_idx", "pos"]).itertuples(index=False):
-            if r.screen_idx != screen:
-                before, now, screen = now, [], int(r.screen_idx)
-            now.append(r.name)
+        for at, _, name in _batch(rows, ["screen_idx", "pos"], ["screen_idx", "pos", "name"]):
+            if at != screen:
+                before, now, screen = now, [], int(at)
+            now.append(name)
             old = list(recent)
-            take_reading(r.name, recent, seen, before, self.window)
+            take_reading(name, recent, seen, before, self.window)
             for i, n in enumerate(recent):
                 if i >= len(old) or n != old[i]:
                     changed[offset + i] = n
