@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from difflib import SequenceMatcher
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,70 +20,87 @@ _PUNCTUATION = re.compile(K.NAME_PUNCTUATION.removeprefix("(?U)"))
 _LONG_NUMBER = re.compile(r"\d{6,}")
 
 
-def _ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+def _plain(name: str) -> str:
+    return _PUNCTUATION.sub("", name)
 
 
-def _common(a: str, b: str) -> int:
-    return sum((Counter(a) & Counter(b)).values())
+def _alike(first: str, second: str, threshold: float) -> bool:
+    """Sequence ratio against a threshold. Matched characters are common characters, so too few of those
+    settle it without the ratio."""
+    size = len(first) + len(second)
+    if 2 * (Counter(first) & Counter(second)).total() / size < threshold:
+        return False
+    return SequenceMatcher(None, first, second).ratio() >= threshold
 
 
-def numbers_agree(a: str, b: str) -> bool:
+def numbers_agree(one: str, other: str) -> bool:
     """A number of six or more digits on one side holds one of the other side."""
-    return any(x in y or y in x for x in _LONG_NUMBER.findall(a) for y in _LONG_NUMBER.findall(b))
+    for pair in product(_LONG_NUMBER.findall(one), _LONG_NUMBER.findall(other)):
+        small, large = sorted(pair, key=len)
+        if small in large:
+            return True
+    return False
 
 
-def fuzzy_same(a: str, b: str, threshold: float = K.FUZZY_RATIO) -> bool:
-    na, nb = _PUNCTUATION.sub("", a), _PUNCTUATION.sub("", b)
-    if min(len(na), len(nb)) < 2:
-        return False
-    if numbers_agree(a, b):
-        return True
-    size = len(na) + len(nb)
-    # matched characters are common characters, so too few of those settle it
-    return (abs(len(na) - len(nb)) <= max(2, len(na) // 3) and 2 * _common(na, nb) / size >= threshold
-            and _ratio(na, nb) >= threshold)
+def _close(x: str, y: str, threshold: float) -> bool:
+    slack = max(2, len(x) // 3)     # a third of the first name: the order of arguments matters
+    return len(x) - slack <= len(y) <= len(x) + slack and _alike(x, y, threshold)
 
 
-def window_contains(target: str, token: str, threshold: float = K.WINDOW_RATIO) -> bool:
-    """Some stretch of the longer name resembles the whole shorter one (a cut name)."""
-    t, n = _PUNCTUATION.sub("", target), _PUNCTUATION.sub("", token)
-    k = len(t)
-    if not 4 <= k < len(n):
+def _inside(small: str, large: str, threshold: float) -> bool:
+    width = len(small)
+    if width < 4 or width >= len(large):
         return False
-    # characters of the target not yet matched by the window, kept up to date while the window moves
-    left = Counter(t)
-    left.subtract(n[:k])
-    common = k - sum(v for v in left.values() if v > 0)
-    for i in range(len(n) - k + 1):
-        if common / k >= threshold and _ratio(t, n[i:i + k]) >= threshold:
+    # characters of the small name the window still lacks, kept up to date while the window moves
+    lacking = Counter(small)
+    lacking.subtract(large[:width])
+    common = width - sum(v for v in lacking.values() if v > 0)
+    for end in range(width, len(large) + 1):
+        window = large[end - width:end]
+        if common / width >= threshold and SequenceMatcher(None, small, window).ratio() >= threshold:
             return True
-        if i + k < len(n):
-            gone, come = n[i], n[i + k]
-            left[gone] += 1
-            common -= left[gone] > 0
-            common += left[come] > 0
-            left[come] -= 1
+        if end < len(large):
+            lacking[window[0]] += 1
+            common -= lacking[window[0]] > 0
+            common += lacking[large[end]] > 0
+            lacking[large[end]] -= 1
     return False
 
 
-def subseq_drop(short: str, long: str) -> bool:
-    """The shorter name is the longer one with one to six characters left out, first one kept."""
-    s, l = _PUNCTUATION.sub("", short), _PUNCTUATION.sub("", long)
-    if len(s) < 4 or not 1 <= len(l) - len(s) <= 6 or s[0] != l[0]:
+def _dropped(small: str, large: str) -> bool:
+    if len(small) < 4 or small[0] != large[:1] or len(large) - len(small) not in range(1, 7):
         return False
     at = 0
-    for ch in s:
-        at = l.find(ch, at) + 1
+    for ch in small:
+        at = large.find(ch, at) + 1
         if at == 0:
             return False
     return True
 
 
-def same_reading(a: str, b: str) -> bool:
+def fuzzy_same(one: str, other: str, threshold: float = K.FUZZY_RATIO) -> bool:
+    """Close in length and sequence, or with a long number in common."""
+    x, y = _plain(one), _plain(other)
+    return len(x) > 1 and len(y) > 1 and (numbers_agree(one, other) or _close(x, y, threshold))
+
+
+def window_contains(cut: str, full: str, threshold: float = K.WINDOW_RATIO) -> bool:
+    """Some stretch of the longer name resembles the whole shorter one (a cut name)."""
+    return _inside(_plain(cut), _plain(full), threshold)
+
+
+def subseq_drop(short: str, long: str) -> bool:
+    """The shorter name is the longer one with one to six characters left out, first one kept."""
+    return _dropped(_plain(short), _plain(long))
+
+
+def same_reading(one: str, other: str, ratio: float = K.FUZZY_RATIO, window: float = K.WINDOW_RATIO) -> bool:
     """Not symmetric: ratio and length bound look at the first argument."""
-    return (fuzzy_same(a, b) or window_contains(a, b) or window_contains(b, a)
-            or subseq_drop(a, b) or subseq_drop(b, a))
+    if fuzzy_same(one, other, ratio):
+        return True
+    x, y = _plain(one), _plain(other)
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    return _dropped(small, large) or _inside(small, large, window)
 
 
 @F.pandas_udf(BooleanType())

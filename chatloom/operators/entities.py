@@ -219,47 +219,51 @@ def dedupe_names(names: DataFrame, keys: list[str] = []) -> DataFrame:
     return kept.drop("root")
 
 
+class NameList:
+    """Running list of chat names. ``offer`` puts a reading where it belongs: nowhere if it was met before or
+    repeats an item of the previous screen, over a shorter reading among the last ``window`` names, or at
+    the end."""
+
+    def __init__(self, window: int, names: list[str] | None = None, met=None):
+        self.window, self.names = window, names if names is not None else []
+        self.met = met if met is not None else set()
+
+    def offer(self, name: str, before: list[str]) -> bool:
+        """Whether the reading is a chat not met so far."""
+        if not name or name in self.met:
+            return False
+        if name in before or any(same_reading(name, b) for b in before):
+            return False
+        recent = range(len(self.names))[-self.window:]
+        place = next((i for i in recent if same_reading(name, self.names[i])), len(self.names))
+        grown = place == len(self.names)
+        if grown or len(self.names[place]) < len(name):
+            self.names[place:place + 1] = [name]
+            self.met.add(name)
+        return grown
+
+
 class _Rounds:
     """Names of one list, screen after screen."""
 
     def __init__(self, window):
-        self.window, self.names, self.seen = window, [], set()
-        self.screen, self.now, self.before, self.new = None, [], [], 0
+        self.list, self.screen, self.now, self.before, self.new = NameList(window), None, [], [], 0
 
     def row(self, values):
         screen, _, name = values
-        done = self._turn(screen)
+        done = []
+        if screen != self.screen:
+            done = self._finished()
+            self.screen, self.before, self.now, self.new = screen, self.now, [], 0
         self.now.append(name)
-        self.new += take_reading(name, self.names, self.seen, self.before, self.window)
+        self.new += self.list.offer(name, self.before)
         return done
 
-    def _turn(self, screen):
-        if screen == self.screen:
-            return []
-        done = [("round", int(self.screen), None, self.new)] if self.screen is not None else []
-        self.before, self.now = self.now, []
-        self.screen, self.new = screen, 0
-        return done
+    def _finished(self):
+        return [] if self.screen is None else [("round", int(self.screen), None, self.new)]
 
     def end(self):
-        return [("round", int(self.screen), None, self.new),
-                *[("name", i, n, None) for i, n in enumerate(self.names)]]
-
-
-def take_reading(name: str, names: list[str], seen: set[str], before: list[str], window: int) -> int:
-    """Take one reading into the running list; 1 if it is a chat not met so far. Repeats and readings of
-    the previous screen's items change nothing; a longer reading of a recent name replaces it."""
-    if not name or name in seen or any(name == p or same_reading(name, p) for p in before):
-        return 0
-    for i in range(max(0, len(names) - window), len(names)):
-        if same_reading(name, names[i]):
-            if len(name) > len(names[i]):
-                names[i] = name
-                seen.add(name)
-            return 0
-    seen.add(name)
-    names.append(name)
-    return 1
+        return [*self._finished(), *[("name", i, n, None) for i, n in enumerate(self.list.names)]]
 
 
 def merge_round_names(readings: DataFrame, keys: list[str], window: int = 16) -> DataFrame:

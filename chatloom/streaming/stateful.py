@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import constants as K
 from ..functions.timelabel import label_parts
-from ..operators.entities import take_reading
+from ..operators.entities import NameList
 from ..operators.labels import _Clock
 from ..operators.scan import key_ddl
 
@@ -141,7 +141,7 @@ class _Names(StatefulProcessor):
                 before, now, screen = now, [], int(at)
             now.append(name)
             old = list(recent)
-            take_reading(name, recent, seen, before, self.window)
+            NameList(self.window, recent, seen).offer(name, before)
             for i, n in enumerate(recent):
                 if i >= len(old) or n != old[i]:
                     changed[offset + i] = n

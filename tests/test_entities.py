@@ -76,14 +76,12 @@ def test_components(spark):
 
 
 def greedy(names):
-    kept = []
-    for n in names:
-        hit = next((i for i, m in enumerate(kept) if n == m or sim.same_reading(n, m)), None)
-        if hit is None:
-            kept.append(n)
-        elif len(n) > len(kept[hit]):
-            kept[hit] = n
-    return kept
+    longest = {}        # position of the first reading -> longest reading
+    for pos, name in enumerate(names):
+        homes = [lead for lead, rep in longest.items() if rep == name or sim.same_reading(name, rep)]
+        lead = homes[0] if homes else pos
+        longest[lead] = max(longest.get(lead, ""), name, key=len)
+    return list(longest.values())
 
 
 def test_dedupe(spark):
@@ -96,25 +94,25 @@ def test_dedupe(spark):
     assert got == {k: greedy(ns) for k, ns in lists.items()}
 
 
-def rounds(screens, window=16):
-    """The running union, screen by screen, as a plain loop."""
-    names, seen, before, new = [], set(), [], []
-    for screen in screens:
-        n = 0
-        for key in screen:
-            if not key or key in seen or any(key == p or sim.same_reading(key, p) for p in before):
+def rounds(screens, window):
+    """The running union without state objects: everything is looked up afresh."""
+    found, ever, per_screen = [], [], []
+    for no, screen in enumerate(screens):
+        previous = screens[no - 1] if no else []
+        size = len(found)
+        for name in screen:
+            if name in ever or name in previous or [p for p in previous if sim.same_reading(name, p)]:
                 continue
-            hit = next((i for i in range(max(0, len(names) - window), len(names)) if sim.same_reading(key, names[i])), None)
-            if hit is None:
-                seen.add(key)
-                names.append(key)
-                n += 1
-            elif len(key) > len(names[hit]):
-                names[hit] = key
-                seen.add(key)
-        before = screen
-        new.append(n)
-    return names, new
+            like = [i for i, f in enumerate(found) if i >= len(found) - window and sim.same_reading(name, f)]
+            if not like:
+                found.append(name)
+            elif len(name) > len(found[like[0]]):
+                found[like[0]] = name
+            else:
+                continue
+            ever.append(name)
+        per_screen.append(len(found) - size)
+    return found, per_screen
 
 
 def test_merge_rounds(spark):
