@@ -108,9 +108,15 @@ def _score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x is not None and y is not None and same_reading(x, y) for x, y in zip(a, b)], dtype="bool")
 
 
+@F.pandas_udf(BooleanType())
+def _score_both(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same_reading(x, y) or same_reading(y, x) for x, y in zip(a, b)], dtype="bool")
+
+
 # Declared non-deterministic only to stay where it is written: the optimizer would otherwise move it below the
 # cheap bounds and the removal of repeated pairs.
 name_variant = _score.asNondeterministic()
+either_way = _score_both.asNondeterministic()
 
 
 def variant_of_any(name: Column | str, wanted: list[str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.similarity import name_variant, same_reading, variant_of_any
+from ..functions.similarity import either_way, name_variant, same_reading, variant_of_any
 from ..functions.text import characters, norm_name
 from ..session import settle, shared_dir
 from .scan import fold_sorted, key_ddl
@@ -101,44 +101,62 @@ def _digit_grams() -> Column:
         F.sequence(F.lit(1), F.length(r) - 5), lambda i: F.substring(r, i, F.lit(6)))))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[str] = []) -> DataFrame:
-    """Every (left, right) pair of distinct names that can be variants, as ``name`` and ``other``; within
-    ``left`` if ``right`` is not given. Loses none; ``tests/test_entities.py`` checks it against all pairs.
-
-    The tokenised names are stored first: they are small next to what they come from and are read by
-    each of the steps below.
-    """
-    sides = [left] if right is None else [left, right]
+def _tokenised(sides: list[DataFrame], keys: list[str]) -> list[DataFrame]:
+    """Names with their tokens, rare ones first. Stored: they are small next to what they come from and are
+    read by each of the steps below."""
     sides = [_with_tokens(d.select(*keys, "name").distinct()) for d in sides]
     counts = None
     for d in sides:
         t = d.select(F.explode("_tok").alias("token"))
         counts = t if counts is None else counts.unionAll(t)
     counts = counts.groupBy("token").agg(F.count("*").alias("df"))
-    sides = [settle(_rarest_first(d, counts, keys).withColumn("_num", _digit_grams()), "names") for d in sides]
-    l, r = sides[0], sides[-1]
-    one = l.select(*keys, "name", "_n", F.explode(_probes("one")).alias("_p"))
-    other = r.select(*keys, F.col("name").alias("other"), F.col("_n").alias("_m"), F.explode(_probes("other")).alias("_q"))
+    return [settle(_rarest_first(d, counts, keys).withColumn("_num", _digit_grams()), "names") for d in sides]
+
+
+def _meet(l: DataFrame, r: DataFrame, keys: list[str], apart: Column, extra: list[str] = [], hubs: bool = False) -> DataFrame:
+    """Distinct (name, other) that share a blocking key, fit in length and satisfy ``apart``. With ``hubs`` each
+    name meets only the least name under a key: as many pairs as keys, however full a key is."""
+    one = l.select(*keys, "name", "_n", *extra, F.explode(_probes("one")).alias("_p"))
+    other = r.select(*keys, F.col("name").alias("other"), F.col("_n").alias("_m"), *[F.col(c).alias(f"{c}_o") for c in extra],
+                     F.explode(_probes("other")).alias("_q"))
+    if hubs:
+        key = [*keys, F.col("_q.kind").alias("kind"), F.col("_q.token").alias("token")]
+        least = other.groupBy(*key).agg(F.min(F.struct("other", "_m", F.col("_q.place").alias("place"))).alias("h"))
+        other = least.select(*keys, F.col("h.other").alias("other"), F.col("h._m").alias("_m"),
+                             F.struct("kind", "token", F.col("h.place").alias("place")).alias("_q"))
     meet = [one[k] == other[k] for k in keys] + [one["_p.kind"] == other["_q.kind"], one["_p.token"] == other["_q.token"]]
-    # bounds are symmetric: within one table each pair is formed once and turned round at the end
-    apart = F.col("name") < F.col("other") if right is None else F.col("name") != F.col("other")
-    met = one.join(other, meet).filter(apart & _fits()).select(*[one[k] for k in keys], "name", "other").distinct()
+    return one.join(other, meet).filter(apart & _fits()).select(*[one[k] for k in keys], "name", "other").distinct()
+
+
+def _bounded(met: DataFrame, l: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
     side = lambda d, s, as_: d.select(*keys, F.col("name").alias(as_), *[
         F.col(c).alias(f"{c}_{s}") for c in ("_tok", "_n", "_num")])
-    near = (met.join(side(l, "a", "name"), [*keys, "name"]).join(side(r, "b", "other"), [*keys, "other"])
+    return (met.join(side(l, "a", "name"), [*keys, "name"]).join(side(r, "b", "other"), [*keys, "other"])
             .filter(_possible()).select(*keys, "name", "other"))
+
+
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Scoring costs far more than its bytes suggest, so pairs go over all partitions first."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, "name", "other")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[str] = []) -> DataFrame:
+    """Every (left, right) pair of distinct names that can be variants, as ``name`` and ``other``; within
+    ``left`` if ``right`` is not given. Loses none; ``tests/test_entities.py`` checks it against all pairs."""
+    sides = _tokenised([left] if right is None else [left, right], keys)
+    l, r = sides[0], sides[-1]
     if right is not None:
-        return near
+        return _bounded(_meet(l, r, keys, F.col("name") != F.col("other")), l, r, keys)
+    # bounds are symmetric: within one table each pair is formed once and turned round at the end
+    near = _bounded(_meet(l, l, keys, F.col("name") < F.col("other")), l, l, keys)
     turn = F.array(F.struct("name", "other"), F.struct(F.col("other").alias("name"), F.col("name").alias("other")))
     return near.select(*keys, F.explode(turn).alias("_t")).select(*keys, "_t.name", "_t.other")
 
 
 def variant_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[str] = []) -> DataFrame:
-    """Pairs where ``name`` (left) is a variant of ``other`` (right). Scoring costs far more than its bytes
-    suggest, so candidates are spread over all partitions first."""
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = candidate_pairs(left, right, keys).repartition(n, "name", "other")
-    return spread.filter(name_variant("name", "other"))
+    """Pairs where ``name`` (left) is a variant of ``other`` (right)."""
+    return _spread(candidate_pairs(left, right, keys)).filter(name_variant("name", "other"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
@@ -159,8 +177,10 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFr
         return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
     e = settle(edges.select("u", "v").filter("u <> v").distinct(), 0)
-    no, before = 0, None
-    while True:
+    if e.isEmpty():
+        return nodes.select(F.col(id_col), F.col(id_col).alias("root")).distinct()
+    no, settled = 0, False
+    while not settled:
         # large star: every neighbour above a node hangs on the least id around that node
         n = both(e)
         least = n.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -172,10 +192,10 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFr
                  .union(m.select("u", F.col("m").alias("v"))).distinct())
         no += 1
         e = settle(small, no)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        # done when only stars are left: every node hangs on one other, and that one on none
+        hanging = e.join(e.select(F.col("v").alias("u")), "u", "left_semi").select("u")
+        torn = e.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        settled = hanging.unionAll(torn).isEmpty()
     return (nodes.select(F.col(id_col)).distinct().join(e.select(F.col("u").alias(id_col), "v"), id_col, "left")
             .select(id_col, F.coalesce("v", F.col(id_col)).alias("root")))
 
@@ -207,18 +227,40 @@ def dedupe_names(names: DataFrame, keys: list[str] = []) -> DataFrame:
     different components of the variant graph never meet; each component is replayed on its own.
     ``names`` holds (keys, pos, name); repeats of a name collapse to the first position beforehand.
     """
-    first = names.groupBy(*keys, "name").agg(F.min("pos").alias("pos"))
-    first = settle(first.withColumn("id", F.xxhash64(*keys, "name")), "first-readings")
-    pairs = variant_pairs(first, None, keys)
-    ids = lambda c: F.xxhash64(*keys, F.col(c))
-    edges = pairs.select(ids("name").alias("u"), ids("other").alias("v"))
-    root = components(first.select("id"), edges)
-    grouped = first.join(root, "id").select(*keys, "root", "pos", "name")
+    first = settle(names.groupBy(*keys, "name").agg(F.min("pos").alias("pos")), "first-readings")
+    roots = variant_groups(first, keys)
+    grouped = first.join(roots, [*keys, "name"]).select(*keys, "root", "pos", "name")
     kept = fold_sorted(grouped, [*keys, "root"], ["pos"], _Cluster,
                        f"{key_ddl(grouped, [*keys, 'root'])}, pos bigint, name string")
     return kept.drop("root")
 
 
+def variant_groups(names: DataFrame, keys: list[str]) -> DataFrame:
+    """Names with the ``root`` of their component in the variant graph.
+
+    Two passes keep a large family of similar names from being scored pair by pair. First every name is
+    scored against one hub per blocking key, which joins most of a family. Then only pairs whose ends are
+    still apart are formed.
+    """
+    (l,) = _tokenised([names], keys)
+    l = l.withColumn("id", F.xxhash64(*keys, "name"))
+    ids = lambda c: F.xxhash64(*keys, F.col(c))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _spread(_bounded(pairs, l, l, keys)).filter(either_way("name", "other"))
+
+    near = linked(_meet(l, l, keys, F.col("name") != F.col("other"), hubs=True))
+    one = settle(components(l, near.select(ids("name").alias("u"), ids("other").alias("v"))), "roots")
+    rooted = l.join(one, "id")
+    rest = linked(_meet(rooted, rooted, keys, (F.col("name") < F.col("other")) & (F.col("root") != F.col("root_o")), ["root"]))
+    root_of = lambda as_: one.select(F.col("id").alias(f"_{as_}"), F.col("root").alias(as_))
+    across = (rest.select(ids("name").alias("_u"), ids("other").alias("_v"))
+              .join(root_of("u"), "_u").join(root_of("v"), "_v").select("u", "v"))
+    two = components(one.select(F.col("root").alias("id")), across)
+    top = one.join(two.select(F.col("id").alias("root"), F.col("root").alias("_top")), "root").select("id", "_top")
+    return l.select(*keys, "name", "id").join(top, "id").select(*keys, "name", F.col("_top").alias("root"))
+
+
 class NameList:
     """Running list of chat names. ``offer`` puts a reading where it belongs: nowhere if it was met before or
     repeats an item of the previous screen, over a shorter reading among the last ``window`` names, or at

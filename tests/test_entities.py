@@ -75,6 +75,26 @@ def test_components(spark):
     assert got == {i: min(j for j in ids if find(j) == find(i)) for i in ids}
 
 
+def test_groups_are_components_of_the_variant_graph(spark):
+    rng = random.Random(17)
+    lists = {"a": random_names(rng, 90), "b": random_names(rng, 60)}
+    df = spark.createDataFrame([(k, n) for k, ns in lists.items() for n in ns], "list_id string, name string")
+    got = {}
+    for r in en.variant_groups(df, ["list_id"]).collect():
+        got.setdefault((r.list_id, r.root), set()).add(r["name"])
+    want = set()
+    for k, ns in lists.items():
+        left = set(ns)
+        while left:
+            group, grow = set(), {left.pop()}
+            while grow:
+                group |= grow
+                grow = {y for y in left if any(sim.same_reading(x, y) or sim.same_reading(y, x) for x in grow)}
+                left -= grow
+            want.add(frozenset(group))
+    assert {frozenset(g) for g in got.values()} == want and len(got) == len(want)
+
+
 def greedy(names):
     longest = {}        # position of the first reading -> longest reading
     for pos, name in enumerate(names):
