@@ -21,6 +21,23 @@ def ntz(t: datetime) -> Column:
     return F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 
 
+def wall_seconds(c: Column | str) -> Column:
+    """Whole seconds since 1970 on the wall clock, whatever the session's time zone."""
+    c = as_col(c)
+    return F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
+def wall_micros(c: Column | str) -> Column:
+    c = as_col(c)
+    part = (F.date_part(F.lit("SECOND"), c) * 1000000).cast("long")
+    return (wall_seconds(c) - F.second(c)) * 1000000 + part
+
+
+def from_wall_micros(c: Column | str) -> Column:
+    zero, secs = F.lit(0), as_col(c).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")
+    return ntz(datetime(1970, 1, 1)) + F.make_dt_interval(zero, zero, zero, secs.cast("decimal(18,6)"))
+
+
 def is_time_label(c: Column | str) -> Column:
     return F.coalesce(as_col(c).rlike(K.TIME_LABEL), F.lit(False))
 

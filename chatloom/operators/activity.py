@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.timelabel import from_wall_micros, wall_micros
 from .scan import slice_of
 
 
@@ -15,8 +16,7 @@ def activity_pauses(events: DataFrame, keys: list[str], idle: int, ts: str = "ts
     Events first shrink to partial pauses inside slices of ``span`` seconds; only those, one per slice for
     a busy key, are then put in order per key.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = events.filter(F.col(ts).isNotNull()).select(*keys, micros.alias("_t"))
+    e = events.filter(F.col(ts).isNotNull()).select(*keys, wall_micros(ts).alias("_t"))
     cut = e.withColumn("_slice", slice_of("_t", span * 1_000_000))
 
     def split(df: DataFrame, by: list[str], start: str, prev_end) -> DataFrame:
@@ -27,10 +27,9 @@ def activity_pauses(events: DataFrame, keys: list[str], idle: int, ts: str = "ts
 
     part = (split(cut, [*keys, "_slice"], "_t", F.lag("_t")).groupBy(*keys, "_slice", "_no")
             .agg(F.min("_t").alias("_s"), F.max("_t").alias("_e"), F.count("*").alias("_c")).drop("_no"))
-    moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return (split(part, keys, "_s", F.lag("_e")).groupBy(*keys, F.col("_no").alias("pause_no"))
-            .agg(moment(F.min("_s")).alias("pause_start"),
-                 moment(F.max("_e") + idle * 1_000_000).alias("resume_at"), F.sum("_c").alias("n_events")))
+            .agg(from_wall_micros(F.min("_s")).alias("pause_start"),
+                 from_wall_micros(F.max("_e") + idle * 1_000_000).alias("resume_at"), F.sum("_c").alias("n_events")))
 
 
 def pause_counts(pauses: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import FIRST_YEAR
-from ..functions.timelabel import label_parts, parse_time_label
+from ..functions.timelabel import from_wall_micros, label_parts, parse_time_label
 from .scan import SCREENS_PER_SLICE, carry_scan, fold_sorted, key_ddl, slice_of
 
 DAY = 86400
@@ -187,7 +187,7 @@ def resolve_labels(labels: DataFrame, as_of: datetime, keys: list[str], screen:
     times = fold_sorted(ready, sliced, [screen, cy, "text"], lambda: _Resolve(as_of),
                         f"{ddl}, _slice bigint, {key_ddl(labels, [screen, cy])}, text string, _secs bigint")
     return times.select(*keys, screen, cy, "text",
-                        F.timestamp_seconds("_secs").cast("timestamp_ntz").alias("ts"))
+                        from_wall_micros(F.col("_secs") * 1000000).alias("ts"))
 
 
 def assign_times(messages: DataFrame, resolved: DataFrame, keys: list[str], screen: str = "screen_idx",

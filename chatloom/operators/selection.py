@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.stamps import stamp_older_than, window_cutoff
 from ..functions.similarity import variant_of_any
+from ..functions.timelabel import wall_seconds
 from .entities import resolve_stamp
 from .scan import carry_scan, slice_of, ROWS_PER_SLICE
 
@@ -91,7 +92,7 @@ def progress_every_n(ledger: DataFrame, keys: list[str], n: int = 5, order: str
         "done": ok.cast("long"), "failed": (~ok).cast("long"),
         "total_messages": F.when(ok, F.col("messages")).otherwise(0).cast("long")})
     at_nth = run.filter(ok & (F.col("done") % n == 0))
-    secs = F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(F.col("_start").cast("timestamp"))
+    secs = wall_seconds(at) - wall_seconds("_start")
     return (at_nth.join(start, keys)
             .select(*keys, order, "done", "failed", F.col("total_messages").alias("messages"),
                     F.floor(secs / F.col("done")).alias("mean_seconds")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.lines import doc_line, model_line, resolved_title
 from ..functions.text import is_ui_noise
+from ..functions.timelabel import wall_seconds
 from .scan import ROWS_PER_SLICE, carry_scan, number_rows, slice_of
 
 
@@ -20,8 +21,7 @@ def chrono_order(messages: DataFrame, keys: list[str], seq: str = "seq", width:
 
 def reading_position(ordered: DataFrame, keys: list[str], seq: str = "seq", span: int = 3600) -> DataFrame:
     """1-based ``pos`` in reading order, numbered in slices of ``span`` seconds."""
-    second = F.unix_seconds(F.col("at").cast("timestamp"))
-    piece = F.coalesce(slice_of(second, span), F.lit(-(2 ** 62)))
+    piece = F.coalesce(slice_of(wall_seconds("at"), span), F.lit(-(2 ** 62)))
     return number_rows(ordered, keys, piece, [F.col("at").asc_nulls_first(), F.col(seq)], "pos")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scan import number_rows, slice_of
+from ..functions.timelabel import wall_seconds
 from ..session import settle
 
 EVENTS_AS_OF = datetime(2024, 1, 31, 0, 0, 0)
@@ -44,8 +45,7 @@ def msg_events(spark: SparkSession, d: str) -> DataFrame:
 def with_seq(messages: DataFrame) -> DataFrame:
     """Dense position per chat in time order, numbered in ten-minute slices and stored once, as a reader of
     chat files would find it."""
-    second = F.unix_seconds(F.col("at0").cast("timestamp"))
-    return settle(number_rows(messages, ["chat"], slice_of(second, 600), [F.col("at0"), F.col("event_id")]), "messages")
+    return settle(number_rows(messages, ["chat"], slice_of(wall_seconds("at0"), 600), [F.col("at0"), F.col("event_id")]), "messages")
 
 
 def msg_conv(spark: SparkSession, d: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import constants as K
-from ..functions.timelabel import label_parts
+from ..functions.timelabel import from_wall_micros, label_parts
 from ..operators.entities import NameList
 from ..operators.labels import _Clock
 from ..operators.scan import key_ddl
@@ -115,7 +115,7 @@ def stream_resolve_labels(stream: DataFrame, as_of: datetime, keys: list[str]) -
     out = s.groupBy(*keys).transformWithStateInPandas(
         _Labels(as_of), f"{ks}, {key_ddl(s, ['screen_idx', 'cy'])}, text string, secs bigint", "append", "none")
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "screen_idx", "cy", "text",
-                      F.timestamp_seconds("secs").cast("timestamp_ntz").alias("ts"))
+                      from_wall_micros(F.col("secs") * 1000000).alias("ts"))
 
 
 class _Names(StatefulProcessor):

@@ -146,3 +146,19 @@ def test_take_until_keeps_the_stop_screen(spark):
                               "chat string, screen_idx int, earliest timestamp_ntz")
     out = take_until(s, datetime(2026, 1, 3, 23, 59, 59), ["chat"])
     assert sorted(r.screen_idx for r in out.collect()) == [0, 1, 2, 3]
+
+
+def test_results_do_not_depend_on_the_session_zone(spark):
+    """A zone whose clocks jump back in this night must not disturb order or gaps."""
+    from chatloom.operators.activity import activity_pauses
+    t0 = datetime(2026, 10, 25, 1, 50)
+    ev = spark.createDataFrame([("u", t0 + timedelta(minutes=20 * i)) for i in range(6)], "user string, ts timestamp_ntz")
+    labels = spark.createDataFrame([("a", 0, 1, "2026年8月5日 14:30")], "chat string, screen_idx int, cy int, text string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        p = activity_pauses(ev, ["user"], 1500).collect()
+        assert [(r.pause_start, r.resume_at, r.n_events) for r in p] == [(t0, t0 + timedelta(minutes=125), 6)]
+        assert lb.resolve_labels(labels, NOW, ["chat"]).first().ts == datetime(2026, 8, 5, 14, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
