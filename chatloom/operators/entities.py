@@ -60,9 +60,9 @@ def _probes(role: str) -> Column:
         return F.transform(F.coalesce(tokens, none), lambda t, i: F.struct(
             F.lit(kind).alias("kind"), t.alias("token"), i.alias("place")))
 
-    close = F.ceil(F.lit(0.35) * (2 * n - F.greatest(F.lit(2), F.floor(n / 3))) - F.lit(1e-9))
+    close = F.ceil(F.lit(K.FUZZY_RATIO / 2) * (2 * n - F.greatest(F.lit(2), F.floor(n / 3))) - F.lit(1e-9))
     same = F.when(n >= 2, F.slice(rare, F.lit(1), F.greatest(F.lit(1), n - close + 1).cast("int")))
-    cover = F.ceil(F.lit(0.8) * n - F.lit(1e-9))
+    cover = F.ceil(F.lit(K.WINDOW_RATIO) * n - F.lit(1e-9))
     short_in = F.when(n >= 4, F.slice(rare, F.lit(1), (n - cover + 1).cast("int")))
     first = F.substring(norm_name("name"), 1, 1)
     short_drop = F.when(n >= 4, F.transform(F.slice(rare, 1, 1), lambda t: F.concat(first, t)))
@@ -80,7 +80,7 @@ def _fits() -> Column:
     n, m, kind = F.col("_n"), F.col("_m"), F.col("_p.kind")
     rest = F.least(n - F.col("_p.place"), m - F.col("_q.place"))
     gap = F.abs(n - m)
-    return (F.when(kind == SAME, (gap <= F.greatest(F.lit(2), F.floor(F.greatest(n, m) / 3))) & (rest >= 0.35 * (n + m) - 1e-9))
+    return (F.when(kind == SAME, (gap <= F.greatest(F.lit(2), F.floor(F.greatest(n, m) / 3))) & (rest >= K.FUZZY_RATIO / 2 * (n + m) - 1e-9))
             .when(kind.isin(SHORT_IN_LONG, DROPPED), n < m).when(kind.isin(LONG_OVER_SHORT, KEPT), n > m).otherwise(True))
 
 
@@ -89,8 +89,8 @@ def _possible() -> Column:
     la, lb = F.col("_n_a"), F.col("_n_b")
     common = F.size(F.array_intersect("_tok_a", "_tok_b"))
     short, long = F.least(la, lb), F.greatest(la, lb)
-    fuzzy = (short >= 2) & (F.abs(la - lb) <= F.greatest(F.lit(2), F.floor(long / 3))) & (common >= 0.35 * (la + lb) - 1e-9)
-    inside = (short >= 4) & (long > short) & (common >= 0.8 * short - 1e-9)
+    fuzzy = (short >= 2) & (F.abs(la - lb) <= F.greatest(F.lit(2), F.floor(long / 3))) & (common >= K.FUZZY_RATIO / 2 * (la + lb) - 1e-9)
+    inside = (short >= 4) & (long > short) & (common >= K.WINDOW_RATIO * short - 1e-9)
     number = F.arrays_overlap("_num_a", "_num_b")
     return fuzzy | inside | number
 

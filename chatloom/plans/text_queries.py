@@ -12,7 +12,7 @@ from ..sources import chats as ch
 from ..sources import registry as rg
 from ..sources import sinks as sk
 from . import views as v
-from .order_queries import MSG, ORDERED, SHOWN
+from .order_queries import MSG, SHOWN
 from .registry import query
 from .stats_queries import WHO
 

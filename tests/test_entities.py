@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from chatloom.functions import similarity as sim
 from chatloom.functions.text import norm_name

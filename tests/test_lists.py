@@ -2,7 +2,6 @@ import random
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from chatloom.functions.stamps import is_stamp, norm_stamp_digits, stamp_older_than, window_cutoff
 from chatloom.operators import layout as lo
