@@ -44,3 +44,20 @@ def op5_mixing(spark, sf_dir):
     from chatloom.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+@_query
+def op6_jaccard_join(spark, sf_dir):
+    from chatloom.llm.jaccard import similar_groups
+
+    return similar_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from chatloom.llm.superkmer import remove_repeats
+
+    d = remove_repeats(_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
