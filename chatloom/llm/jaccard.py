@@ -13,6 +13,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom.llm.common import settle, small_enough
 from chatloom.llm.grams import WordHashes, among, byte_words, frequent_grams, mixed, rolling
@@ -157,7 +158,7 @@ def segment_groups(docs: DataFrame, width: int, buckets: int, frequent: np.ndarr
             .groupBy("bucket").applyInPandas(meet, "gid long, s long").distinct())
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

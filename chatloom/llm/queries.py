@@ -61,3 +61,34 @@ def op7_substring_dedup(spark, sf_dir):
 
     d = remove_repeats(_table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op4_toxicity(spark, sf_dir):
+    from chatloom.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_html_extraction(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from chatloom.llm.html import extract
+
+    d = extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return d.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op8_benchmark_decontamination(spark, sf_dir):
+    from chatloom.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op10_quality_classifier(spark, sf_dir):
+    from chatloom.llm.cotrain import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom.llm.common import packed, text_key
 
@@ -34,7 +35,7 @@ REACH = 400
 #: Nothing else can hold a part: texts without a match need no further look.
 HINT = r"(?i)passw|passphrase|pass[\"']?\x20*[:=]|pwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|://|(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|host|server|endpoint|url|private_?key)[\"']?\x20*[:=]|[A-Za-z0-9+/_-]{40}"
 
-PARTS = "array<struct<kind:string,start:int,stop:int,scope:int>>"
+PARTS = T.ArrayType(T.StructType().add("kind", "string").add("start", "int").add("stop", "int").add("scope", "int"))
 
 
 def find_parts(text: str) -> list[tuple]:
@@ -119,7 +120,7 @@ def secret_digest(docs: DataFrame) -> DataFrame:
                     listed(F.col("spans")).alias("spans"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
     def one(text, found):
         out, at = [], 0

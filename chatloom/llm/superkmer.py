@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom.llm.common import settle
 from chatloom.llm.grams import WordHashes, among, byte_words, frequent_grams, rolling
@@ -154,7 +155,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return sent.repartition("mini").sortWithinPartitions("mini").mapInPandas(_settle_buckets(width), GONE)
 
 
-@F.pandas_udf("struct<n_words:long,n_removed:long,kept:string>")
+@F.pandas_udf(T.StructType().add("n_words", "long").add("n_removed", "long").add("kept", "string"))
 def _kept(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     rows = []
     for text, found in zip(texts, runs):
