@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import n_words, settle, uniform
+from chatloom.llm.common import n_words, settle, small_enough, uniform
 
 #: Fixed by the contract: weights of the sources in code-point order, repeating; share of all words; most copies.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -102,19 +102,9 @@ def _round_all(items: DataFrame, seed: int, fan_in: int, label: str) -> DataFram
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7,
+def _mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7,
         fan_in: int = FAN_IN, tiers=TIERS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, source, text): doc_id, source, size, source_size, target, copies, taken.
-
-    Every document of a source is wanted target / source_size times. The whole part is granted; the fraction is
-    settled by pivotal rounding: two fractional documents exchange words at random until one is whole, whose
-    expectations and word total stay as they were, so a source misses its target only by its last document. Documents
-    above 1/8, then above 1/64 of their source (fewer than 8 and 64 a source) are rounded first and smaller ones make
-    up for what those took too much or too little; the last document is then a small one.
-
-    Null or empty text: size 0, never taken. A null source is a source like others, last in order. Rows that agree
-    in id, source and size share their copies out; the first get one more. No rows give no rows. Other columns are
-    ignored. Randomness is a hash of ids: reruns agree. Groups are buckets of a tree, never a source."""
+    """``mix`` with the number ``no`` of a row among the ``n`` that agree in id, source and size."""
     sized = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
                    .groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     targets = settle(source_targets(sized, weights, share, most), "mix-targets")
@@ -149,5 +139,42 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
             "source", F.col("item").withField("f", share_).withField("f0", F.col("item.f") * F.col("factor")).alias("item")), "mix-rest")
     one = settled.select("source", "item.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("item.n"))).alias("no"))
     copies = F.col("whole") + F.when(F.col("no") <= F.col("extra") + F.col("f"), 1).otherwise(0)
-    return one.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"),
+    return one.select("doc_id", "source", "size", "n", "no", "source_size", "target", copies.cast("long").alias("copies"),
                       (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, source, text): doc_id, source, size, source_size, target, copies, taken.
+
+    Every document of a source is wanted target / source_size times. The whole part is granted; the fraction is
+    settled by pivotal rounding: two fractional documents exchange words at random until one is whole, whose
+    expectations and word total stay as they were, so a source misses its target only by its last document. Documents
+    above 1/8, then above 1/64 of their source (fewer than 8 and 64 a source) are rounded first and smaller ones make
+    up for what those took too much or too little; the last document is then a small one.
+
+    Null or empty text: size 0, never taken. A null source is a source like others, last in order. Rows that agree
+    in id, source and size share their copies out; the first get one more. No rows give no rows. Other columns are
+    ignored. Randomness is a hash of ids: reruns agree. Groups are buckets of a tree, never a source."""
+    return _mixed(docs, **settings).drop("n", "no")
+
+
+def mixed_corpus(docs: DataFrame, in_memory: int = 500_000, **settings) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with copies, size, source_size, target and taken (columns of these names give way).
+
+    Up to ``in_memory`` decisions are broadcast, more are joined by a shuffle. Rows that agree in id, source and size are numbered
+    to share their copies out; only those are shuffled with their texts for it."""
+    own = ["copies", "size", "source_size", "target", "taken"]
+    keys = ["doc_id", "source", "size"]
+    said = settle(_mixed(docs, **settings).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("n").alias("_n"), F.col("no").alias("_no"), F.struct(*own).alias("_mix")), "mixed")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("row"))
+    d = d.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = d.join(small_enough(said.filter("_n = 1 and _mix.copies > 0"), in_memory), same).select("row", "_mix")
+    repeated = said.filter("_n > 1 and _mix.copies > 0")
+    if not repeated.isEmpty():
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("row.text"))
+        several = d.join(small_enough(repeated.select(*[f"_{k}" for k in keys]).distinct(), in_memory), same, "left_semi").withColumn("no", F.row_number().over(order))
+        out = out.unionByName(several.join(repeated, same & (F.col("no") == F.col("_no"))).select("row", "_mix"))
+    return out.select("row.*", "_mix.*")

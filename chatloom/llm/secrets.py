@@ -35,7 +35,7 @@ REACH = 400
 #: Nothing else can hold a part: texts without a match need no further look.
 HINT = r"(?i)passw|passphrase|pass[\"']?\x20*[:=]|pwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|://|(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|host|server|endpoint|url|private_?key)[\"']?\x20*[:=]|[A-Za-z0-9+/_-]{40}"
 
-PARTS = T.ArrayType(T.StructType().add("kind", "string").add("start", "int").add("stop", "int").add("scope", "int"))
+PARTS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("stop", "integer").add("scope", "integer"))
 
 
 def find_parts(text: str) -> list[tuple]:

@@ -137,7 +137,7 @@ def _learnt(labels: DataFrame, most: int) -> DataFrame:
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
 
 
-def learn_lexicon(sample: DataFrame, terms: int = TERMS, lift: float = 6.0, least: int = 3) -> list[str]:
+def learn_lexicon(sample: DataFrame, terms: int = TERMS, lift: float = 10.0, least: int = 3) -> list[str]:
     """Words that toxic texts hold ``lift`` times as often as others. ``sample``: text, y. Words are counted once a text."""
     low = F.lower(F.coalesce("text", F.lit("")))
     word = F.explode(F.array_distinct(F.split(F.regexp_replace(low, r"[^\p{L}\p{M}']+", " "), " "))).alias("w")
