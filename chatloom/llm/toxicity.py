@@ -20,6 +20,8 @@ LABELLED, TERMS = 20_000, 400
 WINDOW = 6
 REPORTING = {b"said", b"says", b"called", b"calls", b"wrote", b"writes", b"quoted", b"quote", b"word", b"words", b"term", b"phrase", b"reported", b"testified", b"slur", b"insult", b"epithet"}
 ADDRESS = {b"you", b"your", b"youre", b"you're", b"u", b"ur", b"yourself"}
+#: Insults that are looked for even if no label tells, fixed values.
+SEEDS = {"idiot", "idiots", "imbecile", "loser", "losers", "moron", "morons", "pathetic", "scum", "stupid", "worthless", "dumbass", "retard", "scumbag", "jackass", "bastard"}
 STRIP = b".,;:!?()[]{}<>\"'`*#$%&|_-~/\\"
 QUOTES = re.compile(rb"\"|\xe2\x80\x9c|\xe2\x80\x9d|\xc2\xab|\xc2\xbb|(?m:^)>")
 FEATURES = ["exact", "near", "far", "quoted", "addressed", "many", "dense"]
@@ -137,19 +139,23 @@ def _learnt(labels: DataFrame, most: int) -> DataFrame:
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
 
 
-def learn_lexicon(sample: DataFrame, terms: int = TERMS, lift: float = 10.0, least: int = 3) -> list[str]:
-    """Words that toxic texts hold ``lift`` times as often as others. ``sample``: text, y. Words are counted once a text."""
+def learn_lexicon(sample: DataFrame, terms: int = TERMS, lift: float = 10.0, least: int = 3, evidence: float = 16.0) -> list[str]:
+    """SEEDS and the words of which toxic texts hold more. ``sample``: text, y. Words are counted once a text.
+
+    A word's odds must be ``lift`` times the usual ones, and its texts must speak against chance by ``evidence`` nats
+    (their number times the divergence of the word's rate from the usual one): few chance words among millions pass."""
     low = F.lower(F.coalesce("text", F.lit("")))
     word = F.explode(F.array_distinct(F.split(F.regexp_replace(low, r"[^\p{L}\p{M}']+", " "), " "))).alias("w")
-    n = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("t")).first()
-    all_, toxic = n["n"] or 0, n["t"] or 0.0
-    if not toxic or toxic == all_:
-        return []
-    counted = sample.select(word, "y").filter(F.length("w") >= 4).groupBy("w").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).filter(F.col("t") >= least)
-    rate = ((F.col("t") + 0.1) / toxic) / ((F.col("n") - F.col("t") + 0.5) / (all_ - toxic))
-    rows = (counted.withColumn("rate", rate).filter(F.col("rate") >= lift)
-            .orderBy(F.desc(F.col("t") * F.log("rate")), "w").limit(terms).collect())
-    return [r["w"] for r in rows]
+    seen = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("t")).first()
+    every, toxic = seen["n"] or 0, seen["t"] or 0.0
+    if not toxic or toxic == every:
+        return sorted(SEEDS)
+    base, t, n = toxic / every, F.col("t"), F.col("n")
+    rate = ((t + 0.1) / toxic) / ((n - t + 0.5) / (every - toxic))
+    spoken = t * F.log(t / n / base) + F.when(n > t, (n - t) * F.log((n - t) / n / (1 - base))).otherwise(0.0)
+    rows = (sample.select(word, "y").filter(F.length("w") >= 4).groupBy("w").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
+            .filter((t >= least) & (rate >= lift) & (spoken >= evidence)).orderBy(F.desc(spoken), "w").limit(terms).collect())
+    return sorted(SEEDS | {r["w"] for r in rows})
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
