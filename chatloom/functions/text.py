@@ -68,6 +68,11 @@ def norm_name(c: Column | str) -> Column:
     return F.regexp_replace(as_col(c), K.NAME_PUNCTUATION, "")
 
 
+def folder_name(c: Column | str) -> Column:
+    """``safe_name`` with a digest of the whole name: names that look alike once made safe stay apart."""
+    return F.concat(safe_name(c), F.lit("-"), F.substring(F.md5(as_col(c)), 1, 12))
+
+
 def safe_name(c: Column | str, limit: int = 60, default: str = "chat") -> Column:
     """File-system safe form of a chat name."""
     s = F.regexp_replace(as_col(c), r"[^\p{L}\p{N}_-]", "_")
@@ -96,9 +101,10 @@ def strip_fused_suffix(c: Column | str) -> Column:
     return let(let(let(whole, cut(K.FUSED_YEAR)), cut(K.FUSED_MONTH_DAY)), tidy)
 
 
-def character_key(c: Column | str, limit: int = 80) -> Column:
-    """Sorted distinct characters: two texts made of the same characters share a key."""
-    return F.substring(F.array_join(F.array_sort(F.array_distinct(characters(c))), ""), 1, limit)
+def character_key(c: Column | str, limit: int | None = None) -> Column:
+    """Sorted distinct characters, whole unless a ``limit`` is given: two texts made of the same characters share a key."""
+    key = F.array_join(F.array_sort(F.array_distinct(characters(c))), "")
+    return F.substring(key, 1, limit) if limit else key
 
 
 def classify_call_error(c: Column | str) -> Column:

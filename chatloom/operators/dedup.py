@@ -23,10 +23,10 @@ def dedup_overlap(ranked: DataFrame, keys: list[str], window: int = K.DEDUP_SCRE
     """Keep a (fingerprint, rank) that was not seen on the previous ``window - 1`` screens, whether or not
     it was kept there.
 
-    A key occurs at most once per screen, so this is a look-back of two screens: slices of the screen
-    axis with a two-screen halo bound each group, and one shuffle serves it.
+    A key occurs at most once per screen, so this is a look-back of ``window - 1`` screens: slices of the
+    screen axis, never narrower than that, with a halo bound each group, and one shuffle serves it.
     """
-    return _unseen(with_halo(ranked, screen, SCREENS_PER_SLICE, window - 1), keys, window, screen, fp)
+    return _unseen(with_halo(ranked, screen, max(SCREENS_PER_SLICE, window), window - 1), keys, window, screen, fp)
 
 
 def _unseen(cut: DataFrame, keys: list[str], window: int, screen: str, fp: str) -> DataFrame:
@@ -45,7 +45,7 @@ def compose_messages(blocks: DataFrame, keys: list[str], window: int = K.DEDUP_S
     look-back across screens, so the text is shuffled a single time.
     """
     fp = blocks.withColumn("fp", text_fingerprint("text", F.col("kind") if "kind" in blocks.columns else None))
-    placed = with_halo(fp, screen, SCREENS_PER_SLICE, window - 1).repartition(*keys, "fp", "_slice")
+    placed = with_halo(fp, screen, max(SCREENS_PER_SLICE, window), window - 1).repartition(*keys, "fp", "_slice")
     ranked = occurrence_rank(placed, [*keys, "_slice"], screen, order)
     return _unseen(ranked, keys, window, screen, "fp").filter(~is_system_notice("text"))
 

@@ -11,7 +11,7 @@ from ..functions import constants as K
 from ..functions.constants import CATEGORIES
 from ..functions.lines import parse_json_loose
 from ..functions.text import character_key
-from .scan import ROWS_PER_SLICE, fold_sorted, key_ddl, slice_of
+from .scan import ROWS_PER_SLICE, carry_scan, fold_sorted, key_ddl, null_safe_join, number_rows, slice_of
 
 
 class _SliceChunks:
@@ -126,10 +126,10 @@ def number_chunks(lines: DataFrame, keys: list[str], chars: int = K.CHUNK_CHARS,
     parts = fold_sorted(size, sliced, [seq], lambda: _SliceChunks(chars),
                         f"{ddl}, _slice bigint, whole bigint, cases array<array<bigint>>")
     carry = fold_sorted(parts, keys, ["_slice"], _ChunkCarry, f"{ddl}, _slice bigint, fill bigint, no bigint")
-    ready = size.join(carry, sliced, "left").select(*sliced, seq, "_len", "fill", "no")
+    ready = null_safe_join(size, carry, sliced, "left").select(*sliced, seq, "_len", "fill", "no")
     numbered = fold_sorted(ready, sliced, [seq], lambda: _ChunkNumbers(chars),
                            f"{ddl}, _slice bigint, {seq} bigint, chunk_no bigint")
-    return lines.join(numbered.drop("_slice"), [*keys, seq])
+    return null_safe_join(lines, numbered.drop("_slice"), [*keys, seq])
 
 
 def chunk_lines(lines: DataFrame, keys: list[str], chars: int = K.CHUNK_CHARS, seq: str = "seq",
@@ -190,23 +190,23 @@ def map_chunks(chunks: DataFrame, keys: list[str], fn: Callable[[str], str] = ex
 def points_of(mapped: DataFrame, keys: list[str]) -> DataFrame:
     """Long form of the replies that could be read: one row per point, in reply order."""
     good = mapped.filter(F.col("raw").isNull())
-    parts = None
-    for no, c in enumerate(CATEGORIES):
-        items = F.coalesce(F.try_variant_get("value", f"$.{c}", f"array<{POINT}>"),
-                           F.array().cast(f"array<{POINT}>"))
-        one = good.select(*keys, "chunk_no", F.lit(no).alias("category_no"), F.lit(c).alias("category"),
-                          F.posexplode(items).alias("pos", "p"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.select(*keys, "chunk_no", "category_no", "category", "pos", "p.*")
+    # the categories as one array: a union of six branches would call the model six times a chunk
+    fields = F.array(*[F.struct(F.lit(no).alias("category_no"), F.lit(c).alias("category"),
+                                F.try_variant_get("value", f"$.{c}", f"array<{POINT}>").alias("items"))
+                       for no, c in enumerate(CATEGORIES)])
+    each = good.select(*keys, "chunk_no", F.explode(fields).alias("f"))
+    return (each.select(*keys, "chunk_no", "f.category_no", "f.category", F.posexplode("f.items").alias("pos", "p"))
+            .select(*keys, "chunk_no", "category_no", "category", "pos", "p.*"))
 
 
 def merge_points(points: DataFrame, keys: list[str], order: list[str] = ["chunk_no", "pos"],
-                 exact: bool = False) -> DataFrame:
+                 exact: bool = False, key_chars: int | None = None) -> DataFrame:
     """Keep the first point per category and key. The key is the sorted set of characters (so anagrams
-    meet), or with ``exact`` the text itself. Points that say the same collapse inside each task."""
+    meet), its first ``key_chars`` if that is given, or with ``exact`` the text itself. Points that say the
+    same collapse inside each task."""
     text = F.coalesce(F.col("desc"), F.concat_ws("：", "who", "point")) if "point" in points.columns else F.col("desc")
     rest = [c for c in points.columns if c not in (*keys, "category")]
-    keyed = points.withColumn("_key", text if exact else character_key(text))
+    keyed = points.withColumn("_key", text if exact else character_key(text, key_chars))
     first = F.min_by(F.struct(*rest), F.struct(*order))
     return (keyed.groupBy(*keys, "category", "_key").agg(first.alias("r"))
             .select(*keys, "category", *[F.col(f"r.{c}").alias(c) for c in rest], F.col("_key").alias("merge_key")))
@@ -236,6 +236,29 @@ def points_json(merged: DataFrame, keys: list[str], order: list[str] = ["chunk_n
     return wide.select(*keys, F.substring(text, 1, chars).alias("points"))
 
 
+def points_pages(merged: DataFrame, keys: list[str], order: list[str] = ["chunk_no", "pos"],
+                 chars: int = K.POINT_CHARS) -> DataFrame:
+    """The merged points of a report as JSON texts, numbered pages from 0: whole entries, none lost, each page readable by
+    itself. A page has at most ``chars`` characters unless one entry alone takes more.
+
+    Entries fall to half pages by where they start in the report; one longer than half a page gets its own. The
+    running length is a carry scan by category, so no report is walked in one task."""
+    fields = [c for c in ("date", "desc", "by", "owner", "due", "who", "point") if c in merged.columns]
+    numbers = F.create_map(*[F.lit(x) for no, c in enumerate(CATEGORIES) for x in (c, no)])
+    half = max(1, (chars - 2 - sum(len(c) + 8 for c in CATEGORIES)) // 2)
+    entries = (merged.filter(F.col("category").isin(list(CATEGORIES))).withColumn("_c", numbers[F.col("category")])
+               .select(*keys, "category", "_c", *order, F.to_json(F.struct(*fields)).alias("_j")).withColumn("_len", (F.length("_j") + 2).cast("long")))
+    placed = carry_scan(entries, keys, F.col("_c"), [F.col("_c"), *[F.col(c) for c in order]], total={"_end": F.col("_len")})
+    start = F.col("_end") - F.col("_len")
+    placed = placed.withColumn("_page", F.struct(F.floor(start / half).alias("half"), F.when(F.col("_len") > half, start + 1).otherwise(0).alias("alone")))
+    one = F.struct(*order, F.col("_j").alias("j"))
+    per = placed.groupBy(*keys, "_page", "_c", "category").agg(F.concat(
+        F.lit('"'), F.col("category"), F.lit('": ['), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["j"]), ", "), F.lit("]")).alias("_t"))
+    pages = per.groupBy(*keys, "_page").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_t"))), lambda x: x["_t"]), ", "), F.lit("}")).alias("points"))
+    counted = number_rows(pages.withColumn("_half", F.col("_page.half")), keys, slice_of("_half", 4096), [F.col("_page")], "page")
+    return counted.select(*keys, (F.col("page") - 1).alias("page"), "points")
+
+
 def reduce_input(chats: DataFrame, brief: DataFrame, points: DataFrame, keys: list[str], template: str = "work",
                  captions: DataFrame | None = None) -> DataFrame:
     """The document a final synthesis reads, one per report: type, chat names (80 characters), digest,

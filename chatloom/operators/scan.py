@@ -41,7 +41,8 @@ def carry_scan(df: DataFrame, keys: list[str], piece: Column, order: list[Column
     """
     last, total = last or {}, total or {}
     cut = df.withColumn("_slice", piece)
-    inside = (Window.partitionBy(*keys, "_slice").orderBy(*order)
+    names = [*last, *total]
+    inside = (Window.partitionBy(*keys, "_slice").orderBy("_turn", *order)
               .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow))
     position = F.struct(*order)
     ends = cut.groupBy(*keys, "_slice").agg(
@@ -53,17 +54,24 @@ def carry_scan(df: DataFrame, keys: list[str], piece: Column, order: list[Column
         *keys, "_slice",
         *[F.last(n, ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in last],
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_carry_{n}") for n in total])
-    local = cut.select(
-        "*",
-        *[F.last(e, ignorenulls=True).over(inside).alias(f"_here_{n}") for n, e in last.items()],
-        *[F.coalesce(F.sum(e).over(inside), F.lit(0)).alias(f"_here_{n}") for n, e in total.items()])
-    out = local.join(carry, [*keys, "_slice"], "left")
-    for n in last:
-        out = out.withColumn(n, F.coalesce(f"_here_{n}", f"_carry_{n}"))
-    for n in total:
-        out = out.withColumn(n, F.col(f"_here_{n}") + F.col(f"_carry_{n}"))
-    names = [*last, *total]
-    return out.drop("_slice", *[f"_here_{n}" for n in names], *[f"_carry_{n}" for n in names])
+    # what a slice receives joins it as a first row of its own: no join, and rows with a NULL key meet too
+    received = carry.select(*keys, "_slice", F.lit(0).alias("_turn"), *[F.col(f"_carry_{n}").alias(f"_in_{n}") for n in names])
+    rows = cut.select("*", F.lit(1).alias("_turn"), *[e.alias(f"_in_{n}") for n, e in {**last, **total}.items()])
+    out = rows.unionByName(received, allowMissingColumns=True).select(
+        "*", *[F.last(f"_in_{n}", ignorenulls=True).over(inside).alias(f"_out_{n}") for n in last],
+        *[F.coalesce(F.sum(f"_in_{n}").over(inside), F.lit(0)).alias(f"_out_{n}") for n in total])
+    out = out.filter("_turn = 1").drop(*[n for n in names if n in out.columns])
+    return (out.select("*", *[F.col(f"_out_{n}").alias(n) for n in names])
+            .drop("_slice", "_turn", *[f"_in_{n}" for n in names], *[f"_out_{n}" for n in names]))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the keys come once, from the left."""
+    other = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(other[f"_r{i}"])
+    return left.join(other, same, how).drop(*[f"_r{i}" for i in range(len(keys))])
 
 
 def number_rows(df: DataFrame, keys: list[str], piece: Column, order: list[Column],
@@ -79,11 +87,15 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], make, schema:
     Rows arrive as sorted Arrow batches, so memory does not depend on the size of a key. ``make()`` gives a
     fold for the next key. It takes rows one by one, ``row(values) -> rows``, or the rows of a batch at
     once, ``run(columns) -> columns``; ``end() -> rows`` closes the key. Values are the columns after the
-    keys. Use it on keys that hold a bounded run (a slice) or on carry tables.
+    keys. Use it on keys that hold a bounded run (a slice) or on carry tables. Whole numbers among the keys
+    travel as text: beside a NULL pandas would turn them into floats.
     """
     cols = [*keys, *[c for c in df.columns if c not in keys]]
     n = len(keys)
-    out_names = [f.split()[0] for f in _split_fields(schema)]
+    fields = _split_fields(schema)
+    out_names = [f.split()[0] for f in fields]
+    whole = {k: t for k, t in df.dtypes if k in keys and t in ("tinyint", "smallint", "int", "bigint")}
+    fields = [f"{name} string" if name in whole else f for name, f in zip(out_names, fields)]
 
     def run(batches):
         import numpy as np
@@ -137,7 +149,8 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], make, schema:
             yield frame([rows(current, fold.end())])
 
     sorted_rows = df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order)
-    return sorted_rows.mapInPandas(run, schema)
+    as_text = sorted_rows.select(*[F.col(c).cast("string").alias(c) if c in whole else c for c in cols])
+    return as_text.mapInPandas(run, ", ".join(fields)).select(*[F.col(c).cast(whole[c]).alias(c) if c in whole else c for c in out_names])
 
 
 def _split_fields(schema: str) -> list[str]:

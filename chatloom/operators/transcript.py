@@ -67,19 +67,21 @@ def image_budget(messages: DataFrame, keys: list[str], n: int = K.EMBEDDED_IMAGE
 
 def apply_captions(messages: DataFrame, captions: DataFrame, n: int = K.CAPTIONED_IMAGES,
                    order: list[str] = ["chat", "seq"]) -> DataFrame:
-    """The first ``n`` images overall take their caption as text; images without one keep theirs.
-    ``n`` rows are chosen (a top-k), and those few are sent to every task."""
+    """The first ``n`` images overall take their caption as text; images without one keep theirs. An image
+    with several captions takes the least of them."""
+    one = captions.groupBy("img_path").agg(F.min("caption").alias("caption"))
     first = (messages.filter(F.col("kind") == "image").orderBy(*order).limit(n)
-             .select(*order, "img_path").join(captions.select("img_path", "caption"), "img_path")
-             .select(*order, "caption"))
-    return (messages.join(F.broadcast(first), order, "left")
+             .select(*order, "img_path").join(one, "img_path").select(*order, "caption"))
+    return (messages.join(first, order, "left")
             .withColumn("text", F.coalesce("caption", "text")).drop("caption"))
 
 
-def merge_chats(messages: DataFrame, by: list[str], chat: str = "chat", seq: str = "seq") -> DataFrame:
+def merge_chats(messages: DataFrame, by: list[str], chat: str = "chat", seq: str = "seq",
+                named: DataFrame | None = None) -> DataFrame:
     """Messages of a report's chats in one stream, with an origin line ahead of each chat when the report
-    has more than one. Adds ``part`` (0 origin line, 1 message)."""
-    chats = messages.groupBy(*by, chat).agg(F.count("*").alias("_n"))
+    has more than one. ``named`` (by, chat) has the chats of a report, those without messages too; by
+    default they come from the messages. Adds ``part`` (0 origin line, 1 message)."""
+    chats = (messages if named is None else named).groupBy(*by, chat).agg(F.count("*").alias("_n"))
     many = chats.groupBy(*by).agg(F.count("*").alias("_c")).filter("_c > 1")
     head = (chats.join(many, by, "left_semi")
             .select(*by, chat, F.lit(0).cast("long").alias(seq), F.lit(0).alias("part"),
@@ -90,4 +92,4 @@ def merge_chats(messages: DataFrame, by: list[str], chat: str = "chat", seq: str
 def build_transcript(messages: DataFrame, by: list[str], chat: str = "chat", seq: str = "seq") -> DataFrame:
     """Lines an extraction step reads, in (by, chat, seq) order."""
     body = messages.withColumn("line", model_line()).filter(F.col("line").isNotNull())
-    return merge_chats(body.select(*by, chat, seq, "line"), by, chat, seq).select(*by, chat, seq, "part", "line")
+    return merge_chats(body.select(*by, chat, seq, "line"), by, chat, seq, messages.select(*by, chat)).select(*by, chat, seq, "part", "line")

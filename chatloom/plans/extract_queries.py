@@ -13,7 +13,7 @@ LINES = lambda body, **k: v.with_views(body, "lines", **k)
 FOLD = """f AS (SELECT chat, line_no, text, length(text) AS size, 0 AS chunk_no FROM lines WHERE line_no = 0
   UNION ALL SELECT l.chat, l.line_no, l.text, CASE WHEN f.size >= 500 THEN 0 ELSE f.size END + length(l.text),
     f.chunk_no + (f.size >= 500)::INT FROM f JOIN lines l ON l.chat = f.chat AND l.line_no = f.line_no + 1)"""
-KEY = "substr(array_to_string(list_sort(list_distinct(string_split(text, ''))), ''), 1, 80)"
+KEY = "array_to_string(list_sort(list_distinct(string_split(text, ''))), '')"
 
 
 def _lines(spark, d):
@@ -66,6 +66,16 @@ def reduce_points(spark, d):
     return mr.reduce_points(_points(spark, d), ["report"], ["pos"])
 
 
+@query(LINES("""SELECT report, category, "desc" FROM (SELECT chat % 10 AS report, category, k, arg_min(text, chat * 100000 + line_no) AS "desc" FROM pt GROUP BY 1, 2, 3)""", extra=POINTS))
+def points_pages(spark, d):
+    """Every entry comes back by reading the pages."""
+    merged = mr.merge_points(_points(spark, d), ["report"], ["pos"])
+    pages = mr.points_pages(merged, ["report"], ["pos"], 2000)
+    each = [F.struct(F.lit(c).alias("category"), F.from_json(F.get_json_object("points", f"$.{c}"), "array<struct<desc: string>>").alias("e")) for c in ("events", "facts", "todos")]
+    return (pages.select("report", F.explode(F.array(*each)).alias("x")).select("report", "x.category", F.explode("x.e").alias("e"))
+            .select("report", "category", "e.desc"))
+
+
 DOCUMENT = BRIEF.rstrip() + """,
 ep AS (SELECT report, event_id, CASE event_id % 3 WHEN 0 THEN 'events' WHEN 1 THEN 'problems' ELSE 'facts' END AS category,
   strftime(ts, '%Y-%m-%d') AS date, text, """ + KEY + """ AS k FROM msg WHERE kind = 'text' AND ts IS NOT NULL),

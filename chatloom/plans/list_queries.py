@@ -276,7 +276,7 @@ def progress_every_n(spark, d):
 def ledger_rows_cut(spark, d):
     r = v.ledger(spark, d)
     err = F.when(F.col("status") == "error", F.concat(F.repeat(F.lit("导出失败 "), 60), F.col("seq").cast("string")))
-    return ledger_rows(r.withColumn("error", err))
+    return ledger_rows(r.withColumn("error", err), 200)
 
 
 @query("SELECT c_custkey AS pos, c_name AS name FROM customer ORDER BY c_custkey LIMIT 100")

@@ -231,11 +231,22 @@ def build_transcript(spark, d):
     return tr.build_transcript(v.with_seq(v.msg_events(spark, d)), ["report"])
 
 
-@query(MSG("""SELECT report, chat, count(*) AS n FROM (SELECT report, chat FROM msg UNION ALL SELECT DISTINCT report, chat FROM msg)
-GROUP BY 1, 2"""))
+@query(MSG("""SELECT report, chat, seq, 1 AS part, text AS line FROM msg
+UNION ALL SELECT DISTINCT report, chat, 0, 0, '===== 聊天来源：' || chat || ' =====' FROM msg"""))
 def merge_chats(spark, d):
-    m = v.with_seq(v.msg_events(spark, d)).select("report", "chat", "seq")
-    return tr.merge_chats(m, ["report"]).groupBy("report", "chat").agg(F.count("*").alias("n"))
+    m = v.with_seq(v.msg_events(spark, d)).select("report", "chat", "seq", F.col("text").alias("line"))
+    return tr.merge_chats(m, ["report"]).select("report", "chat", "seq", "part", "line")
+
+
+@query(MSG("""SELECT m.event_id, m.chat, coalesce(f.caption, m.text) AS text FROM msg m LEFT JOIN (
+  SELECT chat, event_id, 'a ' || img_path AS caption FROM (SELECT chat, event_id, img_path FROM msg WHERE kind = 'image' ORDER BY chat, event_id LIMIT 40)) f
+  USING (chat, event_id)"""))
+def repeated_captions(spark, d):
+    """Every image path has two captions; each message still comes once."""
+    m = v.msg_events(spark, d)
+    paths = m.filter("img_path is not null").select("img_path").distinct()
+    caps = paths.withColumn("caption", F.explode(F.array(*[F.concat(F.lit(x), "img_path") for x in ("b ", "a ")])))
+    return tr.apply_captions(m, caps, 40, ["chat", "event_id"]).select("event_id", "chat", "text")
 
 
 GAPS = """p AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM (

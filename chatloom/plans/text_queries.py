@@ -58,13 +58,14 @@ def extract_source(spark, d):
     return m.select("chat", "event_id", "kind", "ts")
 
 
-@query(MSG(f"""SELECT chat::VARCHAR AS chat, line FROM (
+@query(MSG(f"""SELECT chat || '-' || substr(md5(chat::VARCHAR), 1, 12) AS chat, line FROM (
   SELECT chat, CASE kind WHEN 'voice' THEN {SHOWN} || ' 〔语音 ' || text || '〕' || coalesce('　' || strftime(ts, '%H:%M'), '')
     WHEN 'image' THEN {SHOWN} || ' [图片]' || coalesce('　' || strftime(ts, '%H:%M'), '')
     ELSE CASE WHEN {SHOWN} <> '' THEN {SHOWN} || ' ' ELSE '' END || text || coalesce('　' || strftime(ts, '%H:%M'), '') END AS line
   FROM msg WHERE kind IN ('voice', 'image') OR text NOT IN ('86.6K', 'PDF')
   UNION ALL SELECT DISTINCT chat, strftime(ts, '■ %Y年%m月%d日') FROM msg WHERE ts IS NOT NULL)"""))
 def write_transcript(spark, d):
+    """A folder per chat, named by the safe name and a digest of the full one."""
     path = shared_dir(spark, "transcripts")
     sk.write_transcript(v.with_seq(v.msg_events(spark, d)), path)
     return spark.read.schema("value string, chat string").text(path).select("chat", F.col("value").alias("line"))

@@ -27,7 +27,9 @@ def source_names() -> list[str]:
 
 def extract(spark: SparkSession, source: str, chats: list[str] | None = None, window: str = "",
             as_of: datetime | None = None, **options) -> DataFrame:
-    """Messages of the named chats (all if none are named) inside the time window."""
+    """Messages of the named chats (all if none are named) inside the time window, which needs ``as_of``."""
+    if window and as_of is None:
+        raise ValueError("a time window needs as_of, the moment it counts back from")
     if source not in _READERS:
         raise KeyError(f"no chat source {source!r}; registered: {source_names()}")
     m = _READERS[source](spark, **options)
@@ -36,7 +38,7 @@ def extract(spark: SparkSession, source: str, chats: list[str] | None = None, wi
         raise ValueError(f"source {source!r} lacks columns {missing}")
     if chats:
         m = m.filter(F.col("chat").isin(*chats))
-    return filter_time_window(m, window, as_of or datetime.now()) if window else m
+    return filter_time_window(m, window, as_of) if window else m
 
 
 register_source("chat_files", read_chats)

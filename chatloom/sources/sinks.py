@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_name
+from ..functions.text import folder_name
 from ..operators.transcript import transcript_lines
 
 
 def write_transcript(messages: DataFrame, path: str, chat: str = "chat", files: int | None = None,
                      mode: str = "errorifexists") -> None:
-    """Readable transcripts as text, one folder per chat. Rows are ranged by (chat, time), so a large chat
+    """Readable transcripts as text, one folder per chat (a safe name and a digest of the full one). Rows are ranged by (chat, time), so a large chat
     becomes several files whose names follow its order."""
-    lines = transcript_lines(messages, [chat]).withColumn("_folder", safe_name(F.col(chat).cast("string")))
+    lines = transcript_lines(messages, [chat]).withColumn("_folder", folder_name(F.coalesce(F.col(chat).cast("string"), F.lit(""))))
     order = ["_folder", chat, "at", "seq", "part"]
     ranged = lines.repartitionByRange(files, *order) if files else lines.repartitionByRange(*order)
     (ranged.sortWithinPartitions(*order).select(F.col("_folder").alias("chat"), F.col("line").alias("value"))
@@ -26,14 +26,15 @@ def write_report_tables(report: dict[str, DataFrame], path: str, fmt: str = "par
         table.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
 
 
-def ledger_rows(results: DataFrame) -> DataFrame:
-    """Results (name, messages, error, at) as ledger rows; error texts are cut to 200 characters."""
+def ledger_rows(results: DataFrame, error_chars: int | None = None) -> DataFrame:
+    """Results (name, messages, error, at) as ledger rows; error texts are cut to ``error_chars`` if that is given."""
+    error = F.substring("error", 1, error_chars) if error_chars else F.col("error")
     failed = F.col("error").isNotNull()
     return results.select(
         "name", F.when(failed, "error").otherwise("done").alias("status"),
         F.when(~failed, F.col("messages").cast("long")).alias("messages"),
-        F.substring("error", 1, 200).alias("error"), "at")
+        error.alias("error"), "at")
 
 
-def ledger_append(results: DataFrame, path: str) -> None:
-    ledger_rows(results).write.mode("append").parquet(path)
+def ledger_append(results: DataFrame, path: str, error_chars: int | None = None) -> None:
+    ledger_rows(results, error_chars).write.mode("append").parquet(path)

@@ -101,3 +101,23 @@ def test_halo_copies_only_the_edge(spark):
     out = with_halo(spark.range(10).withColumnRenamed("id", "p"), "p", 5, 2).collect()
     assert sorted((r._slice, r.p) for r in out if r._ghost) == [(1, 3), (1, 4), (2, 8), (2, 9)]
     assert sum(not r._ghost for r in out) == 10
+
+
+def test_windows_wider_than_a_slice(spark):
+    df = spark.createDataFrame([("a", 500, "x", 0), ("a", 2500, "x", 0)], "chat string, screen_idx int, fp string, rank int")
+    assert [r.screen_idx for r in dd.dedup_overlap(df, ["chat"], window=3000).collect()] == [500]
+
+
+def test_null_keys_and_great_keys_keep_their_scan(spark):
+    """Rows without a key are a key of their own; whole numbers beside them stay exact."""
+    great = 2**60 + 1
+    rows = [(k, i, float(i)) for k in (None, great, great + 1) for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "chat long, seq long, x double")
+    out = carry_scan(df, ["chat"], slice_of("seq", 2), [F.col("seq")], last={"seen": F.when(F.col("seq") == 1, F.col("x"))}, total={"sum": F.col("seq")})
+    got = {(r.chat, r.seq): (r.seen, r.sum) for r in out.collect()}
+    assert got == {(k, i): (1.0, i * (i + 1) // 2) for k in (None, great, great + 1) for i in range(1, 8)}
+    lines = df.select("chat", "seq", F.lit("abcd").alias("line"))
+    from chatloom.operators.mapreduce import number_chunks
+
+    got = {(r.chat, r.seq): r.chunk_no for r in number_chunks(lines, ["chat"], 8, width=3).collect()}
+    assert got == {(k, i): (i - 1) // 2 for k in (None, great, great + 1) for i in range(1, 8)}

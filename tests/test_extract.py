@@ -120,3 +120,51 @@ def test_captions_cover_the_first_images_only(spark):
     caps = spark.createDataFrame([("p0", "零"), ("p2", "二"), ("p3", "三")], "img_path string, caption string")
     out = tr.apply_captions(m, caps, 3).orderBy("seq").collect()
     assert [r.text for r in out] == ["零", "", "二", "", "t"]
+
+
+def test_two_captions_of_an_image_make_one_message(spark):
+    m = spark.createDataFrame([("a", 1, "image", "", "p"), ("a", 2, "text", "t", None)], "chat string, seq int, kind string, text string, img_path string")
+    caps = spark.createDataFrame([("p", "b"), ("p", "a")], "img_path string, caption string")
+    assert [r.text for r in tr.apply_captions(m, caps, 3).orderBy("seq").collect()] == ["a", "t"]
+
+
+def test_a_chat_without_lines_is_still_named(spark):
+    m = chat(spark).withColumn("report", F.lit(1))
+    silent = spark.createDataFrame([("b", 1, "time", "", None, "", "left", "")], MSG).withColumn("report", F.lit(1))
+    heads = [r.line for r in tr.build_transcript(m.unionByName(silent), ["report"]).filter("part = 0").orderBy("chat").collect()]
+    assert heads == ["===== 聊天来源：a =====", "===== 聊天来源：b ====="]
+
+
+def test_the_model_is_asked_once_a_chunk(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def ask(text):
+        import uuid
+        from pathlib import Path
+
+        Path(folder, uuid.uuid4().hex).write_text(text)
+        return mr.extract_by_rules(text)
+
+    chunks = spark.createDataFrame([(1, i, f"2026-01-0{i + 1} a\nwhy?\n3 items") for i in range(8)], "report int, chunk_no int, text string")
+    points = mr.points_of(mr.map_chunks(chunks, ["report"], ask), ["report"]).collect()
+    assert len(points) == 24 and len(list(tmp_path.iterdir())) == 8
+
+
+def test_points_that_agree_in_eighty_characters_stay_apart(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(80))
+    df = spark.createDataFrame([(1, "facts", 0, 0, text + "龍"), (1, "facts", 0, 1, text + "龜")], "report int, category string, chunk_no int, pos int, desc string")
+    assert mr.merge_points(df, ["report"]).count() == 2 and mr.merge_points(df, ["report"], key_chars=80).count() == 1
+
+
+def test_pages_of_points_lose_nothing(spark):
+    r = random.Random(3)
+    rows = [("r", c, i // 7, i % 7, f"{c}{i}" + '"\\x' * r.randint(0, 40)) for c in ("events", "facts", "todos") for i in range(60)]
+    df = spark.createDataFrame(rows, "report string, category string, chunk_no int, pos int, desc string")
+    for chars in (300, 900, 100_000):
+        pages = [x.points for x in mr.points_pages(df, ["report"], chars=chars).orderBy("page").collect()]
+        assert all(len(p) <= chars or sum(map(len, json.loads(p).values())) == 1 for p in pages)
+        got = [(c, e["desc"]) for p in pages for c, es in json.loads(p).items() for e in es]
+        want = [(c, x[4]) for c in ("events", "todos", "facts") for x in rows if x[1] == c]
+        assert sorted(got) == sorted(want)
+        for c in ("events", "todos", "facts"):
+            assert [d for k, d in got if k == c] == [d for k, d in want if k == c]

@@ -64,7 +64,7 @@ def test_transcript_files_keep_the_order(spark, tmp_path):
     rows = [("群/一", i, "text", f"第{i}条", datetime(2026, 1, 1 + i // 20, 0, i % 60), "", "left", "") for i in range(100)]
     m = spark.createDataFrame(rows, "chat string, seq int, kind string, text string, ts timestamp_ntz, speaker string, side string, time_label string")
     sk.write_transcript(m, str(tmp_path / "t"), files=4)
-    folder = tmp_path / "t" / "chat=群_一"
+    (folder,) = (tmp_path / "t").glob("chat=群_一-*")
     files = sorted(folder.glob("part-*"))
     assert len(files) > 1
     lines = [x for f in files for x in f.read_text(encoding="utf-8").splitlines()]
@@ -75,7 +75,7 @@ def test_transcript_files_keep_the_order(spark, tmp_path):
 def test_ledger_rows(spark, tmp_path):
     r = spark.createDataFrame([("a", 5, None, datetime(2026, 1, 1)), ("b", 7, "x" * 300, datetime(2026, 1, 1))],
                               "name string, messages int, error string, at timestamp_ntz")
-    sk.ledger_append(r, str(tmp_path / "l"))
+    sk.ledger_append(r, str(tmp_path / "l"), 200)
     sk.ledger_append(r.filter("name = 'a'"), str(tmp_path / "l"))
     out = spark.read.parquet(str(tmp_path / "l")).orderBy("name").collect()
     assert [(x.name, x.status, x.messages, len(x.error or "")) for x in out] == [("a", "done", 5, 0), ("a", "done", 5, 0), ("b", "error", None, 200)]
@@ -105,3 +105,21 @@ def test_stop_words_split_pairs(spark):
     got = [r.t for r in t.select(st.keyword_terms(F.col("x")).alias("t")).collect()]
     assert got == [["项目"], ["天项", "项目"]]
     assert t.select(st.keyword_terms(F.col("x"), parity=True).alias("t")).collect()[1].t == ["今天", "天项", "项目"]
+
+
+def test_chats_with_like_names_get_their_own_folders(spark, tmp_path):
+    rows = [(c, 1, "text", c, datetime(2026, 1, 1), "", "left", "") for c in ("群 A", "群/A")]
+    m = spark.createDataFrame(rows, "chat string, seq int, kind string, text string, ts timestamp_ntz, speaker string, side string, time_label string")
+    sk.write_transcript(m, str(tmp_path / "t"))
+    texts = ["".join(f.read_text(encoding="utf-8") for f in d.glob("part-*")) for d in (tmp_path / "t").glob("chat=*")]
+    assert len(texts) == 2 and all(("群 A" in t) != ("群/A" in t) for t in texts)
+
+
+def test_whole_errors_by_default(spark):
+    r = spark.createDataFrame([("b", 7, "x" * 300, datetime(2026, 1, 1))], "name string, messages int, error string, at timestamp_ntz")
+    assert len(sk.ledger_rows(r).first().error) == 300
+
+
+def test_a_window_needs_a_moment(spark):
+    with pytest.raises(ValueError):
+        rg.extract(spark, "chat_files", window="7d")
