@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Hashed words a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 class WordHashes(dict):
@@ -70,11 +70,18 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
     return known
 
 
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """The texts of about ``rows`` rows, those with the least hash of id and text. Only hashes are sorted, no text is shuffled."""
+    hashed = docs.filter("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    edge = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return hashed.filter(F.col("h") <= F.lit(edge).cast("long")).select("text")
+
+
 def frequent_grams(docs: DataFrame, width: int, lower: bool, sample: int = 4000, least: int = 4, most: int = 200_000) -> np.ndarray:
     """Sorted hashes of the word n-grams that at least ``least`` of ``sample`` documents hold, the ``most`` commonest.
 
     The sample (the rows with the least hash of id and text) serves only to order keys by cost: results never depend on it."""
-    picked = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample).select("text")
+    picked = sampled(docs, sample)
 
     def grams(frames):
         import pandas as pd

@@ -14,7 +14,7 @@ from chatloom.llm.grams import WordHashes, among, byte_words, frequent_grams, ro
 #: Words of a window and of the pieces that minimisers are chosen from.
 WINDOW, PIECE = 50, 5
 #: Words that a task works on at once; intervals up to which removals are broadcast to the texts (16 bytes each).
-BLOCK, SMALL = 1_500_000, 2_000_000
+BLOCK, SMALL = 400_000, 2_000_000
 SENT = "mini long, doc_id long, k long, start int, n int, words binary"
 GONE = "doc_id long, k long, start int, n int"
 
