@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.common import packed, settle, text_key
+from chatloom.llm.common import packed, settle, small_enough, text_key
 
 #: Fixed by the contract: phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -29,6 +29,8 @@ TEMPLATES = {
 }
 #: Words of a k-gram; offsets that still belong together; share of a template's grams that a span must hold.
 K, DRIFT, SHARE = 2, 3, 0.6
+#: Texts with findings up to which these are broadcast to the rows; more are joined by a shuffle.
+SMALL = 200_000
 #: A word is a run of characters other than these.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -84,9 +86,9 @@ def scan(docs: DataFrame, share: float = SHARE) -> DataFrame:
              .withColumn("share", F.bit_count("bits") / size[F.col("template")])
              .filter((F.col("share") >= share) & (F.col("stop") - F.col("start") <= 1.5 * (size[F.col("template")] + K) + DRIFT))
              .groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", F.regexp_replace("template", "-notice$", "").alias("label"), "share"))).alias("spans")))
-    found = places.join(spans, "_key", "full")
+    found = settle(places.join(spans, "_key", "full"), "license-spans")
     none = {n: F.array().cast(t) for n, t in dict(found.dtypes).items() if n != "_key"}
-    return (d.drop("_w").join(found, "_key", "left").drop("_key")
+    return (d.drop("_w").join(small_enough(found, SMALL), "_key", "left").drop("_key")
             .withColumns({n: F.coalesce(n, e) for n, e in none.items()}))
 
 
