@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatloom.llm.common import packed, text_key
+from chatloom.llm.common import packed, settle, small_enough, text_key
 
 #: Fixed by the contract: patterns of the kinds that always count, in the order of the list.
 BASE = {
@@ -32,8 +32,10 @@ ROLE = {"assign": "secret", "access": "access", "hex": "secret", **{k: r for k,
 COMPLEMENTS = {"access": ["secret"], "secret": ["access", "endpoint"], "endpoint": ["secret"]}
 #: Characters over which parts belong together; blank lines part the scopes.
 REACH = 400
-#: Nothing else can hold a part: texts without a match need no further look.
-HINT = r"(?i)passw|passphrase|pass[\"']?\x20*[:=]|pwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|://|(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?|host|server|endpoint|url|private_?key)[\"']?\x20*[:=]|[A-Za-z0-9+/_-]{40}"
+#: Every finding is of a base kind or linked to a secret, so texts with none of these (in lower case) and no long run have none.
+SIGNS, RUN = ["pass", "pwd", "secret", "token", "api_key", "apikey", "private", "akia"], r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32}"
+#: Texts with findings up to which these are broadcast to the texts.
+SMALL = 200_000
 
 PARTS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("stop", "integer").add("scope", "integer"))
 
@@ -75,12 +77,14 @@ def scan(docs: DataFrame) -> DataFrame:
     Regular expressions find the parts. Base kinds are findings. A weak part is one only if a part that
     complements its role starts within REACH characters of it in the same scope. That interval join runs over bins of
     REACH characters: a bin is summed up by its first and last start per role, so a part meets three summaries
-    and never its neighbours one by one. Texts with no sign of a part skip all that; null text is empty.
+    and never its neighbours one by one. Texts with no sign of a secret skip all that; null text is empty. Findings are
+    broadcast to the rows if at most SMALL texts have some, else joined by a shuffle.
     Equal rows get equal findings; rows are told apart by id and text."""
-    d = packed(docs)
-    d = d.withColumn("_text", F.coalesce("row.text", F.lit("")))
-    d = d.withColumn("_key", F.when(F.col("_text").rlike(HINT), text_key(F.col("row.doc_id"), F.col("_text"))))
-    found = (d.filter(F.col("_key").isNotNull()).select("_key", _parts("_text").alias("p")).filter(F.size("p") > 0)
+    d = packed(docs).withColumn("_key", text_key(F.col("row.doc_id"), F.col("row.text")))
+    signs = F.col("row.text").rlike(RUN)
+    for x in SIGNS:
+        signs = signs | F.lower("row.text").contains(x)
+    found = (d.filter(signs).select("_key", F.col("row.text").alias("_text")).select("_key", _parts("_text").alias("p")).filter(F.size("p") > 0)
              .groupBy("_key").agg(F.first("p").alias("p"))
              .select("_key", F.explode("p").alias("p")).select("_key", "p.*")
              .withColumn("role", _of(ROLE)).withColumn("bin", F.floor(F.col("start") / REACH))
@@ -97,10 +101,9 @@ def scan(docs: DataFrame) -> DataFrame:
     spans = (found.filter("not weak").select("_key", "kind", "start", "stop")
              .unionByName(linked.select("_key", "kind", "start", "stop"))
              .groupBy("_key").agg(F.array_sort(F.collect_list(span)).alias("spans")))
-    # texts without a part have no partner; keys of their own keep them from meeting in one task
-    d = d.select("row", F.coalesce("_key", F.concat(F.lit("-"), F.coalesce(F.col("row.doc_id").cast("string"), F.xxhash64("_text").cast("string")))).alias("_key"))
+    spans = settle(spans, "secrets")
     none = F.array().cast(dict(spans.dtypes)["spans"])
-    return (d.join(spans, "_key", "left").drop("_key").withColumn("spans", F.coalesce("spans", none))
+    return (d.join(small_enough(spans, SMALL), "_key", "left").drop("_key").withColumn("spans", F.coalesce("spans", none))
             .withColumn("base", F.filter("spans", lambda s: s["no"] < len(BASE))))
 
 
