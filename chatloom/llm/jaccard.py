@@ -7,6 +7,7 @@ sets agree on some segment. Only candidates that agree on one are compared, exac
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,9 @@ STAR_ROUNDS = 2
 def shingle_set(words: list[bytes], hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; a shorter text is one shingle, no words none."""
     if len(words) >= width:
-        return np.unique(rolling(hashes.of(words), width))
+        x = rolling(hashes.of(words), width)
+        x.sort()
+        return x[np.append(True, x[1:] != x[:-1])]
     if not words:
         return np.zeros(0, np.uint64)
     return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
@@ -42,16 +45,30 @@ def set_key(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-def bands(most: int) -> list[tuple[int, int]]:
-    """Ranges of set sizes, from the least size of the larger of two different sets that link."""
-    out, lo = [], 4
-    while lo <= most:
-        hi = max(lo, int(lo * GROWTH))
-        out.append((lo, hi))
-        lo = hi + 1
+@lru_cache(None)
+def band(no: int) -> tuple[int, int]:
+    """Range of set sizes, counted from the least size of the larger of two different sets that link."""
+    lo = band(no - 1)[1] + 1 if no else 4
+    return lo, max(lo, int(lo * GROWTH))
+
+
+@lru_cache(4096)
+def bands(n: int) -> list[tuple[int, int, int]]:
+    """(number, least, most) of the bands that a set of ``n`` has a part in: its own and those of larger partners."""
+    out, no = [], 0
+    while band(no)[0] <= 4 * n // 3:
+        if band(no)[1] >= n:
+            out.append((no, *band(no)))
+        no += 1
     return out
 
 
+@lru_cache(None)
+def segment_salts(no: int, m: int) -> np.ndarray:
+    return mixed(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(no))
+
+
+@lru_cache(None)
 def allocation(lo: int, hi: int) -> tuple[int, bool]:
     """(segments, whether one-deletion neighbourhoods are used) of a band, whichever costs less.
 
@@ -65,65 +82,87 @@ def allocation(lo: int, hi: int) -> tuple[int, bool]:
     return (1, True) if h <= 1 and 1 + lo < exact else (segments, False)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of a set under its own band and those of larger sets it may link to.
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """Signatures of a set under its own band and those of larger sets it may link to; (band, agreements a partner implies).
 
-    With m segments and at most h differences, linked sets agree on at least m - h segments. All segments
-    have one order of cost: with a rare shingle, all shingles frequent, empty; then by hash. The cheapest h + 1 are listed:
-    the cheapest segment that two linked sets agree on has at least m - h - 1 dearer ones, so both list it.
-    h follows the set's own size, which bounds the differences of its pairs."""
-    n, out = len(tokens), []
+    With m segments and at most h differences (which follow the set's own size), a linked set agrees on at least m - h
+    segments. Cost decides what is listed: segments filled by frequent shingles alone and empty ones are left out, unless a linked set
+    could agree on these only; then the frequent are listed too, at last the empty. Of a set that leaves both out, ``need`` =
+    m - h - frequent - empty listed segments are listed by a linked set as well; of others at least one is."""
+    n, out, needs = len(tokens), [], []
     common = among(tokens, frequent)
-    for no, (lo, hi) in enumerate(bands(4 * n // 3)):
-        if n > hi:
-            continue
+    common = common if common.any() else None
+    for no, lo, hi in bands(n):
         m, deletions = allocation(lo, hi)
         h = mixed(tokens + np.uint64((no + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
         if deletions:
             whole = h.sum(dtype=np.uint64)
-            out.append(mixed(np.concatenate([[whole], whole - h]) ^ np.uint64(no)))
-            continue
-        seg = ((h >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-        low = np.bincount(seg, (h & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
-        high = np.bincount(seg, (h >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
-        sig = mixed((low + (high << np.uint64(32))) ^ mixed(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(no)))
-        held = np.bincount(seg, minlength=m)
-        cost = np.where(held == 0, 2, np.where(np.bincount(seg, common, m) == held, 1, 0)).astype(np.uint64)
-        keep = min(m, (n + min(hi, 4 * n // 3)) // 7 + 1)
-        order = (cost << np.uint64(62)) | (sig >> np.uint64(2))
-        out.append(sig[np.argpartition(order, keep - 1)[:keep]] if keep < m else sig)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def summaries(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, s): number of shingles and name of the set; s is null for an empty set."""
-    def run(frames):
-        hashes = WordHashes()
-        for f in frames:
-            sets = [shingle_set(byte_words(t, lower=True), hashes, width) for t in f["text"].tolist()]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "n": [len(x) for x in sets],
-                                "s": pd.array([set_key(x) if len(x) else None for x in sets], "Int64")})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s long")
+            sig, need = mixed(np.concatenate([[whole], whole - h]) ^ np.uint64(no)), 1
+        else:
+            seg = ((h >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
+            low = np.bincount(seg, (h & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
+            high = np.bincount(seg, (h >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
+            held = np.bincount(seg, minlength=m)
+            agree, filled = m - (n + min(hi, 4 * n // 3)) // 7, held > 0
+            plain = filled if common is None else filled & (np.bincount(seg, common, m) < held)
+            # what isn't listed can't be all that a linked set agrees on
+            for listed in (plain, filled, np.ones(m, bool)):
+                need = agree - int(m - listed.sum())
+                if need >= 1:
+                    break
+            need = need if listed is plain else 1
+            sig = mixed((low + (high << np.uint64(32))) ^ segment_salts(no, m))[listed]
+        # the band takes six bits of what travels of a signature
+        out.append((sig & ~np.uint64(63 << 16)) | np.uint64(no << 16))
+        needs.append((no, need))
+    return out, needs
+
+
+def _blocks(frames, chars: int = 4_000_000):
+    """Lists of (id, text) that are worked on at once; ids are null if there are none."""
+    for f in frames:
+        rows, size = [], 0
+        ids = f["doc_id"].astype("Int64").tolist() if "doc_id" in f else [None] * len(f)
+        for i, t in zip(ids, f["text"].tolist()):
+            rows.append((None if i is pd.NA else i, t))
+            size += len(t or "")
+            if size >= chars:
+                yield rows
+                rows, size = [], 0
+        if rows:
+            yield rows
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many elements fall to each of 256 parts of the universe. Two sets differ by at least as much as their counts do."""
+    return np.minimum(np.bincount((tokens >> np.uint64(40)).astype(np.int64) & 255, minlength=256), 255).astype(np.uint8).tobytes()
 
 
 def segment_groups(docs: DataFrame, width: int, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """(gid, s): sets that agree on a listed segment. Groups of the same members are one.
+    """Rows (gid, s, band): sets that agree on a listed segment, groups of the same members once for each bucket. Beside them rows without
+    gid: (s, band, n), on how many segments of a bucket a set meets others, or below zero how many it needs; and (s, doc_id, n, counts),
+    each text's set, its size and sketch, without band; s is null for an empty set.
 
-    Signatures travel packed: one row for each task's batch and bucket. Copies of a set within a batch travel once."""
+    All travel packed: one row for each block of texts and bucket. Copies of a set within a task are listed once."""
     def cut(frames):
         hashes, known = WordHashes(), set()
-        for f in frames:
-            names, parts = [], []
-            for t in f["text"].tolist():
+        for turn, rows in enumerate(_blocks(frames)):
+            names, parts, ids, sets, needs = [], [], [], [], []
+            for i, t in rows:
                 x = shingle_set(byte_words(t, lower=True), hashes, width)
-                s = set_key(x) if len(x) > 2 else None
-                if s is not None and s not in known:
+                s = set_key(x) if len(x) else 0
+                ids.append((i or 0, i is not None, s, len(x)))
+                sets.append(sketch(x))
+                if len(x) > 2 and s not in known:
                     known.add(s)
-                    names.append(s)
-                    parts.append(signatures(x, frequent))
+                    sigs, need = signatures(x, frequent)
+                    names += [s] * len(sigs)
+                    parts += sigs
+                    needs += [(s, b, c) for b, c in need]
+            yield pd.DataFrame({"bucket": [-1 - int(ids[0][0] % 1024)], "sigs": [np.array(ids, np.int64).tobytes()], "sets": [b"".join(sets)]})
             if not names:
                 continue
+            yield pd.DataFrame({"bucket": [-5000 - int(names[0] % 1024)], "sigs": [np.array(needs, np.int64).tobytes()], "sets": [b""]})
             sig, who = np.concatenate(parts), np.repeat(np.array(names, np.int64), [len(p) for p in parts])
             home = (sig % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
@@ -135,7 +174,22 @@ def segment_groups(docs: DataFrame, width: int, buckets: int, frequent: np.ndarr
             yield pd.DataFrame({"bucket": home[edges], "sigs": [short[a:b].tobytes() for a, b in zip(edges, ends)],
                                 "sets": [who[a:b].tobytes() for a, b in zip(edges, ends)]})
 
+    kinds = {"gid": "Int64", "s": "Int64", "band": "Int64", "n": "Int64", "doc_id": "Int64", "counts": object}
+
+    def frame(size, **cols):
+        return pd.DataFrame({c: pd.Series(cols.get(c, [None] * size), dtype=t) for c, t in kinds.items()})
+
     def meet(f):
+        if f["bucket"].iloc[0] <= -5000:
+            need = np.unique(np.frombuffer(b"".join(f["sigs"]), np.int64).reshape(-1, 3), axis=0)
+            return frame(len(need), s=need[:, 0], band=need[:, 1], n=-need[:, 2])
+        if f["bucket"].iloc[0] < 0:
+            told = np.frombuffer(b"".join(f["sigs"]), np.int64).reshape(-1, 4)
+            counts = b"".join(f["sets"])
+            named = lambda v, ok: pd.array(v, "Int64").copy() if ok.all() else pd.array(np.where(ok, v, 0), "Int64")
+            doc, s = named(told[:, 0], told[:, 1] > 0), named(told[:, 2], told[:, 3] > 0)
+            doc[told[:, 1] == 0], s[told[:, 3] == 0] = pd.NA, pd.NA
+            return frame(len(told), s=s, doc_id=doc, n=told[:, 3], counts=[counts[256 * i:256 * i + 256] for i in range(len(told))])
         whole = np.zeros((sum(map(len, f["sigs"])) // 6, 8), np.uint8)
         whole[:, :6] = np.frombuffer(b"".join(f["sigs"]), np.uint8).reshape(-1, 6)
         sig, who = whole.view(np.uint64).ravel(), np.frombuffer(b"".join(f["sets"]), np.int64)
@@ -145,17 +199,29 @@ def segment_groups(docs: DataFrame, width: int, buckets: int, frequent: np.ndarr
         sig, who = sig[fresh], who[fresh]
         start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         count = np.diff(np.append(start, len(sig)))
-        if not (count > 1).any():
-            return pd.DataFrame({"gid": np.zeros(0, np.int64), "s": np.zeros(0, np.int64)})
+        several = np.repeat(count > 1, count)
+        if not several.any():
+            return frame(0)
         gid = mixed(np.add.reduceat(mixed(who.view(np.uint64)), start) + count.astype(np.uint64))
+        band_of = (sig & np.uint64(63)).astype(np.int64)
+        # how many segments of a set others list as well: its bucket's share of what it needs
+        met = pd.DataFrame({"s": who[several], "band": band_of[several]}).groupby(["s", "band"]).size().reset_index(name="n")
         _, one = np.unique(gid, return_index=True)
         pick = np.zeros(len(start), bool)
         pick[one] = True
         rows = np.repeat(pick & (count > 1), count)
-        return pd.DataFrame({"gid": np.repeat(gid, count)[rows].astype(np.int64), "s": who[rows]})
+        shared = frame(len(met), s=met["s"], band=met["band"], n=met["n"])
+        return pd.concat([shared, frame(int(rows.sum()), gid=np.repeat(gid, count)[rows].astype(np.int64), s=who[rows], band=band_of[rows])], ignore_index=True)
+
+    return (docs.select("doc_id", "text").mapInPandas(cut, "bucket long, sigs binary, sets binary")
+            .groupBy("bucket").applyInPandas(meet, "gid long, s long, band long, n long, doc_id long, counts binary"))
 
-    return (docs.select("text").mapInPandas(cut, "bucket long, sigs binary, sets binary")
-            .groupBy("bucket").applyInPandas(meet, "gid long, s long").distinct())
+
+@F.pandas_udf(T.IntegerType())
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    """By how much two sketches differ."""
+    x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, 256).astype(np.int16) for z in (a, b))
+    return pd.Series(np.abs(x - y).sum(1).astype(np.int32))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -169,15 +235,32 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
-    """The pairs (u, v) that link."""
+def _fetched(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(s, tokens): the whole sets of the documents ``ids``. Up to SMALL ids are broadcast to the texts."""
+    def fetch(frames):
+        hashes = WordHashes()
+        for rows in _blocks(frames):
+            sets = [x for x in (shingle_set(byte_words(t, lower=True), hashes, width) for _, t in rows) if len(x)]
+            yield pd.DataFrame({"s": pd.array([set_key(x) for x in sets], "int64"), "tokens": pd.Series([x.tobytes() for x in sets], dtype=object)})
+
+    chosen = docs.filter("doc_id is not null").join(small_enough(ids, SMALL), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    return chosen.select("text").mapInPandas(fetch, "s long, tokens binary").groupBy("s").agg(F.first("tokens").alias("tokens"))
+
+
+def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The pairs (u, v) that link. Sizes and sketches rule out most others exactly; the sets of the rest are fetched and compared."""
+    side = lambda k: known.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"), F.col("doc_id").alias(f"d{k}"))
     near = (F.col("nu") * 4 >= F.col("nv") * 3) & (F.col("nv") * 4 >= F.col("nu") * 3)
-    joined = (pairs.join(sets.select(F.col("s").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu")), "u")
-              .join(sets.select(F.col("s").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv")), "v").filter(near))
-    return settle(joined.filter(_linked("tu", "tv")).select("u", "v"), label)
+    likely = pairs.join(side("u"), "u").join(side("v"), "v").filter(near)
+    likely = settle(likely.filter(_apart("cu", "cv") * 7 <= F.col("nu") + F.col("nv")).select("u", "v", "du", "dv"), "likely")
+    ids = likely.select(F.col("du").alias("doc_id")).union(likely.select("dv")).filter("doc_id is not null").distinct()
+    sets = settle(_fetched(docs, settle(ids, "fetch"), width), "tokens")
+    joined = (likely.select("u", "v").join(sets.select(F.col("s").alias("u"), F.col("tokens").alias("tu")), "u")
+              .join(sets.select(F.col("s").alias("v"), F.col("tokens").alias("tv")), "v"))
+    return settle(joined.filter(_linked("tu", "tv")).select("u", "v"), "links")
 
 
-def link_components(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def link_components(groups: DataFrame, known: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(s, root): components of the links among sets that share a group.
 
     A group's members first meet one of them, then another one. Whoever is linked by then is settled; members of a group
@@ -195,14 +278,16 @@ def link_components(groups: DataFrame, sets: DataFrame) -> DataFrame:
         if turn < STAR_ROUNDS:
             pairs = left.filter("root <> hub_root").select(F.least("s", "hub").alias("u"), F.greatest("s", "hub").alias("v"))
         else:
-            a, b = left.select("gid", F.col("s").alias("u"), F.col("root").alias("ru")), left.select("gid", F.col("s").alias("v"), F.col("root").alias("rv"))
-            size = sets.select("s", "n")
-            a = a.join(size.withColumnRenamed("s", "u").withColumnRenamed("n", "nu"), "u")
-            b = b.join(size.withColumnRenamed("s", "v").withColumnRenamed("n", "nv"), "v")
+            sized = left.select("gid", "s", "root").join(known.select("s", "n"), "s")
+            a = sized.select("gid", F.col("s").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"))
+            b = sized.select("gid", F.col("s").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
             pairs = a.join(b, "gid").filter("ru < rv and nu * 4 >= nv * 3 and nv * 4 >= nu * 3").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        links = links.unionByName(_verified(pairs.distinct(), sets, "links"))
-        root = settle(components(nodes, links), "roots")
+        found = _verified(pairs.distinct(), known, docs, width)
         left = left.select("gid", "s")
+        if found.isEmpty():
+            continue
+        links = links.unionByName(found)
+        root = settle(components(nodes, links), "roots")
     return root.withColumnRenamed("id", "s")
 
 
@@ -212,34 +297,27 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Null or blank text: an empty set, linked with nothing. component_id is the least id that links lead to, the row's own
     included; null ids count for nothing unless there are no others. Equal texts and repeated rows share a set, which travels and is
     compared once. No rows give no rows. Extra columns are ignored.
-    Hot groups: a segment that frequent shingles fill is listed last of all, and groups shrink to the members still apart."""
+    Sets that meet others on fewer segments than any link implies are out before anything is compared. Hot groups:
+    segments that frequent shingles fill are left out where that is safe, and groups shrink to the members still apart."""
     docs = docs.select("doc_id", "text")
-    known = settle(summaries(docs, width), "sets")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     frequent = frequent_grams(docs, width, lower=True)
-    groups = settle(segment_groups(docs, width, max(128, chars // BUCKET_CHARS), frequent), "groups")
-    picked = (known.filter("s is not null and doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-              .join(groups.select("s").distinct(), "s", "left_semi"))
-    picked = settle(picked.select("doc_id").distinct(), "picked")
-
-    def fetch(frames):
-        hashes = WordHashes()
-        for f in frames:
-            sets = [shingle_set(byte_words(t, lower=True), hashes, width) for t in f["text"].tolist()]
-            sets = [x for x in sets if len(x)]
-            yield pd.DataFrame({"s": pd.array([set_key(x) for x in sets], "int64"), "n": [len(x) for x in sets], "tokens": [x.tobytes() for x in sets]})
-
-    nameless = docs.filter("doc_id is null")
-    chosen = docs.join(small_enough(picked, SMALL), "doc_id", "left_semi").unionByName(nameless)
-    sets = settle(chosen.select("text").mapInPandas(fetch, "s long, n long, tokens binary")
-                  .groupBy("s").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "tokens")
-    root = link_components(groups, sets)
-    least = known.filter("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
+    met = settle(segment_groups(docs, width, max(128, chars // BUCKET_CHARS), frequent), "segments")
+    rows = met.filter("gid is null and band is null").select("doc_id", "n", "s", "counts")
+    able = met.filter("gid is null and band is not null").groupBy("s", "band").agg(
+        F.sum(F.greatest("n", F.lit(0))).alias("met"), F.max(-F.least("n", F.lit(0))).alias("need")).filter("met >= need").select("s", "band")
+    groups = met.filter("gid is not null").select("gid", "s", "band").join(able, ["s", "band"], "left_semi").select("gid", "s").distinct()
+    groups = settle(groups, "members")
+    groups = settle(groups.join(groups.groupBy("gid").count().filter("count > 1").select("gid"), "gid", "left_semi"), "groups")
+    wanted = rows.filter("s is not null").join(groups.select("s").distinct(), "s", "left_semi")
+    known = settle(wanted.groupBy("s").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc_id")), "known")
+    root = link_components(groups, known, docs, width)
+    least = rows.filter("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     least = least.join(root, "s", "left").select("s", F.coalesce("root", "s").alias("root"), "doc_id")
     named = settle(least.join(least.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("s", "component_id"), "named")
     # an empty set links with nothing and must not meet the other empty sets in one task
-    empty = known.filter("s is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    full = known.filter("s is not null").join(named, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.filter("s is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = rows.filter("s is not null").join(named, "s").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(empty)
 
 
