@@ -260,14 +260,19 @@ def points_pages(merged: DataFrame, keys: list[str], order: list[str] = ["chunk_
 
 
 def reduce_input(chats: DataFrame, brief: DataFrame, points: DataFrame, keys: list[str], template: str = "work",
-                 captions: DataFrame | None = None) -> DataFrame:
-    """The document a final synthesis reads, one per report: type, chat names (80 characters), digest,
-    captions and points. ``chats`` has (keys, chat) rows for the chats a report names."""
+                 captions: DataFrame | None = None, parity: bool = False) -> DataFrame:
+    """The documents a final synthesis reads, one per report and page of points: type, all chat names, digest, captions
+    and points. ``chats`` has (keys, chat) rows for the chats a report names, ``points`` the pages of ``points_pages``; a report
+    without points has one document, page 0. Every page repeats what stands before the points.
+
+    ``parity=True`` gives the cut form: one document per report, 80 characters of names and the text of ``points_json``."""
     each = chats.select(*keys, "chat").distinct()
-    # eighty names always fill eighty characters; the count covers them all
-    shown = (each.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("chat"))).filter("_r <= 80")
-             .groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-                 F.struct("_r", F.col("chat").cast("string").alias("c")))), lambda x: x["c"]), "、").alias("_names")))
+    named = each
+    if parity:
+        # eighty names always fill eighty characters; the count covers them all
+        named = each.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("chat"))).filter("_r <= 80")
+    shown = named.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("chat", F.col("chat").cast("string").alias("c")))), lambda x: x["c"]), "、").alias("_names"))
     head = each.groupBy(*keys).agg(F.count("*").alias("_chats")).join(shown, keys)
     out = head.join(brief, keys, "left").join(points, keys, "left")
     if captions is not None:
@@ -279,10 +284,11 @@ def reduce_input(chats: DataFrame, brief: DataFrame, points: DataFrame, keys: li
     doc = F.concat_ws(
         "\n\n", F.lit(f"报告类型要求：{K.TEMPLATE_HINT[template]}"),
         F.concat(F.lit("数据来源："), F.col("_chats").cast("string"), F.lit(" 个聊天（"),
-                 F.substring("_names", 1, 80), F.lit("）")),
+                 F.substring("_names", 1, 80) if parity else F.col("_names"), F.lit("）")),
         F.concat(F.lit("统计数据摘要：\n"), F.col("brief")), F.concat(F.lit("聊天图片内容：\n"), F.col("_captions")),
         F.concat(F.lit("分块提取的要点（JSON）：\n"), F.col("points")))
-    return out.select(*keys, doc.alias("document"))
+    page = [] if parity else [F.coalesce("page", F.lit(0)).cast("long").alias("page")]
+    return out.select(*keys, *page, doc.alias("document"))
 
 
 def timeline(points: DataFrame, keys: list[str], cap: int = K.TIMELINE_ROWS, order: list[str] = ["chunk_no", "pos"]) -> DataFrame:

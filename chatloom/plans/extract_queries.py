@@ -96,12 +96,39 @@ cp AS (SELECT report, string_agg('- cap ' || img_path, chr(10) ORDER BY r) AS ca
   || chr(10) || chr(10) || '分块提取的要点（JSON）：' || chr(10) || points AS document
 FROM nm JOIN br USING (report) JOIN cp USING (report) JOIN pj USING (report)""", "msg").replace("\nSELECT report, '报告类型", DOCUMENT + "SELECT report, '报告类型", 1))
 def reduce_input(spark, d):
+    """The cut form, as its SQL has it; ``reduce_input_pages`` is the whole one."""
     m = v.msg_events(spark, d)
+    captions = image_budget(m, ["report"], 3, "event_id").select("report", "image_no", F.concat(F.lit("cap "), "img_path").alias("caption"))
+    return mr.reduce_input(m.select("report", "chat"), st.stats_brief(m, ["report"]),
+                           mr.points_json(_dated(m), ["report"], ["event_id"], 2000), ["report"], captions=captions, parity=True)
+
+
+def _dated(m):
     i = F.col("event_id") % 3
     points = m.filter("kind = 'text' AND ts IS NOT NULL").select(
         "report", "event_id", F.when(i == 0, "events").when(i == 1, "problems").otherwise("facts").alias("category"),
         F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("text").alias("desc"))
-    merged = mr.merge_points(points, ["report"], ["event_id"])
-    captions = image_budget(m, ["report"], 3, "event_id").select("report", "image_no", F.concat(F.lit("cap "), "img_path").alias("caption"))
-    return mr.reduce_input(m.select("report", "chat"), st.stats_brief(m, ["report"]),
-                           mr.points_json(merged, ["report"], ["event_id"], 2000), ["report"], captions=captions)
+    return mr.merge_points(points, ["report"], ["event_id"])
+
+
+HEADING = "分块提取的要点（JSON）："
+
+
+@query(v.with_views(f"""SELECT report, sha256('报告类型要求：这是一份工作情况报告：聚焦工作进展、成果、问题与下一步安排。' || chr(10) || chr(10) || '数据来源：' || c || ' 个聊天（'
+  || names || '）' || chr(10) || chr(10) || '统计数据摘要：' || chr(10) || brief || chr(10) || chr(10) || '聊天图片内容：' || chr(10) || caps
+  || chr(10) || chr(10) || '{HEADING}' || chr(10)) AS head, category, date, text AS "desc"
+FROM nm JOIN br USING (report) JOIN ic USING (report) JOIN mp USING (report)""", "msg").replace("\nSELECT report, sha256(", DOCUMENT.rstrip() + """,
+ic AS (SELECT report, string_agg('- cap ' || img_path, chr(10) ORDER BY event_id) AS caps FROM msg WHERE kind = 'image' GROUP BY 1)
+SELECT report, sha256(""", 1))
+def reduce_input_pages(spark, d):
+    """Every entry, chat name and caption comes back by reading the documents."""
+    m = v.msg_events(spark, d)
+    captions = m.filter("kind = 'image'").select("report", F.col("event_id").alias("image_no"), F.concat(F.lit("cap "), "img_path").alias("caption"))
+    docs = mr.reduce_input(m.select("report", "chat"), st.stats_brief(m, ["report"]),
+                           mr.points_pages(_dated(m), ["report"], ["event_id"], 2000), ["report"], captions=captions)
+    points = F.substring_index("document", HEADING + "\n", -1)
+    head = F.substring("document", F.lit(1), F.length("document") - F.length(points))
+    each = [F.struct(F.lit(c).alias("category"), F.from_json(F.get_json_object(points, f"$.{c}"), "array<struct<date: string, desc: string>>").alias("e"))
+            for c in ("events", "problems", "facts")]
+    return (docs.select("report", F.sha2(head, 256).alias("head"), F.explode(F.array(*each)).alias("x"))
+            .select("report", "head", "x.category", F.explode("x.e").alias("e")).select("report", "head", "category", "e.date", "e.desc"))

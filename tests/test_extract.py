@@ -168,3 +168,19 @@ def test_pages_of_points_lose_nothing(spark):
         assert sorted(got) == sorted(want)
         for c in ("events", "todos", "facts"):
             assert [d for k, d in got if k == c] == [d for k, d in want if k == c]
+
+
+def test_documents_hold_every_point_and_chat_name(spark):
+    rows = [("r", c, i, 0, f"{c} number {i} of many") for c in ("events", "facts") for i in range(120)]
+    df = spark.createDataFrame(rows, "report string, category string, chunk_no int, pos int, desc string")
+    chats = spark.createDataFrame([("r", f"chat {i:03d}") for i in range(150)] + [("empty", "alone")], "report string, chat string")
+    brief = spark.createDataFrame([("r", "in short"), ("empty", "nothing")], "report string, brief string")
+    docs = mr.reduce_input(chats, brief, mr.points_pages(df, ["report"], chars=2000), ["report"]).orderBy("page").collect()
+    whole = [x.document for x in docs if x.report == "r"]
+    assert [x.page for x in docs if x.report == "r"] == list(range(len(whole))) and len(whole) > 1
+    assert [(x.page, "JSON" in x.document) for x in docs if x.report == "empty"] == [(0, False)]
+    assert all(f"chat {i:03d}" in x for x in whole for i in range(150))
+    pages = [json.loads(x.split("（JSON）：\n")[1]) for x in whole]
+    assert sorted(e["desc"] for p in pages for es in p.values() for e in es) == sorted(x[4] for x in rows)
+    cut = mr.reduce_input(chats, brief, mr.points_json(df, ["report"], chars=2000), ["report"], parity=True).filter("report = 'r'").collect()
+    assert len(cut) == 1 and len(cut[0].document.split("（JSON）：\n")[1]) == 2000 and "chat 149" not in cut[0].document
