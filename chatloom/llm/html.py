@@ -15,31 +15,60 @@ from chatloom.llm.common import packed, settle, small_enough
 
 #: Elements whose content is never text of the page, fixed values.
 RAW = "script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas|audio|video|select"
+#: Elements that hold the page itself: words in their class, id or role tell its layout.
+WHOLE = {"html", "body", "main", "article"}
 APART = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "label"}
-#: Words in class, id or role that mark furniture, fixed values.
+#: Names in class, id or role that mark furniture, fixed values.
 FURNITURE = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promoted", "banner", "cookie", "cookies", "consent", "gdpr",
              "notice", "notices", "alert", "popup", "modal", "overlay", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar",
              "footer", "contentinfo", "complementary", "sidebar", "aside", "widget", "widgets", "related", "recommended", "share", "sharing", "social", "newsletter",
              "subscribe", "subscription", "signup", "login", "search", "comment", "comments", "reply", "replies", "respond", "disqus", "pagination", "pager", "tags", "toc", "skip"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "center", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "ul", "ol", "dl", "figure", "details", "blockquote", "address", "hgroup"} | APART
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "figcaption", "caption", "summary", "legend", "option"}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)|<({RAW})\b(?:\s*/>|(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=[\s\"']/)>|>.*?(?:</\1\s*>|\Z)))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A whole name, bare or behind a place and before a part, unless the part tells a state of the page: sidebar, site-footer, ad-slot, but not no-ads or comments-open.
+MARK = re.compile(rf"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary)[-_])?(?:{'|'.join(sorted(FURNITURE))})(?:\d*|[-_](?!(?:open|opened|closed|enabled|disabled|on|off|none|fixed|sticky|visible|collapsed|results)(?:[-_]|\Z)).*)", re.S)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
+def _kept(nodes: list[tuple[int, str, str, bool, bool]], blocks: list[tuple[int, str, int]]) -> list[bool]:
+    """Which containers (parent, tag, path, furniture by its kind, furniture by its names; in page order) are text of the page.
+
+    Names don't count on a container that holds most of the page's unlinked text, unless an eighth of it stands in an article
+    or main element elsewhere."""
+    apart, named, last = [False] * len(nodes), [False] * len(nodes), list(range(len(nodes)))
+    held = [0] * len(nodes)
+    for i, (up, _, _, off, marked) in enumerate(nodes):
+        apart[i] = off or i > 0 and apart[up]
+        named[i] = marked or i > 0 and named[up]
+    for at, text, linked in blocks:
+        held[at] += 0 if apart[at] else len(text) - linked
+    for i in range(len(nodes) - 1, 0, -1):
+        up = nodes[i][0]
+        held[up] += held[i]
+        last[up] = max(last[up], last[i])
+    texts = [i for i, n in enumerate(nodes) if n[1] in ("main", "article") and not named[i] and 8 * held[i] >= max(held[0], 1)]
+    kept = [True] * len(nodes)
+    for i, (up, _, _, _, marked) in enumerate(nodes):
+        if marked and 2 * held[i] > held[0]:
+            marked = any(last[t] < i or t > last[i] for t in texts)
+        kept[i] = not apart[i] and not marked and (i == 0 or kept[up])
+    return kept
+
+
 def blocks_of(html: str | None) -> list[tuple[str, str, int]]:
     """(path of the containers, text, characters in links) of each block outside of furniture, in page order.
 
     A path is made of tags and their classes, digits generalised. Character references are decoded and white space is
     one space. What breaks off in mid-page counts as far as it goes; a tag that breaks off is none."""
-    out, stack, text, linked, in_link = [], [("", "", False)], [], 0, 0
+    nodes, stack, blocks, text, linked, in_link = [(0, "", "", False, False)], [0], [], [], 0, 0
 
     def flush():
         nonlocal linked
         joined = " ".join(entities.unescape("".join(text)).split())
-        if joined and not stack[-1][2]:
-            out.append((stack[-1][1], joined, linked))
+        if joined:
+            blocks.append((stack[-1], joined, linked))
         text.clear()
         linked = 0
 
@@ -56,8 +85,8 @@ def blocks_of(html: str | None) -> list[tuple[str, str, int]]:
         if m.group(2):
             if tag in BLOCKS:
                 flush()
-            if tag in CONTAINERS and any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
+            if tag in CONTAINERS and any(nodes[i][1] == tag for i in stack):
+                while nodes[stack.pop()][1] != tag:
                     pass
             in_link = 0 if tag == "a" else in_link
         elif tag == "br":
@@ -69,12 +98,13 @@ def blocks_of(html: str | None) -> list[tuple[str, str, int]]:
             in_link = 0
             if tag in CONTAINERS and not m.group(4).endswith("/"):
                 names = {k.lower(): (a or b or c) for k, a, b, c in NAMES.findall(m.group(4))}
-                marks = set(re.split(r"[^a-z]+", " ".join(names.values()).lower()))
-                off = stack[-1][2] or tag in APART or bool(marks & FURNITURE) or bool(HIDDEN.search(m.group(4)))
+                marked = tag not in WHOLE and any(map(MARK.fullmatch, " ".join(names.values()).lower().split()))
                 kind = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(names.get("class", "").split())[:3])
-                stack.append((tag, f"{stack[-1][1]}/{kind}", off))
+                nodes.append((stack[-1], tag, f"{nodes[stack[-1]][2]}/{kind}", tag in APART or bool(HIDDEN.search(m.group(4))), marked))
+                stack.append(len(nodes) - 1)
     flush()
-    return out
+    kept = _kept(nodes, blocks)
+    return [(nodes[at][2], t, n) for at, t, n in blocks if kept[at]]
 
 
 def scored_paths(blocks: list[tuple[str, str, int]]) -> Counter:

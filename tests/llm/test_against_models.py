@@ -224,3 +224,24 @@ def test_pages_give_their_article(spark):
     got = {r["row"]["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = "A title\nFirst <b> para graph with bold text and more of it.\none\ntwo"
     assert got == {**{i: want for i in range(6)}, 6: "only", 7: "", 8: ""}
+
+
+LAYOUT = ['<body class="has-sidebar">{}</body>', '<body><div id="page" class="no-ads">{}</div></body>', '<body><article class="post comments-open">{}</article></body>',
+          '<body><main class="search-results">{}</main></body>', '<html class="menu"><body id="search" role="banner"><div class="sidebar">{}</div></body></html>',
+          '<body><svg viewBox="0 0 1 1" />{}</body>', "<body><iframe src='x'/>{}<iframe></iframe></body>", "<body><svg/>{}<svg><text>no</text></svg></body>"]
+
+
+@pytest.mark.parametrize("page", LAYOUT)
+def test_marks_of_the_layout_drop_no_text(page):
+    from chatloom.llm.html import blocks_of, main_text
+
+    text = "Words of the article that stand on the page, enough of them to be its text."
+    inner = f'<p>{text}</p><div class="ad-slot">Buy</div><div class="site-footer">End</div><div class="Related">More</div><script src=/a/b/>no</script>'
+    assert main_text(blocks_of(page.format(inner)), None) == text
+
+
+def test_long_comments_beside_an_article_stay_out():
+    from chatloom.llm.html import blocks_of
+
+    page = "<body><div class='wrap'><article><p>The article is short but it is the text of this page.</p></article><section class='comments'>{}</section></div></body>"
+    assert len(blocks_of(page.format("<p>A comment that is quite long and says little about it.</p>" * 5))) == 1
