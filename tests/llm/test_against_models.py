@@ -245,3 +245,47 @@ def test_long_comments_beside_an_article_stay_out():
 
     page = "<body><div class='wrap'><article><p>The article is short but it is the text of this page.</p></article><section class='comments'>{}</section></div></body>"
     assert len(blocks_of(page.format("<p>A comment that is quite long and says little about it.</p>" * 5))) == 1
+
+
+def test_all_unlabelled_documents_take_part(spark):
+    """The fit over Spark's sums is that over every row of a pool with more sure rows than a round used to exchange."""
+    import numpy as np
+
+    from chatloom.llm import cotrain
+    from chatloom.llm.toxicity import fit_logistic
+
+    r = random.Random(11)
+    good = lambda: " ".join(r.choice(["the", "of", "and", "house", "river", "walked", "because"]) + r.choice(["", "s"]) for _ in range(60))
+    bad = lambda: " ".join(r.choice(["BUY", "###", "now!!!", "$$$"]) for _ in range(r.randint(3, 12)))
+    rows, marks = [], []
+    for i in range(5400):
+        y = r.random() < 0.5
+        rows.append((i, good() if y else bad(), "en", f"s{r.randint(0, 3) + 4 * (y if r.random() < 0.97 else not y)}", 300 if y else 30))
+        if i < 400:
+            marks.append((i, int(y if r.random() < 0.99 else not y)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(marks, "doc_id long, quality int")
+    table = cotrain.featured(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    known = cotrain._views(table[:400])
+    pool = cotrain._views(table[400:])
+    y, w = np.array([m[1] for m in marks], float), {k: fit_logistic(x[:, :-1], np.array([m[1] for m in marks], float)) for k, x in known.items()}
+    past = [{k: (w[k], np.array([4.0, 0.0])) for k in w}]
+    given = cotrain._given(pool, past)
+    assert all((v == 1).sum() > 2000 and (v == 0).sum() > 2000 for v in given.values())
+    frame = cotrain.featured(docs.filter("doc_id >= 400")).drop("doc_id")
+    got = cotrain._fit(known, y, frame.repartition(5), past, w)
+    for k, x in known.items():
+        use = ~np.isnan(given[k])
+        s = np.concatenate([np.ones(400), np.full(use.sum(), cotrain.TRUST)])
+        want = fit_logistic(np.concatenate([x, pool[k][use]])[:, :-1], np.concatenate([y, given[k][use]]), s)
+        assert np.allclose(got[k], want, atol=1e-4)
+    assert {r["predicted"] for r in cotrain.quality_scores(docs, labels).collect()} == {0, 1}
+
+
+def test_an_id_counts_once_in_the_fit(spark):
+    """Many rows of one labelled id weigh as one."""
+    from chatloom.llm.cotrain import quality_scores
+
+    rows = [(i, " ".join(["the river"] * (i % 7 + 5)) if i % 2 else "### $$$ BUY", "en", "a", 50) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    score = lambda rs: {r["doc_id"]: round(r["score"], 6) for r in quality_scores(spark.createDataFrame(rs, "doc_id long, text string, lang string, source string, n_chars long"), labels).collect()}
+    assert score(rows) == score(rows + [rows[1]] * 300)
