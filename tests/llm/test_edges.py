@@ -107,3 +107,14 @@ def test_stages_take_odd_rows(spark, tmp_path):
             assert out.count() <= rows.count()
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} <= {1, 5, None, 8}
+
+
+def test_document_frequencies_are_those_of_all_texts(spark):
+    import numpy as np
+
+    from chatloom.llm.decontaminate import fit_space
+
+    docs = spark.createDataFrame([(i, f"alpha w{i} " + "beta " * (i % 3 == 0)) for i in range(2500)], "doc_id long, text string")
+    space = fit_space(docs, [(1, "alpha beta gamma delta epsilon")], sample=50)
+    df = np.array([{b"alpha": 2500, b"beta": 834}.get(w, 0) for w in sorted(space.known)])
+    assert np.allclose(space.idf, np.log(2501 / (1 + df)) + 0.05)
