@@ -323,12 +323,20 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with one row of each group of similar texts: that with the least id. Texts without words stay.
-    Rows of one id that have one text stay once; rows without an id stay unless similar to a row with one."""
-    grouped = settle(similar_groups(docs, width), "grouped")
-    drop = grouped.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small_enough(settle(drop, "drop"), SMALL), "doc_id", "left_anti")
-    twice = settle(grouped.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
+
+    Rows are told apart by id and text, so one id may name several texts. Rows of one id that have one text stay once; a row
+    without an id goes if it is similar to a row with one, and of similar rows without ids one stays."""
+    # the hash stands for the row's id: linked groups come back by it, the least id is chosen here
+    row = F.xxhash64("doc_id", "text")
+    ids = docs.select(row.alias("r"), "doc_id").distinct()
+    grouped = settle(similar_groups(docs.select(row.alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "r").join(ids, "r"), "grouped")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "r"))["r"].alias("stays")
+    first = grouped.groupBy("component_id").agg(least)
+    drop = grouped.join(first, "component_id").filter("r <> stays").select(F.col("r").alias("_one_of_each")).distinct()
+    keyed = docs.withColumn("_one_of_each", row)
+    kept = keyed.join(small_enough(settle(drop, "drop"), SMALL), "_one_of_each", "left_anti")
+    twice = settle(grouped.filter("n_shingles > 0").groupBy("r").count().filter("count > 1").select(F.col("r").alias("_one_of_each")), "twice")
     if twice.isEmpty():
-        return kept
-    again = kept.join(small_enough(twice, SMALL), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small_enough(twice, SMALL), "doc_id", "left_anti").unionByName(again)
+        return kept.drop("_one_of_each")
+    again = kept.join(small_enough(twice, SMALL), "_one_of_each", "left_semi").dropDuplicates(["_one_of_each"])
+    return kept.join(small_enough(twice, SMALL), "_one_of_each", "left_anti").unionByName(again).drop("_one_of_each")

@@ -118,3 +118,13 @@ def test_document_frequencies_are_those_of_all_texts(spark):
     space = fit_space(docs, [(1, "alpha beta gamma delta epsilon")], sample=50)
     df = np.array([{b"alpha": 2500, b"beta": 834}.get(w, 0) for w in sorted(space.known)])
     assert np.allclose(space.idf, np.log(2501 / (1 + df)) + 0.05)
+
+
+def test_one_of_each_by_id_and_text(spark):
+    from chatloom.llm.jaccard import one_of_each
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (None, a + " end"), (None, "x " + " ".join(f"z{i}" for i in range(40))), (None, " ".join(f"z{i}" for i in range(40)))]
+    kept = [tuple(r) for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {r for r in kept if r[0]} == {(1, a), (2, b), (3, c), (3, d)}
+    assert len(kept) == 5 and "z39" in next(t for i, t in kept if i is None)
