@@ -196,12 +196,13 @@ def features_udf(terms: list[str]):
 def toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
-    A lexicon is learnt from at most ``labelled`` labelled rows outside the held-out fold (crc32 of the id, mod 5), which
+    A lexicon is learnt from at most ``labelled`` labelled rows outside the held-out fold (crc32 of the id, mod 5), one row of an id, which
     also weigh what a match means: exact or misspelt, quoted or addressed, single or repeated. Whole texts are matched. Null
     and empty texts have no match and get the base score; so does every text if no label is known. Equal texts score alike. The
     sample of labels is broadcast: its size is bounded by ``labelled``."""
     picked = settle(_learnt(labels, labelled), "labelled")
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # one row of an id: however many it has, it counts once
+    sample = settle(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("one")).select("one.*"), "toxic-sample")
     terms = learn_lexicon(sample)
     featured = features_udf(terms)
     rows = sample.select("y", featured("text").alias("f")).collect()

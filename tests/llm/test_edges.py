@@ -128,3 +128,12 @@ def test_one_of_each_by_id_and_text(spark):
     kept = [tuple(r) for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert {r for r in kept if r[0]} == {(1, a), (2, b), (3, c), (3, d)}
     assert len(kept) == 5 and "z39" in next(t for i, t in kept if i is None)
+
+
+def test_an_id_counts_once_in_toxicity(spark):
+    from chatloom.llm.toxicity import toxicity
+
+    rows = [(i, "you are an idiot" if i % 2 else "the river is wide") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    score = lambda rs: {r["doc_id"]: round(r["score"], 9) for r in toxicity(spark.createDataFrame(rs, "doc_id long, text string"), labels).collect()}
+    assert score(rows) == score(rows + [rows[1]] * 300)
