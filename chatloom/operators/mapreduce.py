@@ -237,18 +237,19 @@ def points_json(merged: DataFrame, keys: list[str], order: list[str] = ["chunk_n
 
 
 def points_pages(merged: DataFrame, keys: list[str], order: list[str] = ["chunk_no", "pos"],
-                 chars: int = K.POINT_CHARS) -> DataFrame:
+                 chars: int = K.POINT_CHARS, width: int = 1024) -> DataFrame:
     """The merged points of a report as JSON texts, numbered pages from 0: whole entries, none lost, each page readable by
     itself. A page has at most ``chars`` characters unless one entry alone takes more.
 
     Entries fall to half pages by where they start in the report; one longer than half a page gets its own. The
-    running length is a carry scan by category, so no report is walked in one task."""
+    running length is a carry scan by category and ``width`` values of the first column of ``order`` (a number), so no report or
+    category is walked in one task."""
     fields = [c for c in ("date", "desc", "by", "owner", "due", "who", "point") if c in merged.columns]
     numbers = F.create_map(*[F.lit(x) for no, c in enumerate(CATEGORIES) for x in (c, no)])
     half = max(1, (chars - 2 - sum(len(c) + 8 for c in CATEGORIES)) // 2)
     entries = (merged.filter(F.col("category").isin(list(CATEGORIES))).withColumn("_c", numbers[F.col("category")])
                .select(*keys, "category", "_c", *order, F.to_json(F.struct(*fields)).alias("_j")).withColumn("_len", (F.length("_j") + 2).cast("long")))
-    placed = carry_scan(entries, keys, F.col("_c"), [F.col("_c"), *[F.col(c) for c in order]], total={"_end": F.col("_len")})
+    placed = carry_scan(entries, keys, F.struct("_c", slice_of(order[0], width).alias("at")), [F.col("_c"), *[F.col(c) for c in order]], total={"_end": F.col("_len")})
     start = F.col("_end") - F.col("_len")
     placed = placed.withColumn("_page", F.struct(F.floor(start / half).alias("half"), F.when(F.col("_len") > half, start + 1).otherwise(0).alias("alone")))
     one = F.struct(*order, F.col("_j").alias("j"))

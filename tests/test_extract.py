@@ -184,3 +184,21 @@ def test_documents_hold_every_point_and_chat_name(spark):
     assert sorted(e["desc"] for p in pages for es in p.values() for e in es) == sorted(x[4] for x in rows)
     cut = mr.reduce_input(chats, brief, mr.points_json(df, ["report"], chars=2000), ["report"], parity=True).filter("report = 'r'").collect()
     assert len(cut) == 1 and len(cut[0].document.split("（JSON）：\n")[1]) == 2000 and "chat 149" not in cut[0].document
+
+
+def test_no_category_of_a_report_is_one_slice(spark):
+    rows = [("r", "facts", i, 0, f"fact {i}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "report string, category string, chunk_no int, pos int, desc string")
+    seen, scan = [], mr.carry_scan
+
+    def spy(d, keys, piece, *more, **k):
+        seen.append(d.groupBy(*keys, piece.alias("piece")).count().agg({"count": "max"}).first()[0])
+        return scan(d, keys, piece, *more, **k)
+
+    mr.carry_scan = spy
+    try:
+        pages = [x.points for x in mr.points_pages(df, ["report"], chars=3000).orderBy("page").collect()]
+    finally:
+        mr.carry_scan = scan
+    assert seen[0] <= 1024
+    assert [e["desc"] for p in pages for e in json.loads(p)["facts"]] == [x[4] for x in rows]
