@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatloom.llm.sql import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,3 +94,26 @@ def op10_quality_classifier(spark, sf_dir):
     from chatloom.llm.cotrain import quality_scores
 
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op11_centroid_clustering(spark, sf_dir):
+    from chatloom.llm.centroids import centroid_digest, cluster_vectors
+
+    d = cluster_vectors(_table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+    return d.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_digest("centroid").alias("centroid_sha256"))
+
+
+@_query
+def op12_exact_topk(spark, sf_dir):
+    from chatloom.llm.topk import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_importance_resampling(spark, sf_dir):
+    from chatloom.llm.resample import importance_sample
+
+    d = importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return d.select("row.doc_id", "n_features", "weight", "score", "rank")
