@@ -140,13 +140,15 @@ def _last_round(full: DataFrame, cells: Cells, centroids: np.ndarray) -> DataFra
 
 
 def _add_up(sums: np.ndarray, counts: np.ndarray, round_: DataFrame) -> None:
-    """Add what the tasks' moves come to: a row per cluster and dimension comes back."""
+    """Add what the tasks' moves come to: arrays are added up as arrays, in parts first, and a row per cluster comes back."""
+    zero = F.array_repeat(F.lit(0).cast("long"), sums.shape[1])
+    added = F.aggregate(F.collect_list("sums"), zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias("sums")
     moves = round_.filter("no is null")
-    for r in moves.groupBy("cluster").agg(F.sum("n").alias("n")).collect():
+    for by in (["cluster", F.pmod(F.xxhash64("sums"), F.lit(32))], ["cluster"]):
+        moves = moves.groupBy(*by).agg(F.sum("n").alias("n"), added)
+    for r in moves.select("cluster", "n", "sums").collect():
         counts[r["cluster"]] += r["n"]
-    each = moves.select("cluster", F.posexplode("sums").alias("d", "x"))
-    for r in each.groupBy("cluster", "d").agg(F.sum("x").alias("x")).collect():
-        sums[r["cluster"], r["d"]] += r["x"]
+        sums[r["cluster"]] += r["sums"]
 
 
 def cluster_vectors(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, seed: int = 2, bits: int = 6,
