@@ -65,6 +65,8 @@ CATEGORIES = ("events", "decisions", "todos", "viewpoints", "problems", "facts")
 SELF, OTHER = "我方", "其他"
 TITLE_SUFFIX = {"work": "工作情况报告", "progress": "项目进展报告", "general": "综合分析报告"}
 DEFAULT_TITLE_SUFFIX = "分析报告"
+FALLBACK_HEADING = "一、聊天记录要点"
+EXPORT_NOTE = "（视觉自动化截图 + OCR 提取，严格只读；语音仅记录时长）"
 TEMPLATE_HINT = {
     "work": "这是一份工作情况报告：聚焦工作进展、成果、问题与下一步安排。",
     "progress": "这是一份项目进展报告：聚焦里程碑、完成情况、风险与对策。",

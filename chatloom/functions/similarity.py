@@ -113,6 +113,18 @@ def _score_both(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_reading(x, y) or same_reading(y, x) for x, y in zip(a, b)], dtype="bool")
 
 
+@F.pandas_udf(BooleanType())
+def is_fuzzy_same(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``fuzzy_same`` of two columns."""
+    return pd.Series([x is not None and y is not None and fuzzy_same(x, y) for x, y in zip(a, b)], dtype="bool")
+
+
+@F.pandas_udf(BooleanType())
+def is_window_contained(cut: pd.Series, full: pd.Series) -> pd.Series:
+    """``window_contains`` of two columns."""
+    return pd.Series([x is not None and y is not None and window_contains(x, y) for x, y in zip(cut, full)], dtype="bool")
+
+
 # Declared non-deterministic only to stay where it is written: the optimizer would otherwise move it below the
 # cheap bounds and the removal of repeated pairs.
 name_variant = _score.asNondeterministic()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import is_system_notice, text_fingerprint
-from .scan import SCREENS_PER_SLICE, with_halo
+from .scan import SCREENS_PER_SLICE, number_by_ranges, with_halo
 
 
 def occurrence_rank(blocks: DataFrame, keys: list[str], screen: str = "screen_idx",
@@ -81,6 +81,9 @@ def overlap_prev_screen(items: DataFrame, keys: list[str], screen: str = "screen
 
 
 def sort_messages(messages: DataFrame, keys: list[str], screen: str = "screen_idx", y: str = "cy",
-                  seq: str = "seq") -> DataFrame:
-    """Natural order: by screen, then top to bottom."""
-    return messages.orderBy(*keys, screen, y, seq)
+                  seq: str = "seq", position: str | None = "pos") -> DataFrame:
+    """Natural order: by screen, then top to bottom. ``position`` names a column for the 1-based place in the chat; without it rows
+    are only sorted."""
+    order = [F.col(c).asc_nulls_first() for c in (screen, y, seq)]
+    placed = number_by_ranges(messages, keys, order, position) if position else messages
+    return placed.orderBy(*keys, *order)

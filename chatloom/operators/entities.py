@@ -7,14 +7,14 @@ the sequence ratio. ``keys`` (the list or account a name belongs to) keep lists
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.similarity import either_way, name_variant, same_reading, variant_of_any
 from ..functions.text import characters, norm_name
 from ..session import settle, shared_dir
-from .scan import fold_sorted, key_ddl
+from .scan import SCREENS_PER_SLICE, fold_sorted, key_ddl, null_safe_join, slice_of
 
 
 def _tokens(name: Column) -> Column:
@@ -26,7 +26,18 @@ def _tokens(name: Column) -> Column:
 
 
 def _with_tokens(names: DataFrame) -> DataFrame:
-    return names.withColumn("_tok", _tokens(F.col("name"))).withColumn("_n", F.size("_tok"))
+    """Tokens, their number, and a map of them in two longs: a token whose bit the other name lacks is not in that name."""
+    d = names.withColumn("_tok", _tokens(F.col("name"))).withColumn("_n", F.size("_tok"))
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(128)).cast("int")
+    bit = lambda t, half: F.when(F.floor(place(t) / 64) == half, F.call_function("shiftleft", F.lit(1).cast("long"), place(t) % 64)).otherwise(F.lit(0).cast("long"))
+    held = lambda half: F.aggregate("_tok", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(bit(t, half)))
+    return d.withColumns({f"_bits{half}": held(half) for half in (0, 1)})
+
+
+def _common_at_most() -> Column:
+    """A bound of the common tokens of ``name`` and ``other``, by counting bits."""
+    missing = lambda a, b: sum((F.bit_count(F.col(f"{a}{h}").bitwiseAND(F.bitwise_not(F.col(f"{b}{h}")))) for h in (0, 1)), F.lit(0))
+    return F.least(F.col("_n") - missing("_bits", "_other"), F.col("_m") - missing("_other", "_bits"))
 
 
 def _rarest_first(names: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,13 +86,16 @@ def _probes(role: str) -> Column:
 
 
 def _fits() -> Column:
-    """Length bounds of a meeting, and for ``same`` how many common characters can still follow the first
-    common token. A later common token may fail this; the first one of a real pair never does."""
+    """Length bounds of a meeting, how many characters two names can have in common at most, and for ``same`` how many common
+    characters can still follow the first common token. A later common token may fail this; the first one of a real pair
+    never does. All of it is counted inside the join, so what cannot be a pair never leaves it."""
     n, m, kind = F.col("_n"), F.col("_m"), F.col("_p.kind")
     rest = F.least(n - F.col("_p.place"), m - F.col("_q.place"))
-    gap = F.abs(n - m)
-    return (F.when(kind == SAME, (gap <= F.greatest(F.lit(2), F.floor(F.greatest(n, m) / 3))) & (rest >= K.FUZZY_RATIO / 2 * (n + m) - 1e-9))
-            .when(kind.isin(SHORT_IN_LONG, DROPPED), n < m).when(kind.isin(LONG_OVER_SHORT, KEPT), n > m).otherwise(True))
+    gap, common = F.abs(n - m), _common_at_most()
+    same, inside = K.FUZZY_RATIO / 2 * (n + m) - 1e-9, K.WINDOW_RATIO * F.least(n, m) - 1e-9
+    return (F.when(kind == SAME, (gap <= F.greatest(F.lit(2), F.floor(F.greatest(n, m) / 3))) & (rest >= same) & (common >= same))
+            .when(kind == SHORT_IN_LONG, (n < m) & (common >= inside)).when(kind == LONG_OVER_SHORT, (n > m) & (common >= inside))
+            .when(kind == DROPPED, (n < m) & (gap <= 6) & (common >= n)).when(kind == KEPT, (n > m) & (gap <= 6) & (common >= m)).otherwise(True))
 
 
 def _possible() -> Column:
@@ -114,18 +128,18 @@ def _tokenised(sides: list[DataFrame], keys: list[str]) -> list[DataFrame]:
 
 
 def _meet(l: DataFrame, r: DataFrame, keys: list[str], apart: Column, extra: list[str] = [], hubs: bool = False) -> DataFrame:
-    """Distinct (name, other) that share a blocking key, fit in length and satisfy ``apart``. With ``hubs`` each
+    """Distinct (name, other) that share a blocking key, fit in length and characters and satisfy ``apart``. With ``hubs`` each
     name meets only the least name under a key: as many pairs as keys, however full a key is."""
-    one = l.select(*keys, "name", "_n", *extra, F.explode(_probes("one")).alias("_p"))
-    other = r.select(*keys, F.col("name").alias("other"), F.col("_n").alias("_m"), *[F.col(c).alias(f"{c}_o") for c in extra],
-                     F.explode(_probes("other")).alias("_q"))
+    one = l.select(*keys, "name", "_n", "_bits0", "_bits1", *extra, F.explode(_probes("one")).alias("_p"))
+    other = r.select(*keys, F.col("name").alias("other"), F.col("_n").alias("_m"), F.col("_bits0").alias("_other0"), F.col("_bits1").alias("_other1"),
+                     *[F.col(c).alias(f"{c}_o") for c in extra], F.explode(_probes("other")).alias("_q"))
     if hubs:
         key = [*keys, F.col("_q.kind").alias("kind"), F.col("_q.token").alias("token")]
-        least = other.groupBy(*key).agg(F.min(F.struct("other", "_m", F.col("_q.place").alias("place"))).alias("h"))
-        other = least.select(*keys, F.col("h.other").alias("other"), F.col("h._m").alias("_m"),
+        least = other.groupBy(*key).agg(F.min(F.struct("other", "_m", "_other0", "_other1", F.col("_q.place").alias("place"))).alias("h"))
+        other = least.select(*keys, *[F.col(f"h.{c}").alias(c) for c in ("other", "_m", "_other0", "_other1")],
                              F.struct("kind", "token", F.col("h.place").alias("place")).alias("_q"))
-    meet = [one[k] == other[k] for k in keys] + [one["_p.kind"] == other["_q.kind"], one["_p.token"] == other["_q.token"]]
-    return one.join(other, meet).filter(apart & _fits()).select(*[one[k] for k in keys], "name", "other").distinct()
+    meet = [one[k] == other[k] for k in keys] + [one["_p.kind"] == other["_q.kind"], one["_p.token"] == other["_q.token"], apart, _fits()]
+    return one.join(other, meet).select(*[one[k] for k in keys], "name", "other").distinct()
 
 
 def _bounded(met: DataFrame, l: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
@@ -239,26 +253,28 @@ def variant_groups(names: DataFrame, keys: list[str]) -> DataFrame:
     """Names with the ``root`` of their component in the variant graph.
 
     Two passes keep a large family of similar names from being scored pair by pair. First every name is
-    scored against one hub per blocking key, which joins most of a family. Then only pairs whose ends are
-    still apart are formed.
+    scored against one hub per blocking key and hangs on the least name it is linked with, which joins most of a family. Then only
+    pairs that hang on different names are formed. The links of both passes are closed together.
     """
     (l,) = _tokenised([names], keys)
     l = l.withColumn("id", F.xxhash64(*keys, "name"))
     ids = lambda c: F.xxhash64(*keys, F.col(c))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return _spread(_bounded(pairs, l, l, keys)).filter(either_way("name", "other"))
+        scored = _spread(_bounded(pairs, l, l, keys)).filter(either_way("name", "other"))
+        return settle(scored.select(ids("name").alias("u"), ids("other").alias("v")), "links")
 
     near = linked(_meet(l, l, keys, F.col("name") != F.col("other"), hubs=True))
-    one = settle(components(l, near.select(ids("name").alias("u"), ids("other").alias("v"))), "roots")
-    rooted = l.join(one, "id")
+    # a star: each name on the least id it is linked with, if that is below its own
+    star = near.unionAll(near.select("v", "u")).groupBy("u").agg(F.min("v").alias("v"))
+    star = settle(star.select(F.col("u").alias("id"), F.least("u", "v").alias("root")), "stars")
+    for _ in range(2):      # and on what those hang on
+        up = star.select(F.col("id").alias("root"), F.col("root").alias("_up"))
+        star = star.join(up, "root", "left").select("id", F.coalesce("_up", "root").alias("root"))
+    rooted = l.join(star, "id", "left").withColumn("root", F.coalesce("root", "id"))
     rest = linked(_meet(rooted, rooted, keys, (F.col("name") < F.col("other")) & (F.col("root") != F.col("root_o")), ["root"]))
-    root_of = lambda as_: one.select(F.col("id").alias(f"_{as_}"), F.col("root").alias(as_))
-    across = (rest.select(ids("name").alias("_u"), ids("other").alias("_v"))
-              .join(root_of("u"), "_u").join(root_of("v"), "_v").select("u", "v"))
-    two = components(one.select(F.col("root").alias("id")), across)
-    top = one.join(two.select(F.col("id").alias("root"), F.col("root").alias("_top")), "root").select("id", "_top")
-    return l.select(*keys, "name", "id").join(top, "id").select(*keys, "name", F.col("_top").alias("root"))
+    roots = components(l.select("id"), near.unionAll(rest))
+    return l.select(*keys, "name", "id").join(roots, "id").select(*keys, "name", "root")
 
 
 class NameList:
@@ -285,39 +301,97 @@ class NameList:
         return grown
 
 
-class _Rounds:
-    """Names of one list, screen after screen."""
+class _Piece:
+    """A slice of a list, screen after screen, started from the names that the slices before it are thought to leave.
+
+    Rows come as (turn, screen, pos, name, met, recent): first the names received, then the screen before the slice, then its own."""
 
     def __init__(self, window):
-        self.list, self.screen, self.now, self.before, self.new = NameList(window), None, [], [], 0
+        self.window, self.list, self.received = window, None, []
+        self.screen, self.now, self.before, self.new = None, [], [], 0
 
     def row(self, values):
-        screen, _, name = values
+        turn, screen, _, name, met, recent = values
+        if turn == 0:
+            self.received = list(recent)
+            self.list = NameList(self.window, list(recent))
+            return []
+        if turn == 1:
+            self.now.append(name)
+            return []
         done = []
         if screen != self.screen:
             done = self._finished()
             self.screen, self.before, self.now, self.new = screen, self.now, [], 0
         self.now.append(name)
-        self.new += self.list.offer(name, self.before)
+        if not met:
+            self.new += self.list.offer(name, self.before)
         return done
 
     def _finished(self):
-        return [] if self.screen is None else [("round", int(self.screen), None, self.new)]
+        return [] if self.screen is None else [("round", int(self.screen), None, self.new, None)]
 
     def end(self):
-        return [*self._finished(), *[("name", i, n, None) for i, n in enumerate(self.list.names)]]
+        names, k = self.list.names, len(self.received)
+        longer = [("name", i - k, new, None, None) for i, (old, new) in enumerate(zip(self.received, names)) if old != new]
+        added = [("name", i, n, None, None) for i, n in enumerate(names[k:])]
+        put = [("put", None, n, None, None) for n in sorted(self.list.met)]
+        return [*self._finished(), *longer, *added, *put, ("state", len(added), None, None, names[-self.window:])]
 
 
-def merge_round_names(readings: DataFrame, keys: list[str], window: int = 16) -> DataFrame:
+def merge_round_names(readings: DataFrame, keys: list[str], window: int = 16, width: int = SCREENS_PER_SLICE) -> DataFrame:
     """Running union of the names on consecutive screens of a list (keys, screen_idx, pos, name).
 
-    Gives ``what = 'name'`` rows (no = position, name) and ``what = 'round'`` rows (no = screen, new = chats
-    first met there). Order-dependent within a list: rows stream through sorted, and what is kept is the
-    list of names found, which is the result itself.
+    Gives ``what = 'name'`` rows (no = position, name) and ``what = 'round'`` rows (no = screen, new = chats first met there).
+    The rule depends on everything before, yet what a slice of ``width`` screens needs is little: the last ``window`` names, the screen
+    before it (known beforehand) and which of its names were put on the list earlier. All slices are replayed at once from
+    guesses; then each is compared with what the others left, and only slices that started from something else are
+    replayed. When none is left the result is that of one walk: the first slice starts right, and so does each that follows a right
+    one. ``width`` does not change the result. A list that holds most rows is many slices.
     """
-    rows = readings.select(*keys, "screen_idx", "pos", "name")
-    return fold_sorted(rows, keys, ["screen_idx", "pos"], lambda: _Rounds(window),
-                       f"{key_ddl(readings, keys)}, what string, no int, name string, new int")
+    sliced = [*keys, "_slice"]
+    rows = settle(readings.select(*keys, "screen_idx", "pos", "name", slice_of("screen_idx", width).alias("_slice")), "readings")
+    slices = rows.groupBy(*sliced).agg(F.max("screen_idx").alias("_last"))
+    order = Window.partitionBy(*keys).orderBy("_slice")
+    follows = slices.withColumn("_next", F.lead("_slice").over(order)).filter("_next is not null")
+    nothing, no = F.array().cast("array<string>"), F.lit(False)
+    before = (null_safe_join(rows, follows, sliced).filter("screen_idx = _last")
+              .select(*keys, F.col("_next").alias("_slice"), F.lit(1).alias("turn"), "screen_idx", "pos", "name", no.alias("met"), F.lit(None).cast("array<string>").alias("recent")))
+    names = rows.select(*sliced, "name").distinct()
+
+    def met_before(put: DataFrame) -> DataFrame:
+        """Which names of a slice were put on the list by an earlier one; ``put`` has (keys, name, slice) rows."""
+        first = put.groupBy(*keys, "name").agg(F.min("_slice").alias("_put"))
+        return null_safe_join(names, first, [*keys, "name"]).filter("_put < _slice").select(*sliced, "name")
+
+    def replayed(starts: DataFrame, met: DataFrame, some: DataFrame | None) -> DataFrame:
+        only = (lambda d: d) if some is None else (lambda d: null_safe_join(d, some, sliced, "left_semi"))
+        own = null_safe_join(only(rows), met.withColumn("met", F.lit(True)), [*sliced, "name"], "left")
+        own = own.select(*sliced, F.lit(2).alias("turn"), "screen_idx", "pos", "name", F.coalesce("met", no).alias("met"), F.lit(None).cast("array<string>").alias("recent"))
+        head = only(starts).select(*sliced, F.lit(0).alias("turn"), F.lit(0).cast(rows.schema["screen_idx"].dataType).alias("screen_idx"),
+                                   F.lit(0).cast(rows.schema["pos"].dataType).alias("pos"), F.lit("").alias("name"), no.alias("met"), "recent")
+        return fold_sorted(own.unionAll(only(before)).unionAll(head), sliced, ["turn", "screen_idx", "pos"], lambda: _Piece(window),
+                           f"{key_ddl(rows, sliced)}, what string, no int, name string, new int, recent array<string>")
+
+    starts, met = slices.select(*sliced, nothing.alias("recent")), settle(met_before(names), "met")
+    done = settle(replayed(starts, met, None), "replayed")
+    while True:
+        left = done.filter("what = 'state'").select(*sliced, F.coalesce(F.lag("recent").over(order), nothing).alias("recent"))
+        now_starts, now_met = settle(left, "starts"), settle(met_before(done.filter("what = 'put'").select(*sliced, "name")), "met")
+        other = null_safe_join(now_starts, starts.withColumnRenamed("recent", "_was"), sliced).filter("recent <> _was").select(*sliced)
+        gone, come = (null_safe_join(a, b, [*sliced, "name"], "left_anti").select(*sliced) for a, b in ((met, now_met), (now_met, met)))
+        changed = settle(other.unionAll(gone).unionAll(come).distinct(), "changed")
+        if changed.isEmpty():
+            break
+        starts, met = now_starts, now_met
+        kept = null_safe_join(done, changed, sliced, "left_anti")
+        done = settle(kept.unionByName(replayed(starts, met, changed)), "replayed")
+    sizes = done.filter("what = 'state'").select(*sliced, F.coalesce(F.sum("no").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    placed = null_safe_join(done.filter("what = 'name'"), sizes, sliced).withColumn("no", (F.col("_start") + F.col("no")).cast("int"))
+    # a later slice may have put a longer reading over one of the last names
+    listed = placed.groupBy(*keys, "no").agg(F.max_by("name", "_slice").alias("name"))
+    rounds = done.filter("what = 'round'").select(*keys, "what", "no", "name", "new")
+    return listed.select(*keys, F.lit("name").alias("what"), "no", "name", F.lit(None).cast("int").alias("new")).unionAll(rounds)
 
 
 def resolve_exact_then_variant(names: DataFrame, table: DataFrame, keys: list[str], value: list[str],

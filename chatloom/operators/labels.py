@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import FIRST_YEAR
 from ..functions.timelabel import from_wall_micros, label_parts, parse_time_label
-from .scan import SCREENS_PER_SLICE, carry_scan, fold_sorted, key_ddl, slice_of
+from ..session import settle
+from .scan import SCREENS_PER_SLICE, carry_scan, fold_sorted, key_ddl, null_safe_join, slice_of
 
 DAY = 86400
 EPOCH = date(1970, 1, 1).toordinal()
@@ -72,7 +73,8 @@ class _Summary:
 
     A slice with an absolute label ends at a fixed time. Otherwise the time it receives matters only through
     the year at its first month-day label; what stands before that label is kept as a short program in
-    which each run of bare clocks is one entry.
+    which each run of bare clocks is one entry. From there on it is a function of the year, given piece by piece: by a
+    table of the years ``low`` to ``high`` that come with its rows.
     """
 
     def __init__(self, as_of):
@@ -94,7 +96,7 @@ class _Summary:
             self.states = moved
         elif shape == "md" and (mo, d) != (2, 29):
             self.states = {}
-            for y in range(min(FIRST_YEAR, self.clk.year - 1), self.clk.year + 3):
+            for y in range(int(values[-2]), int(values[-1]) + 1):
                 t = self.clk.month_day((date(y, 1, 1).toordinal() - EPOCH, 0), int(mo), int(d), int(sod))
                 self.states.setdefault(t, []).append(y)
         elif shape == "md":
@@ -118,31 +120,42 @@ class _Summary:
 
 
 class _Carry:
-    """Runs over slice summaries and tells each slice the time it receives."""
+    """Runs over slice summaries and tells each slice the time it receives. A slice may come in several rows with different
+    years. Where a year is lacking the walk ends with a row that names it."""
 
     def __init__(self, as_of):
-        self.clk, self.last = _Clock(as_of), None
+        self.clk, self.last, self.stuck = _Clock(as_of), None, False
+        self.piece, self.held, self.years = None, None, {}
 
     def row(self, values):
         piece, fixed, program, by_year = values
-        received = self.last
+        done = self._closed() if piece != self.piece else []
+        self.piece, self.held = piece, (fixed, program, by_year is not None)
+        self.years.update(by_year if by_year is not None else ())
+        return done
+
+    def _closed(self):
+        if self.held is None or self.stuck:
+            return []
+        (fixed, program, branches), years, received = self.held, self.years, self.last
+        self.held, self.years = None, {}
         if _pair(fixed) is not None:
             self.last = _pair(fixed)
-        else:
-            t = self.last
-            for kind, a, b, c in program:
-                t = self.clk.clock(t, a, b, c) if kind == 0 else self.clk.month_day(t, a, b, c)
-            if by_year is not None:
-                y = self.clk.year if t is None else date.fromordinal(t[0] + EPOCH).year
-                years = dict(by_year)
-                if y not in years:
-                    raise ValueError(f"labels reach the year {y}, years past the as_of date: wrong as_of?")
-                t = _pair(years[y])
-            self.last = t
-        return [(piece, _secs(received))]
+            return [(self.piece, _secs(received), None)]
+        t = self.last
+        for kind, a, b, c in program:
+            t = self.clk.clock(t, a, b, c) if kind == 0 else self.clk.month_day(t, a, b, c)
+        if branches:
+            y = self.clk.year if t is None else date.fromordinal(t[0] + EPOCH).year
+            if y not in years:
+                self.stuck = True
+                return [(self.piece, _secs(received), y)]
+            t = _pair(years[y])
+        self.last = t
+        return [(self.piece, _secs(received), None)]
 
     def end(self):
-        return ()
+        return self._closed()
 
 
 class _Resolve:
@@ -170,6 +183,10 @@ def resolve_labels(labels: DataFrame, as_of: datetime, keys: list[str], screen:
     label takes the year before it; an unreadable label keeps the time before it. This is a fold, cut
     into slices of the screen axis: each slice is summarised, the summaries are walked per chat, and every
     slice is replayed from what it receives. Only a few integers per label pass through Python.
+
+    Summaries cover the years that labels name. Clocks alone can lead beyond; where a walk asks for a year that a slice lacks, that
+    slice and those after it in the chat are summarised again for the years around it, twice as many each time, and the walk is
+    repeated. The result does not depend on ``width``. A NULL key is a chat of its own.
     """
     sliced, ddl = [*keys, "_slice"], key_ddl(labels, keys)
     p = F.col("_p")
@@ -177,12 +194,25 @@ def resolve_labels(labels: DataFrame, as_of: datetime, keys: list[str], screen:
                           label_parts("text", as_of).alias("_p"))
             .select(*sliced, p["shape"].alias("shape"), F.unix_date(p["day"]).alias("day"), p["mo"].alias("mo"),
                     p["d"].alias("d"), p["clock"].alias("clock"), screen, cy, "text")
-            .repartition(*sliced))      # one exchange serves the summary and the replay
-    summary = fold_sorted(rows, sliced, [screen, cy, "text"], lambda: _Summary(as_of),
-                          f"{ddl}, _slice bigint, fixed bigint, program array<array<int>>, "
-                          "by_year array<array<bigint>>")
-    carry = fold_sorted(summary, keys, ["_slice"], lambda: _Carry(as_of), f"{ddl}, _slice bigint, received bigint")
-    ready = rows.join(carry, sliced, "left").select(
+            .repartition(*sliced))
+
+    def summarised(some: DataFrame, low: Column, high: Column) -> DataFrame:
+        some = some.select(*rows.columns, low.cast("int").alias("low"), high.cast("int").alias("high"))
+        return settle(fold_sorted(some, sliced, [screen, cy, "text"], lambda: _Summary(as_of),
+                                  f"{ddl}, _slice bigint, fixed bigint, program array<array<int>>, by_year array<array<bigint>>"), "slices")
+
+    summary = summarised(rows, F.lit(min(FIRST_YEAR, as_of.year - 1)), F.lit(as_of.year + 2))
+    reach = 8
+    while True:
+        carry = settle(fold_sorted(summary, keys, ["_slice"], lambda: _Carry(as_of),
+                                   f"{ddl}, _slice bigint, received bigint, missing int"), "carry")
+        stuck = carry.filter("missing is not null").select(*keys, F.col("_slice").alias("_from"), "missing")
+        if stuck.isEmpty():
+            break
+        later = null_safe_join(rows, stuck, keys).filter("_slice >= _from")
+        summary = summary.unionAll(summarised(later, F.greatest(F.col("missing") - reach, F.lit(1)), F.least(F.col("missing") + reach, F.lit(9998))))
+        reach *= 2
+    ready = null_safe_join(rows, carry.drop("missing"), sliced, "left").select(
         *sliced, "shape", "day", "mo", "d", "clock", "received", screen, cy, "text")
     times = fold_sorted(ready, sliced, [screen, cy, "text"], lambda: _Resolve(as_of),
                         f"{ddl}, _slice bigint, {key_ddl(labels, [screen, cy])}, text string, _secs bigint")

@@ -6,7 +6,7 @@ small and spread evenly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -14,7 +14,6 @@ from ..functions.stamps import is_stamp
 from ..functions.text import let, strip, strip_fused_suffix
 from ..functions.timelabel import is_time_label
 from .filters import layout_denoise
-from .scan import fold_sorted, key_ddl
 
 
 def layout_cluster(blocks: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -49,10 +48,11 @@ def row_stamp(items: DataFrame, blocks: DataFrame, keys: list[str], list_width:
     right = int((list_width or 10 ** 6) * K.RIGHT_SHARE)
     text = strip(F.coalesce("text", F.lit("")))
     marks = (blocks.filter((F.col("cx") > right) & is_stamp(text))
-             .select(*keys, F.col("cy").alias("_y"), F.col(seq).alias("_q"), text.alias("_stamp")))
-    near = items.join(marks, keys).where(F.abs(F.col("_y") - F.col("row_y")) <= K.LINE_GAP)
-    best = (near.groupBy(*keys, "item").agg(F.min_by("_stamp", "_q").alias("_best")))
-    return (items.join(best, [*keys, "item"], "left")
+             .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("cy").alias("_y"), F.col(seq).alias("_q"), text.alias("_stamp")))
+    # one join, from which items without a mark come back too
+    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.abs(F.col("_y") - F.col("row_y")) <= K.LINE_GAP]
+    near = items.join(marks, on, "left")
+    return (near.groupBy(*items.columns).agg(F.min_by("_stamp", "_q").alias("_best"))
             .withColumn("stamp", F.coalesce("_best", "fused")).drop("_best"))
 
 
@@ -117,33 +117,34 @@ def box_overlap_anti(boxes: DataFrame, texts: DataFrame, keys: list[str], share:
     return boxes.join(covering, [*keys, "x", "y", "w", "h"], "left_anti")
 
 
-class _MergeBoxes:
-    def __init__(self, iou):
-        self.iou, self.kept = iou, []
-
-    def row(self, v):
-        y, x, w, h = v[:4]
-        x2, y2 = x + w, y + h
-        for i, (a, b, a2, b2) in enumerate(self.kept):
-            iw, ih = min(a2, x2) - max(a, x), min(b2, y2) - max(b, y)
-            both = iw * ih if iw > 0 and ih > 0 else 0
-            union = max(1, (a2 - a) * (b2 - b) + w * h - both)
-            holds = a <= x and b <= y and x2 <= a2 and y2 <= b2
-            held = x <= a and y <= b and a2 <= x2 and b2 <= y2
-            if both / union > self.iou or holds or held:
-                self.kept[i] = (min(a, x), min(b, y), max(a2, x2), max(b2, y2))
-                return ()
-        self.kept.append((x, y, x2, y2))
-        return ()
-
-    def end(self):
-        return [(n, a, b, a2 - a, b2 - b) for n, (a, b, a2, b2) in enumerate(self.kept)]
+BOX = "struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>"
 
 
 def merge_boxes(boxes: DataFrame, keys: list[str], iou: float = 0.3) -> DataFrame:
     """Merge the boxes of one screen in (y, x) order: a box joins the first kept box it overlaps by more
     than ``iou``, contains, or lies in. Each merge changes what later boxes meet, so this is an ordered
-    fold per screen."""
-    rows = boxes.select(*keys, "y", "x", "w", "h")
-    return fold_sorted(rows, keys, ["y", "x", "w", "h"], lambda: _MergeBoxes(iou),
-                       f"{key_ddl(boxes, keys)}, box_no int, x int, y int, w int, h int")
+    fold over the boxes of a screen, with the kept ones as its state."""
+    whole = [F.col(c).cast("long").alias(c) for c in ("y", "x", "w", "h")]
+    screens = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*whole))).alias("_b"))
+
+    def step(kept: Column, b: Column) -> Column:
+        new = F.struct(b["x"].alias("x0"), b["y"].alias("y0"), (b["x"] + b["w"]).alias("x1"), (b["y"] + b["h"]).alias("y1"))
+
+        def meets(k: Column) -> Column:
+            wide, high = F.least(k["x1"], new["x1"]) - F.greatest(k["x0"], new["x0"]), F.least(k["y1"], new["y1"]) - F.greatest(k["y0"], new["y0"])
+            both = F.when((wide > 0) & (high > 0), wide * high).otherwise(F.lit(0).cast("long"))
+            union = F.greatest(F.lit(1).cast("long"), (k["x1"] - k["x0"]) * (k["y1"] - k["y0"]) + b["w"] * b["h"] - both)
+            inside = lambda i, o: (o["x0"] <= i["x0"]) & (o["y0"] <= i["y0"]) & (i["x1"] <= o["x1"]) & (i["y1"] <= o["y1"])
+            return (both / union > iou) | inside(new, k) | inside(k, new)
+
+        def placed(at: Column) -> Column:
+            grown = F.transform(kept, lambda k, i: F.when(i + 1 == at, F.struct(
+                *[F.least(k[c], new[c]).alias(c) for c in ("x0", "y0")], *[F.greatest(k[c], new[c]).alias(c) for c in ("x1", "y1")])).otherwise(k))
+            return F.when(at == 0, F.concat(kept, F.array(new))).otherwise(grown)
+
+        return let(F.array_position(F.transform(kept, meets), F.lit(True)), placed)
+
+    kept = F.aggregate("_b", F.array().cast(f"array<{BOX}>"), step)
+    each = screens.select(*keys, F.posexplode(kept).alias("box_no", "k"))
+    return each.select(*keys, "box_no", *[F.col(f"k.{a}").cast("int").alias(b) for a, b in (("x0", "x"), ("y0", "y"))],
+                       *[(F.col(f"k.{a}1") - F.col(f"k.{a}0")).cast("int").alias(b) for a, b in (("x", "w"), ("y", "h"))])

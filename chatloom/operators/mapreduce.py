@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.constants import CATEGORIES
 from ..functions.lines import parse_json_loose
 from ..functions.text import character_key
+from ..session import settle
 from .scan import ROWS_PER_SLICE, carry_scan, fold_sorted, key_ddl, null_safe_join, number_rows, slice_of
 
 
@@ -169,20 +171,84 @@ def extract_by_rules(chunk: str) -> str:
     return "```json\n" + json.dumps(out, ensure_ascii=False) + "\n```"
 
 
-def map_chunks(chunks: DataFrame, keys: list[str], fn: Callable[[str], str] = extract_by_rules,
-               parallelism: int | None = None) -> DataFrame:
-    """Apply ``fn`` (text to reply) to every chunk and read the replies. Rows: (keys, chunk_no, reply, value
-    variant, raw). ``fn`` runs on executors, chunk after chunk within a task."""
-    cols = [*keys, "chunk_no"]
+def one_by_one(fn: Callable[[str], str]) -> Callable[[Iterator], Iterator]:
+    """A function of one text as a function over an iterator of frames (column ``text``) that yields replies."""
+    def run(frames: Iterator) -> Iterator:
+        for f in frames:
+            yield [fn(t) for t in f["text"]]
+    return run
 
-    def run(batches: Iterator):
-        for pdf in batches:
-            yield pdf[cols].assign(reply=[fn(t) for t in pdf["text"]])
 
-    source = chunks.select(*cols, "text")
+def _called(texts: DataFrame, cols: list[str], frames: Callable[[Iterator], Iterator], parallelism: int | None) -> DataFrame:
+    """``texts`` (cols, text) with the reply of each. ``frames`` gets the frames of a task one after the other and yields as many replies
+    for each, so that it can load a model once a task and send a frame at a time."""
+    def run(batches: Iterator):
+        kept = []
+
+        def passed():
+            for pdf in batches:
+                if len(pdf):
+                    kept.append(pdf[cols])
+                    yield pdf[["text"]]
+
+        for replies in frames(passed()):
+            keys = kept.pop(0)
+            replies = list(replies)
+            if len(replies) != len(keys):
+                raise ValueError(f"{len(keys)} chunks, {len(replies)} replies")
+            yield keys.assign(reply=replies)
+        if kept:
+            raise ValueError("the model function ended before its input")
+
+    source = texts.select(*cols, "text")
     if parallelism:
         source = source.repartition(parallelism)
-    replies = source.mapInPandas(run, f"{key_ddl(chunks, cols)}, reply string")
+    return source.mapInPandas(run, f"{key_ddl(texts, cols)}, reply string")
+
+
+def stored_replies(spark: SparkSession, store: str) -> DataFrame:
+    """What a reply store holds, one reply per chunk hash; nothing if the store is not there yet."""
+    try:
+        known = spark.read.schema("chunk_hash string, reply string").parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "chunk_hash string, reply string")
+    return known.groupBy("chunk_hash").agg(F.min("reply").alias("reply"))
+
+
+def ask_missing(chunks: DataFrame, store: str, frames: Callable[[Iterator], Iterator], version: str = "", commits: int = 1,
+                parallelism: int | None = None) -> DataFrame:
+    """``chunks`` with ``reply``, calling the model only for texts that the store has no reply for. Equal chunks are asked once.
+
+    Replies are filed under a hash of ``version`` (model and prompt) and text. They are written in ``commits`` parts, so a run that
+    ends early loses at most the part it was in."""
+    spark = chunks.sparkSession
+    hashed = chunks.withColumn("chunk_hash", F.sha2(F.concat(F.lit(f"{version}\n"), F.coalesce("text", F.lit(""))), 256))
+    missing = (hashed.select("chunk_hash", "text").dropDuplicates(["chunk_hash"])
+               .join(stored_replies(spark, store), "chunk_hash", "left_anti"))
+    missing = settle(missing, "missing")
+    for i in range(commits):
+        part = missing.filter(F.pmod(F.xxhash64("chunk_hash"), F.lit(commits)) == i) if commits > 1 else missing
+        if not part.isEmpty():
+            _called(part, ["chunk_hash"], frames, parallelism).write.mode("append").parquet(store)
+    return hashed.join(stored_replies(spark, store), "chunk_hash").drop("chunk_hash")
+
+
+def map_chunks(chunks: DataFrame, keys: list[str], fn: Callable[[str], str] = extract_by_rules,
+               parallelism: int | None = None, frames: Callable[[Iterator], Iterator] | None = None, store: str | None = None,
+               version: str = "", commits: int = 1) -> DataFrame:
+    """Ask a model about every chunk and read the replies. Rows: (keys, chunk_no, reply, value variant, raw).
+
+    The model is ``fn`` (text to reply) or ``frames``, which takes an iterator of frames with a column ``text`` and yields their replies,
+    frame by frame. It runs on executors. With ``store``, a folder, replies are kept and a rerun asks only what is not answered
+    yet (see ``ask_missing``)."""
+    cols = [*keys, "chunk_no"]
+    run = frames or one_by_one(fn)
+    if store:
+        replies = ask_missing(chunks.select(*cols, "text"), store, run, version, commits, parallelism).select(*cols, "reply")
+    else:
+        replies = _called(chunks, cols, run, parallelism)
     return (replies.withColumn("_j", parse_json_loose("reply"))
             .withColumn("value", F.col("_j.value")).withColumn("raw", F.col("_j.raw")).drop("_j"))
 

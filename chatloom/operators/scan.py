@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 ROWS_PER_SLICE = 65536
 SCREENS_PER_SLICE = 1024
 
@@ -81,6 +83,17 @@ def number_rows(df: DataFrame, keys: list[str], piece: Column, order: list[Colum
             .withColumn(name, F.col(name).cast("long")))
 
 
+def number_by_ranges(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """1-based dense position per key in any order, for keys and orders that offer no slices of their own.
+
+    The ranges come from the data: Spark samples (keys, order) and deals rows out so that each range holds about as many, whether
+    a key is large, undated or crowded into an hour. The ranges are written once, because a second sample would cut elsewhere;
+    then counts per range are added up and rows numbered inside. ``order`` must tell the rows of a key apart, or many equal
+    rows share a range."""
+    cut = settle(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    return number_rows(cut, keys, F.col("_range"), order, name).drop("_range")
+
+
 def fold_sorted(df: DataFrame, keys: list[str], order: list[str], make, schema: str) -> DataFrame:
     """Walk each key's rows in order with a small Python fold.
 

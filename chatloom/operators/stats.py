@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import is_ui_noise
+from .scan import number_by_ranges
 
 
 def top_k(counts: DataFrame, by: list[str], k: int, n: str, term: str) -> DataFrame:
@@ -34,11 +35,14 @@ def time_span(messages: DataFrame, by: list[str] = []) -> DataFrame:
     return messages.groupBy(*by).agg(F.min("ts").alias("time_start"), F.max("ts").alias("time_end"))
 
 
+def _who() -> Column:
+    return F.coalesce(F.nullif(F.col("speaker"), F.lit("")),
+                      F.when(F.col("side") == "right", F.lit(K.SELF)).otherwise(F.lit(K.OTHER)))
+
+
 def speaker_counts(messages: DataFrame, by: list[str] = []) -> DataFrame:
-    who = F.coalesce(F.nullif(F.col("speaker"), F.lit("")),
-                     F.when(F.col("side") == "right", F.lit(K.SELF)).otherwise(F.lit(K.OTHER)))
     return (messages.filter(F.col("kind").isin("text", "voice", "image"))
-            .groupBy(*by, who.alias("who")).agg(F.count("*").alias("n")))
+            .groupBy(*by, _who().alias("who")).agg(F.count("*").alias("n")))
 
 
 def top_speakers(messages: DataFrame, k: int = 10, by: list[str] = []) -> DataFrame:
@@ -125,44 +129,48 @@ def transcript_header(messages: DataFrame, chat: str = "chat") -> DataFrame:
                    F.lit("（无时间标签）")).alias("span"))
 
 
-def _joined(pieces: Column, order: list[Column], sep: str) -> Column:
-    """Ordered join of a bounded group (top-k rows, or the chats of one report)."""
-    items = F.array_sort(F.collect_list(F.struct(*order, pieces.alias("_p"))))
-    return F.array_join(F.transform(items, lambda x: x["_p"]), sep)
-
-
-def stats_brief(messages: DataFrame, by: list[str], parity: bool = False) -> DataFrame:
+def stats_brief(messages: DataFrame, by: list[str], parity: bool = False, speakers: int = 8, chats: DataFrame | None = None,
+                name_chats: bool = True) -> DataFrame:
     """A readable digest per report. Lines without data are left out.
 
-    Each part is aggregated on its own to a few rows per report; the chats of one report are the only
-    list without a fixed length, and a report names its chats explicitly.
+    Two scans: one aggregation by chat, speaker, day and report at once, and the keywords. ``chats`` (by, chat) brings chats that have
+    no messages. The chats of a report are the only list without a fixed length; for reports over very many chats turn
+    ``name_chats`` off and take them as rows from ``count_by_chat``.
     """
+    who = F.when(F.col("kind").isin("text", "voice", "image"), _who())
+    rows = messages.select(*by, "chat", "kind", "ts", F.to_date("ts").alias("day"), who.alias("who"), F.lit(1).alias("one"))
+    if chats is not None:
+        rows = rows.unionByName(chats.select(*by, "chat", F.lit(0).alias("one")), allowMissingColumns=True)
+    dims = ["chat", "who", "day"]
+    of_chat, of_who, of_day, of_all, of_word = 3, 5, 6, 7, 8
+    level = F.grouping_id(*by, *dims)
+    cube = rows.groupingSets([[F.col(c) for c in (*by, *d)] for d in (["chat"], ["who"], ["day"], [])], *by, *dims).agg(
+        level.cast("int").alias("level"), F.sum("one").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"),
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("text", "image", "voice")])
+    # only speakers are ranked; the other rows of a report are spread
+    apart = F.when(F.col("level") == of_who, F.lit(-1)).otherwise(F.pmod(F.hash("chat", "day"), F.lit(64)))
+    order = Window.partitionBy(*by, "level", apart).orderBy(F.desc("n"), "who")
+    ranked = cube.filter((F.col("level") != of_who) | F.col("who").isNotNull()).withColumn("rank", F.row_number().over(order))
+    ranked = ranked.filter((F.col("level") != of_who) | (F.col("rank") <= speakers))
+    words = keywords(messages, by=by, parity=parity).select(*by, F.lit(of_word).alias("level"), "rank", "term")
+    at = lambda lv, *fields: F.when(F.col("level") == lv, F.struct(*fields))
+    dated = (F.col("level") == of_day) & F.col("day").isNotNull()
+    per = ranked.unionByName(words, allowMissingColumns=True).groupBy(*by).agg(
+        F.max(at(of_all, "n", "text", "image", "voice", "start", "end")).alias("all"), F.count_if(dated).alias("days"),
+        F.max(F.when(dated, F.struct(F.col("n"), (-F.unix_date("day")).alias("r"), F.col("day")))).alias("peak"),
+        *[F.array_sort(F.collect_list(at(lv, *fields))).alias(name) for name, lv, fields in (
+            ("chats", of_chat if name_chats else -1, ("chat", "n")), ("people", of_who, ("rank", "who", "n")), ("words", of_word, ("rank", "term")))])
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    days = by_day(messages, by)
-    span = (time_span(messages, by).join(days.groupBy(*by).agg(F.count("*").alias("d")), by)
-            .select(*by, F.lit(1).alias("line"),
-                    F.format_string("时间范围：%s ~ %s（活跃 %d 天）", day("time_start"), day("time_end"), "d").alias("text")))
-    kinds = messages.groupBy(*by).agg(F.count("*").alias("n"), *[
-        F.count_if(F.col("kind") == k).alias(k) for k in ("text", "image", "voice")])
-    total = kinds.select(*by, F.lit(2).alias("line"), F.format_string(
-        "消息总量：%d 条（文字 %d / 图片 %d / 语音 %d）", "n", F.col("text"), "image", "voice").alias("text"))
-    chats = messages.groupBy(*by, "chat").agg(F.count("*").alias("n"))
-    per_chat = (chats.groupBy(*by).agg(
-        F.count("*").alias("c"),
-        _joined(F.format_string("%s %d 条", F.col("chat").cast("string"), "n"), [F.col("chat")], "，").alias("j"))
-        .filter("c > 1").select(*by, F.lit(3).alias("line"), F.concat(F.lit("各聊天分布："), "j").alias("text")))
-    who = (top_speakers(messages, 8, by).groupBy(*by)
-           .agg(_joined(F.format_string("%s %d 条", "who", "n"), [F.col("rank")], "，").alias("j"))
-           .select(*by, F.lit(4).alias("line"), F.concat(F.lit("活跃参与者："), "j").alias("text")))
-    peak = peak_day(messages, by).select(*by, F.lit(5).alias("line"), F.format_string(
-        "消息峰值日：%s（%d 条）", F.col("day").cast("string"), "n").alias("text"))
-    words = (keywords(messages, by=by, parity=parity).groupBy(*by)
-             .agg(_joined(F.col("term"), [F.col("rank")], "、").alias("j"))
-             .select(*by, F.lit(6).alias("line"), F.concat(F.lit("高频关键词："), "j").alias("text")))
-    lines = total
-    for part in (span, per_chat, who, peak, words):
-        lines = lines.unionByName(part)
-    return lines.groupBy(*by).agg(_joined(F.col("text"), [F.col("line")], "\n").alias("brief"))
+    joined = lambda c, text, sep: F.array_join(F.transform(c, text), sep)
+    counted = lambda name: lambda x: F.format_string("%s %d 条", x[name].cast("string"), x["n"])
+    lines = [
+        F.when(F.col("days") > 0, F.format_string("时间范围：%s ~ %s（活跃 %d 天）", day("all.start"), day("all.end"), "days")),
+        F.format_string("消息总量：%d 条（文字 %d / 图片 %d / 语音 %d）", "all.n", "all.text", "all.image", "all.voice"),
+        F.when(F.size("chats") > 1, F.concat(F.lit("各聊天分布："), joined("chats", counted("chat"), "，"))),
+        F.when(F.size("people") > 0, F.concat(F.lit("活跃参与者："), joined("people", counted("who"), "，"))),
+        F.when(F.col("peak").isNotNull(), F.format_string("消息峰值日：%s（%d 条）", F.col("peak.day").cast("string"), F.col("peak.n"))),
+        F.when(F.size("words") > 0, F.concat(F.lit("高频关键词："), joined("words", lambda x: x["term"], "、")))]
+    return per.select(*by, F.concat_ws("\n", *lines).alias("brief"))
 
 
 def report_overview(messages: DataFrame, by: list[str] = []) -> DataFrame:
@@ -195,6 +203,5 @@ def model_usage(calls: DataFrame) -> DataFrame:
 
 
 def numbered_rows(rows: DataFrame, by: list[str], order: list[Column], name: str = "no") -> DataFrame:
-    """1-based index of report-table rows. For tables cut by top-k or keyed by report; to number a large
-    table use ``scan.number_rows``."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """1-based index of table rows, per report. A report may hold most rows; ``order`` must tell its rows apart."""
+    return number_by_ranges(rows, by, order, name)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.lines import doc_line, model_line, resolved_title
 from ..functions.text import is_ui_noise
-from ..functions.timelabel import wall_seconds
-from .scan import ROWS_PER_SLICE, carry_scan, number_rows, slice_of
+from .scan import ROWS_PER_SLICE, carry_scan, number_by_ranges, slice_of
 
 
 def chrono_order(messages: DataFrame, keys: list[str], seq: str = "seq", width: int = ROWS_PER_SLICE) -> DataFrame:
@@ -19,10 +18,9 @@ def chrono_order(messages: DataFrame, keys: list[str], seq: str = "seq", width:
     return carry_scan(messages, keys, slice_of(seq, width), [F.col(seq)], last={"at": F.col("ts")})
 
 
-def reading_position(ordered: DataFrame, keys: list[str], seq: str = "seq", span: int = 3600) -> DataFrame:
-    """1-based ``pos`` in reading order, numbered in slices of ``span`` seconds."""
-    piece = F.coalesce(slice_of(wall_seconds("at"), span), F.lit(-(2 ** 62)))
-    return number_rows(ordered, keys, piece, [F.col("at").asc_nulls_first(), F.col(seq)], "pos")
+def reading_position(ordered: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """1-based ``pos`` in reading order. Ranges follow the data, so a chat without dates is cut like any other."""
+    return number_by_ranges(ordered, keys, [F.col("at").asc_nulls_first(), F.col(seq).asc_nulls_first()], "pos")
 
 
 def date_separators(messages: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:

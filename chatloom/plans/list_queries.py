@@ -116,7 +116,18 @@ def box_overlap_anti(spark, d):
     return lo.box_overlap_anti(_boxes(spark, d), v.blocks(spark, d), ["frame_id"])
 
 
-@query()
+MEETS = """(greatest(0, least(k.x1, c.x1) - greatest(k.x0, c.x0)) * greatest(0, least(k.y1, c.y1) - greatest(k.y0, c.y0))) / greatest(1,
+  (k.x1 - k.x0) * (k.y1 - k.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) - greatest(0, least(k.x1, c.x1) - greatest(k.x0, c.x0)) * greatest(0, least(k.y1, c.y1) - greatest(k.y0, c.y0))) > 0.3
+  OR (k.x0 <= c.x0 AND k.y0 <= c.y0 AND c.x1 <= k.x1 AND c.y1 <= k.y1) OR (c.x0 <= k.x0 AND c.y0 <= k.y0 AND k.x1 <= c.x1 AND k.y1 <= c.y1)"""
+
+
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT frame_id, list({{'x0': x, 'y0': y, 'x1': x + w, 'y1': y + h}} ORDER BY y, x, w, h) AS b FROM bx GROUP BY 1),
+f AS (SELECT frame_id, b, 1 AS n, b[:0] AS kept FROM o UNION ALL
+  SELECT frame_id, b, n + 1, CASE WHEN place = 0 THEN list_append(kept, c) ELSE list_transform(kept, lambda k, i: CASE WHEN i = place
+    THEN {{'x0': least(k.x0, c.x0), 'y0': least(k.y0, c.y0), 'x1': greatest(k.x1, c.x1), 'y1': greatest(k.y1, c.y1)}} ELSE k END) END
+  FROM (SELECT *, coalesce(list_position(list_transform(kept, lambda k: {MEETS}), true), 0) AS place FROM (SELECT *, b[n] AS c FROM f WHERE n <= len(b))))
+SELECT frame_id, i - 1 AS box_no, k.x0 AS x, k.y0 AS y, k.x1 - k.x0 AS w, k.y1 - k.y0 AS h
+FROM (SELECT frame_id, unnest(kept) AS k, generate_subscripts(kept, 1) AS i FROM f WHERE n = len(b) + 1)""")
 def merge_boxes(spark, d):
     return lo.merge_boxes(_boxes(spark, d), ["frame_id"])
 

@@ -264,7 +264,8 @@ def pause_counts(spark, d):
     return ac.pause_counts(ac.activity_pauses(v.table(spark, d, "events"), ["user_id"], 1800), ["user_id"])
 
 
-@query(v.with_views("SELECT frame_id, cy, cx, seq, text FROM blocks", "blocks"))
+@query(v.with_views("""SELECT list_id, screen_idx, cy, cx, seq, text, row_number() OVER (PARTITION BY list_id ORDER BY screen_idx, cy, seq) AS pos
+FROM (SELECT *, frame_id // 4 AS list_id, frame_id % 4 AS screen_idx FROM blocks)""", "blocks"))
 def sort_messages(spark, d):
-    b = v.blocks(spark, d).withColumn("screen_idx", F.lit(0))
-    return dd.sort_messages(b, ["frame_id"]).select("frame_id", "cy", "cx", "seq", "text")
+    b = v.blocks(spark, d).withColumn("list_id", F.floor(F.col("frame_id") / 4)).withColumn("screen_idx", F.col("frame_id") % 4)
+    return dd.sort_messages(b, ["list_id"]).select("list_id", "screen_idx", "cy", "cx", "seq", "text", "pos")

@@ -84,17 +84,58 @@ def stream_merge_names(spark, d):
     return out.groupBy("list_id", "no").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("name"))
 
 
-@query("""SELECT name, count(*) AS n, arg_max(CASE WHEN o_orderstatus <> 'F' THEN 'done' ELSE 'error' END,
-  (o_orderdate, o_orderkey)) AS status FROM (SELECT 'chat ' || o_custkey AS name, * FROM orders) GROUP BY 1""")
-def ledger_upsert(spark, d):
-    """Results appended to the ledger batch by batch; all of them are new to the first batch."""
-    o = _stream(spark, d, "orders")
+# failures up to the first success of a name, and that success
+TRIED = """r AS (SELECT 'chat ' || o_custkey AS name, o_orderstatus = 'F' AS bad, o_orderdate::TIMESTAMP + to_microseconds(o_orderkey) AS "at", o_custkey % 500 AS messages FROM orders),
+f AS (SELECT name, min("at") AS first FROM r WHERE NOT bad GROUP BY 1),
+led AS (SELECT r.* FROM r LEFT JOIN f USING (name) WHERE (bad AND ("at" < first OR first IS NULL)) OR "at" = first)"""
+
+
+def _results(orders):
     bad = F.col("o_orderstatus") == "F"
-    results = o.select(F.concat(F.lit("chat "), F.col("o_custkey").cast("string")).alias("name"), (F.col("o_custkey") % 500).alias("messages"),
-                       F.when(bad, F.lit("timeout")).alias("error"), (F.col("o_orderdate") + F.make_dt_interval(
-                           F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") / 1e6).cast("decimal(18,6)"))).alias("at"))
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") / 1e6).cast("decimal(18,6)"))
+    return orders.select(F.concat(F.lit("chat "), F.col("o_custkey").cast("string")).alias("name"), (F.col("o_custkey") % 500).alias("messages"),
+                         F.when(bad, F.lit("timeout")).alias("error"), at.alias("at"))
+
+
+@query(f"""WITH {TRIED} SELECT name, count(*) AS n, arg_max(CASE WHEN bad THEN 'error' ELSE 'done' END, "at") AS status FROM led GROUP BY 1""")
+def ledger_upsert(spark, d):
+    """Results appended to the ledger in one batch."""
     path = shared_dir(spark, "ledger")
-    ss.upsert_ledger(results, path, shared_dir(spark, "stream-state"))
-    rows = spark.read.parquet(path)
+    ss.upsert_ledger(_results(_stream(spark, d, "orders")), path, shared_dir(spark, "stream-state"))
+    rows = ss.read_ledger(spark, path)
     latest = ledger_latest(rows, ["at"]).select("name", "status")
     return rows.groupBy("name").agg(F.count("*").alias("n")).join(latest, "name")
+
+
+@query(f"""WITH {TRIED} SELECT name, CASE WHEN bad THEN 'error' ELSE 'done' END AS status, CASE WHEN NOT bad THEN messages END AS messages, "at" FROM led""")
+def ledger_batches(spark, d):
+    """The same results three years a batch, with repeats, and then all over again by a second run that knows nothing of the first."""
+    results, source, path = _results(v.table(spark, d, "orders")), shared_dir(spark, "results"), shared_dir(spark, "ledger")
+    years = F.floor(F.year("at") / 3).alias("years")
+    for (y,) in results.select(years).distinct().orderBy("years").collect():
+        part = results.filter(years == y)
+        part.unionAll(part.filter("messages % 3 = 0")).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        ss.upsert_ledger(stream, path, shared_dir(spark, "stream-state"))
+    return ss.read_ledger(spark, path).select("name", "status", "messages", "at")
+
+
+@query("""SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n FROM events GROUP BY 1, 2
+HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_resume(spark, d):
+    """``stream_counts`` over four files: one is there at first, a query runs and stops, then the others come and a new query
+    goes on from the checkpoint of the first."""
+    events, ends = v.table(spark, d, "events"), [shared_dir(spark, x) for x in ("events", "stream-out", "stream-state")]
+    cuts = [r for r in events.agg(*[F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), q) for q in (0.25, 0.5, 0.75)]).first()]
+    part = F.lit(0)
+    for c in cuts:
+        part = part + (F.unix_micros(F.col("ts").cast("timestamp")) > F.lit(c)).cast("int")
+    ss.use_durable_state(spark)
+    out = None
+    for some in ([0], [1, 2, 3]):
+        for i in some:
+            events.filter(part == i).coalesce(1).write.mode("append").parquet(ends[0])
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(ends[0])
+        out = ss.run_to_files(sw.stream_counts(stream, ["event_type"]), ends[1], ends[2])
+    return out

@@ -2,10 +2,12 @@
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lines import parse_json_loose
 from ..functions.vectors import vector_dhash, vectors_equal, vectors_relate
+from ..operators import report as rp
 from ..operators import stats as st
 from ..session import shared_dir
 from ..sources import chats as ch
@@ -14,7 +16,7 @@ from ..sources import sinks as sk
 from . import views as v
 from .order_queries import MSG, SHOWN
 from .registry import query
-from .stats_queries import WHO
+from .stats_queries import NOISE, WHO
 
 
 @query("""SELECT conv_id::VARCHAR AS chat, turn + 1 AS seq, 'text' AS kind, text, role AS speaker,
@@ -92,6 +94,71 @@ def write_report_tables(spark, d):
                                   F.col("who").alias("item"), text("n").alias("value"))))
 
 
+def _replies(m):
+    """A synthesis reply per report, made of its messages: plain, fenced, among prose, without sections, unreadable."""
+    per = m.groupBy("report", "chat").agg(F.count("*").alias("n"), F.min("event_id").alias("least"))
+    text = lambda c: F.col(c).cast("string")
+    one = F.struct("chat", F.struct(F.concat(F.lit("第 "), text("chat"), F.lit(" 节")).alias("heading"),
+                                    F.array(F.concat(text("n"), F.lit(" 条")), F.concat(F.lit("首 "), text("least"))).alias("paras")).alias("s"))
+    g = per.groupBy("report").agg(F.sum("n").alias("n"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]).alias("sections"))
+    r, k = text("report"), F.col("report") % 5
+    said = lambda *more: F.to_json(F.struct(F.concat(F.lit("报告 "), r).alias("title"), F.concat(F.lit("共 "), text("n"), F.lit(" 条")).alias("summary"), *more,
+                                            F.array(F.concat(F.lit("结论 "), r)).alias("conclusions"), F.concat(F.lit("建议 "), r).alias("suggestions")))
+    whole = said(F.col("sections"))
+    reply = (F.when(k == 0, whole).when(k == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here: "), whole, F.lit(" - done")))
+             .when(k == 3, said()).otherwise(F.concat(F.lit("no answer: "), r)))
+    return g.select("report", reply.alias("reply"), F.to_json(F.struct("n")).alias("points"))
+
+
+@query(MSG("""SELECT report, '报告 ' || report AS title, '共 ' || count(*) || ' 条' AS summary FROM msg WHERE report % 5 < 4 GROUP BY report
+UNION ALL SELECT DISTINCT report, '', 'no answer: ' || report FROM msg WHERE report % 5 = 4"""))
+def report_content(spark, d):
+    r = _replies(v.msg_events(spark, d))
+    return rp.report_content(r.select("report", "reply"), ["report"], r.select("report", "points")).select("report", "title", "summary")
+
+
+@query(MSG("""SELECT * FROM (
+SELECT 'sections' AS section, report, no, unnest([1, 2]) AS part, '第 ' || chat || ' 节' AS item, unnest([n || ' 条', '首 ' || least]) AS value
+  FROM (SELECT report, chat, count(*) AS n, min(event_id) AS least, row_number() OVER (PARTITION BY report ORDER BY chat) AS no FROM msg GROUP BY 1, 2) WHERE report % 5 < 3
+UNION ALL SELECT 'sections', report, 1, 1, '一、聊天记录要点', '{"n":' || count(*) || '}' FROM msg WHERE report % 5 > 2 GROUP BY report
+UNION ALL SELECT DISTINCT 'conclusions', report, 1, 1, 'conclusion', '结论 ' || report FROM msg WHERE report % 5 < 4
+UNION ALL SELECT DISTINCT 'conclusions', report, 1, 1, 'suggestion', '建议 ' || report FROM msg WHERE report % 5 < 4
+UNION ALL SELECT 'timeline', report, row_number() OVER (PARTITION BY report ORDER BY date, event_id), 1, date, text FROM (
+  SELECT *, strftime(ts, '%Y-%m-%d') AS date, row_number() OVER (PARTITION BY report ORDER BY event_id) AS r FROM msg WHERE kind = 'text' AND ts IS NOT NULL) WHERE r <= 30
+UNION ALL SELECT 'images', report, row_number() OVER (PARTITION BY report ORDER BY event_id), 1, img_path,
+  '图 ' || row_number() OVER (PARTITION BY report ORDER BY event_id) || '　cap ' || img_path FROM msg WHERE kind = 'image')"""))
+def report_sections(spark, d):
+    """Four of the seven tables of a report, written and read back; the other three have queries of their own."""
+    m, path = v.msg_events(spark, d), shared_dir(spark, "report")
+    r = _replies(m)
+    dated = m.filter("kind = 'text' AND ts IS NOT NULL").select("report", "event_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("text").alias("desc"))
+    first = dated.withColumn("r", F.row_number().over(Window.partitionBy("report").orderBy("event_id"))).filter("r <= 30")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("r", F.struct("date", "desc").alias("e")))), lambda x: x["e"])
+    lines = first.groupBy("report").agg(F.concat(F.lit("```json\n"), F.to_json(F.struct(items.alias("items"))), F.lit("```")).alias("reply"))
+    captions = m.filter("kind = 'image'").select("report", F.col("event_id").alias("image_no"), "img_path", F.concat(F.lit("cap "), "img_path").alias("caption"))
+    tables = rp.report_tables(m, r.select("report", "reply"), ["report"], r.select("report", "points"), lines, captions=captions)
+    sk.write_report_tables({k: tables[k] for k in ("sections", "conclusions", "timeline", "images")}, path)
+    shape = {"sections": ("no", "para_no", "heading", "para"), "conclusions": ("no", None, "part", "text"),
+             "timeline": ("no", None, "date", "desc"), "images": ("no", None, "img_path", "caption")}
+    out = None
+    for name, (no, part, item, value) in shape.items():
+        t = spark.read.parquet(f"{path}/{name}").select(
+            F.lit(name).alias("section"), "report", F.col(no).cast("long").alias("no"), (F.col(part) if part else F.lit(1)).cast("long").alias("part"),
+            F.col(item).alias("item"), F.col(value).alias("value"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query(MSG(f"""SELECT chat, unnest([0, 1, 2]) AS head_no, unnest([chat || ' · 聊天记录', '导出时间：2024-02-01 08:30　·　时间窗：全部可见记录（实际覆盖 '
+  || CASE WHEN chat % 3 = 0 THEN 'stored ' || chat ELSE coalesce(strftime(min(ts), '%Y-%m-%d') || ' ~ ' || strftime(max(ts), '%Y-%m-%d'), '（无时间标签）') END
+  || '）　·　文字 ' || count(*) FILTER (kind = 'text' AND NOT ({NOISE})) || ' 条 / 图片 ' || count(*) FILTER (kind = 'image') || ' 张 / 语音 ' || count(*) FILTER (kind = 'voice') || ' 条',
+  '（视觉自动化截图 + OCR 提取，严格只读；语音仅记录时长）']) AS line FROM msg GROUP BY chat"""))
+def transcript_heads(spark, d):
+    m = v.msg_events(spark, d)
+    stored = m.select("chat").distinct().withColumn("coverage", F.when(F.col("chat") % 3 == 0, F.concat(F.lit("stored "), F.col("chat").cast("string"))).otherwise(""))
+    return rp.head_lines(m, datetime(2024, 2, 1, 8, 30), coverage=stored)
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN (props->>'$.k')::BIGINT END AS k, CASE WHEN event_id % 4 = 3 THEN 'no answer: ' || event_type END AS raw
 FROM events""")
 def parse_json_loose_replies(spark, d):

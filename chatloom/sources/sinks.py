@@ -10,11 +10,14 @@ from ..operators.transcript import transcript_lines
 
 
 def write_transcript(messages: DataFrame, path: str, chat: str = "chat", files: int | None = None,
-                     mode: str = "errorifexists") -> None:
+                     mode: str = "errorifexists", heads: DataFrame | None = None) -> None:
     """Readable transcripts as text, one folder per chat (a safe name and a digest of the full one). Rows are ranged by (chat, time), so a large chat
-    becomes several files whose names follow its order."""
-    lines = transcript_lines(messages, [chat]).withColumn("_folder", folder_name(F.coalesce(F.col(chat).cast("string"), F.lit(""))))
-    order = ["_folder", chat, "at", "seq", "part"]
+    becomes several files whose names follow its order. ``heads`` (``report.head_lines``) come first."""
+    lines = transcript_lines(messages, [chat]).withColumn("head_no", F.lit(None).cast("int"))
+    if heads is not None:
+        lines = lines.unionByName(heads.select(chat, "head_no", "line"), allowMissingColumns=True)
+    lines = lines.withColumn("_folder", folder_name(F.coalesce(F.col(chat).cast("string"), F.lit(""))))
+    order = [F.col("_folder"), F.col(chat), F.col("head_no").asc_nulls_last(), F.col("at"), F.col("seq"), F.col("part")]
     ranged = lines.repartitionByRange(files, *order) if files else lines.repartitionByRange(*order)
     (ranged.sortWithinPartitions(*order).select(F.col("_folder").alias("chat"), F.col("line").alias("value"))
      .write.mode(mode).partitionBy("chat").text(path))

@@ -202,3 +202,50 @@ def test_no_category_of_a_report_is_one_slice(spark):
         mr.carry_scan = scan
     assert seen[0] <= 1024
     assert [e["desc"] for p in pages for e in json.loads(p)["facts"]] == [x[4] for x in rows]
+
+
+def test_frames_are_handed_to_the_model_one_after_the_other(spark):
+    def model(frames):
+        loaded = []         # what a task sets up once
+        for f in frames:
+            loaded.append(len(f))
+            yield [f"{t} {len(loaded)}" for t in f["text"]]
+
+    chunks = spark.createDataFrame([("a", i, f"t{i}") for i in range(25)], "chat string, chunk_no int, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+        got = {r.chunk_no: r.reply for r in mr.map_chunks(chunks, ["chat"], frames=model).select("chunk_no", "reply").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {i: f"t{i} {i // 10 + 1}" for i in range(25)}
+    with pytest.raises(Exception, match="replies"):
+        mr.map_chunks(chunks, ["chat"], frames=lambda fs: ([] for _ in fs)).collect()
+
+
+@pytest.mark.parametrize("commits", [1, 3])
+def test_a_rerun_asks_only_what_is_not_answered(spark, tmp_path, commits):
+    calls, store = str(tmp_path / "calls"), str(tmp_path / "store")
+
+    def ask(text):
+        import os
+        import uuid
+
+        os.makedirs(calls, exist_ok=True)
+        open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+        return mr.extract_by_rules(text)
+
+    def run(texts, version=""):
+        import os
+
+        before = len(os.listdir(calls)) if os.path.isdir(calls) else 0
+        chunks = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "chat string, chunk_no int, text string")
+        out = mr.map_chunks(chunks, ["chat"], ask, store=store, version=version, commits=commits)
+        assert sorted((r.chunk_no, r.reply) for r in out.collect()) == [(i, mr.extract_by_rules(t or "")) for i, t in enumerate(texts)]
+        return len(os.listdir(calls)) - before
+
+    texts = [f"2026-01-0{i + 1} a\nwhy?\n3 items" for i in range(8)]
+    assert run(texts) == 8
+    assert run(texts) == 0
+    assert run([*texts[:7], "4 more", texts[0], ""]) == 2
+    assert run(texts, "another prompt") == 8

@@ -162,3 +162,29 @@ def test_results_do_not_depend_on_the_session_zone(spark):
         assert lb.resolve_labels(labels, NOW, ["chat"]).first().ts == datetime(2026, 8, 5, 14, 30)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("width", [1, 500, 100_000])
+def test_years_that_clocks_alone_reach(spark, width):
+    """Eight years of clocks past ``as_of``, with month-day labels in between; a chat without a name has them too."""
+    rows, want = [], {}
+    for chat in ("a", None):
+        labels = [("full", datetime(2026, 1, 5, 9))] if chat else []
+        for i in range(5900):
+            at = timedelta(hours=23 if i % 2 else 1)
+            labels.append(("md", (12, 28, at)) if i % 1471 == 1470 else ("md", (2, 29, at)) if i % 997 == 996 else ("clock", at))
+        for i, (label, t) in enumerate(zip(labels, fold(labels, NOW))):
+            rows.append((chat, i, 0, render(*label)))
+            want[chat, i] = t
+    assert max(want.values()).year >= NOW.year + 3
+    df = spark.createDataFrame(rows, "chat string, screen_idx int, cy int, text string").repartition(5)
+    got = {(r.chat, r.screen_idx): r.ts for r in lb.resolve_labels(df, NOW, ["chat"], width=width).collect()}
+    assert got == want
+
+
+def test_a_chat_without_a_name_keeps_its_year(spark):
+    rows = [(None, 0, 0, "2024年3月5日 10:00"), (None, 5, 0, "11:00"), ("b", 0, 0, "10:00")]
+    df = spark.createDataFrame(rows, "chat string, screen_idx int, cy int, text string")
+    for width in (2, 1024):
+        got = {(r.chat, r.screen_idx): r.ts for r in lb.resolve_labels(df, NOW, ["chat"], width=width).collect()}
+        assert got[None, 5] == datetime(2024, 3, 5, 11)

@@ -123,3 +123,55 @@ def test_whole_errors_by_default(spark):
 def test_a_window_needs_a_moment(spark):
     with pytest.raises(ValueError):
         rg.extract(spark, "chat_files", window="7d")
+
+
+def stored(tmp_path, names, multi_line):
+    """Chat documents with odd fields, a file each or a line each."""
+    docs = [{"name": n, "captured_at": "x", "extra": 1, "part": i % 2, "messages": [
+        {"kind": "text", "text": f"{n} 早", "timestamp": "2026-08-05 14:30:00.5", "box": [1, 2, 3, 4], "unknown": {"a": 1}},
+        {"text": "坏时间", "timestamp": "昨天", "speaker": None}, {"kind": "voice", "screen_idx": 3, "timestamp": "2024-13-40 00:00:00"}]} for i, n in enumerate(names)]
+    docs += [{"name": None, "messages": [{"text": "no name"}]}, {"name": "empty", "messages": []}]
+    if multi_line:
+        for i, doc in enumerate(docs):
+            (tmp_path / f"{i}.json").write_text(json.dumps(doc, ensure_ascii=False, indent=1), encoding="utf-8")
+    else:
+        (tmp_path / "all.json").write_text("\n".join(json.dumps(d, ensure_ascii=False) for d in docs) + "\n", encoding="utf-8")
+    (tmp_path / "_SUCCESS").write_text("")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("multi_line, task_bytes", [(True, 1), (True, 1 << 20), (False, 1 << 20)])
+def test_plug_in_reads_like_the_json_reader(spark, tmp_path, multi_line, task_bytes):
+    from chatloom.sources.plugin import use_chat_source
+
+    path = stored(tmp_path, [f"群{i}" for i in range(7)], multi_line)
+    name = use_chat_source(spark)
+    got = spark.read.format(name).option("multiLine", multi_line).option("taskBytes", task_bytes).load(path)
+    want = ch.read_chats(spark, path, multi_line)
+    assert [f.name for f in got.schema] == [f.name for f in want.schema]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    some = got.filter(F.col("chat").isin("群1", "群2") & (F.col("kind") == "voice"))
+    assert sorted(r.chat for r in some.collect()) == ["群1", "群2"]
+    assert rg.extract(spark, name, ["群3"], path=path, multiLine=multi_line).count() == 3
+    assert got.rdd.getNumPartitions() == (9 if task_bytes == 1 else 1)
+
+
+def test_plug_in_streams_new_files_once(spark, tmp_path):
+    import os
+
+    from chatloom.sources.plugin import use_chat_source
+    from chatloom.streaming.sinks import run_to_files
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    path = stored(folder, ["a", "b"], True)
+    run = lambda: run_to_files(spark.readStream.format(use_chat_source(spark)).load(path), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert run().count() == 7
+    late = folder / "late.json"
+    late.write_text(json.dumps({"name": "c", "messages": [{"text": "x"}]}))
+    os.utime(late, (4e9, 4e9))
+    again = run()
+    assert again.count() == 8 and again.filter("chat = 'c'").count() == 1
+    assert run().count() == 8
+    want = ch.read_chats(spark, path)
+    assert sorted(map(str, again.collect())) == sorted(map(str, want.collect()))

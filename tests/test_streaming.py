@@ -106,6 +106,29 @@ def test_ledger_retries_failures_and_replays_nothing(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
         ss.upsert_ledger(spark.readStream.schema(schema).parquet(src), led, state, 120)
     ss.upsert_ledger(spark.readStream.schema(schema).parquet(src), led, state, 120)
-    rows = spark.read.parquet(led)
+    rows = ss.read_ledger(spark, led)
     assert sorted((r.name, r.status, r.at.hour) for r in rows.collect()) == [("a", "done", 1), ("b", "done", 2), ("b", "error", 1)]
     assert {r.name: r.status for r in ledger_latest(rows, ["at"]).collect()} == {"a": "done", "b": "done"}
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_ledger_is_the_same_for_any_batches(spark, tmp_path, size):
+    """Failures, retries, repeats, unknown times, a name that is missing; everything fed twice."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", "c", None]), i % 3, rng.choice([None, "boom", "boom", "late"]), datetime(2026, 1, 1, 0, i)) for i in range(12)]
+    rows = [("d", 0, "boom", None), ("d", 1, None, None), ("e", 0, "boom", None), *rows, rows[2], rows[5]]
+    rows.sort(key=lambda r: (r[3] is not None, r[3] or 0))
+    want, done = set(), set()
+    for name, n, error, at in rows:
+        if name not in done:
+            want.add((name, "error" if error else "done", None if error else n, error, at))
+            done |= set() if error else {name}
+    schema = "name string, messages bigint, error string, at timestamp_ntz"
+    src, led = str(tmp_path / "in"), str(tmp_path / "ledger")
+    for start in range(0, len(rows), size):
+        spark.createDataFrame(rows[start:start + size], schema).coalesce(1).write.mode("append").parquet(src)
+    for run in range(2):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        ss.upsert_ledger(stream, led, str(tmp_path / f"state{run}"), 300, buckets=5)
+    got = [tuple(r) for r in ss.read_ledger(spark, led).select("name", "status", "messages", "error", "at").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
