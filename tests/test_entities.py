@@ -134,18 +134,30 @@ def rounds(screens, window):
     return found, per_screen
 
 
-def test_merge_rounds(spark):
+@pytest.mark.parametrize("width", [1, 5, 1000])
+def test_merge_rounds(spark, width):
     rng = random.Random(15)
     pool = random_names(rng, 60)
-    lists = {k: [rng.sample(pool, 6) for _ in range(12)] for k in ("a", "b")}
+    lists = {k: [rng.sample(pool, 6) for _ in range(12)] for k in ("a", None)}
     lists["c"] = [["赵A事务所", "黄春健"], ["黄春健", "赵嫣嫣AI事务所"], ["新群"]]
-    rows = [(k, s, i, n) for k, ss in lists.items() for s, ns in enumerate(ss) for i, n in enumerate(ns)]
+    rows = [(k, 3 * s, i, n) for k, ss in lists.items() for s, ns in enumerate(ss) for i, n in enumerate(ns)]
     df = spark.createDataFrame(rows, "list_id string, screen_idx int, pos int, name string")
-    out = en.merge_round_names(df, ["list_id"], 8).collect()
+    out = en.merge_round_names(df, ["list_id"], 8, width).collect()
     for k, screens in lists.items():
         names, new = rounds(screens, 8)
-        assert [r.name for r in sorted((r for r in out if r.list_id == k and r.what == "name"), key=lambda r: r.no)] == names
-        assert [r.new for r in sorted((r for r in out if r.list_id == k and r.what == "round"), key=lambda r: r.no)] == new
+        mine = sorted((r for r in out if r.list_id == k), key=lambda r: r.no)
+        assert [r.name for r in mine if r.what == "name"] == names
+        assert [(r.no, r.new) for r in mine if r.what == "round"] == [(3 * s, n) for s, n in enumerate(new)]
+
+
+def test_a_long_list_is_many_slices(spark):
+    """A list with most of the rows, whose names come again and again far apart, against the walk in one piece."""
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(90)]
+    rows = [("l", s, i, n + rng.choice(["", "", "q", "zz"])) for s in range(120) for i, n in enumerate(rng.sample(pool, 4))]
+    df = spark.createDataFrame(rows, "list_id string, screen_idx int, pos int, name string").repartition(6)
+    whole, cut = (sorted(map(str, en.merge_round_names(df, ["list_id"], 16, w).collect())) for w in (10_000, 9))
+    assert cut == whole
 
 
 def test_native_forms_agree(spark):
