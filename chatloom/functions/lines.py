@@ -44,10 +44,10 @@ def doc_line() -> Column:
             .otherwise(F.concat(named, text, clock)))
 
 
-def resolved_title(title: Column, names: Column, template: Column) -> Column:
-    """Explicit title, or the joined chat names (cut at 30) with the template's suffix."""
+def resolved_title(title: Column, names: Column, template: Column, chars: int | None = 30) -> Column:
+    """Explicit title, or the joined chat names (cut at ``chars``, whole if that is None) with the template's suffix."""
     joined = F.coalesce(_blank(names), F.lit("聊天记录"))
-    cut = F.when(F.length(joined) > 30, F.concat(F.substring(joined, 1, 30), F.lit("…"))).otherwise(joined)
+    cut = joined if chars is None else F.when(F.length(joined) > chars, F.concat(F.substring(joined, 1, chars), F.lit("…"))).otherwise(joined)
     suffix = F.lit(K.DEFAULT_TITLE_SUFFIX)
     for name, text in K.TITLE_SUFFIX.items():
         suffix = F.when(template == name, F.lit(text)).otherwise(suffix)

@@ -46,13 +46,14 @@ def transcript_lines(messages: DataFrame, keys: list[str], seq: str = "seq") ->
     return body.unionByName(heads)
 
 
-def report_titles(chats: DataFrame, keys: list[str], title: Column, template: Column) -> DataFrame:
-    """Title of each report. Only thirty characters of the joined chat names can show, so thirty-one
-    names per report are enough; the rank limit applies before the shuffle."""
-    each = chats.select(*keys, F.col("chat").cast("string").alias("_c")).distinct()
-    near = (each.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_c"))).filter("_r <= 31"))
+def report_titles(chats: DataFrame, keys: list[str], title: Column, template: Column, chars: int | None = 30) -> DataFrame:
+    """Title of each report. Only ``chars`` characters of the joined chat names can show, so one name more is enough per report;
+    the rank limit applies before the shuffle. ``chars=None`` joins all names."""
+    near = chats.select(*keys, F.col("chat").cast("string").alias("_c")).distinct()
+    if chars is not None:
+        near = near.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_c"))).filter(F.col("_r") <= chars + 1)
     names = F.array_join(F.array_sort(F.collect_list("_c")), "、")
-    return near.groupBy(*keys).agg(names.alias("_n")).select(*keys, resolved_title(title, F.col("_n"), template).alias("title"))
+    return near.groupBy(*keys).agg(names.alias("_n")).select(*keys, resolved_title(title, F.col("_n"), template, chars).alias("title"))
 
 
 def image_budget(messages: DataFrame, keys: list[str], n: int = K.EMBEDDED_IMAGES, order: str = "seq") -> DataFrame:

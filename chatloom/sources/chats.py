@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import STORED_CHAT
 from ..functions.text import as_col
+from ..operators.scan import null_safe_join
 
 ROWS_PER_PART = 8192
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -28,12 +29,13 @@ def read_documents(spark: SparkSession, path: str | list[str], multi_line: bool
 
 
 def register_alias(documents: DataFrame, order: str, alias: str = "alias") -> DataFrame:
-    """Give documents another chat name; of several loads of a name the last by ``order`` counts."""
+    """Give documents another chat name; of several loads of a name the last by ``order`` counts. A load without an order counts
+    if no other has one."""
     name = F.coalesce(F.nullif(F.col(alias), F.lit("")), F.coalesce("name", F.lit("")))
     named = documents.withColumn("name", name).drop(alias)
     # the winning load is a maximum per name; documents themselves are not sorted or collected
     last = named.groupBy("name").agg(F.max(order).alias(order))
-    return named.join(last, ["name", order], "left_semi")
+    return null_safe_join(named, last, ["name", order], "left_semi")
 
 
 def explode_messages(documents: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:

@@ -40,6 +40,11 @@ def test_alias_replaces_earlier_load(spark):
     assert sorted((r.name, r.loaded) for r in ch.register_alias(docs, "loaded").collect()) == [("a", 2), ("c", 3)]
 
 
+def test_a_load_without_an_order_is_kept(spark):
+    docs = spark.createDataFrame([("a", "", None), ("b", "", None), ("b", "", 4), (None, None, 5)], "name string, alias string, loaded int")
+    assert sorted((r.name, r.loaded) for r in ch.register_alias(docs, "loaded").collect()) == [("", 5), ("a", None), ("b", 4)]
+
+
 def test_blocks(spark, tmp_path):
     rows = [(1, 1, " 你好 ", [[0, 0], [11, 0], [11, 9], [0, 9]], .9), (1, 2, "低", [[0, 0]] * 4, .3), (1, 3, "  ", [[0, 0]] * 4, .9)]
     spark.createDataFrame(rows, "frame_id bigint, seq bigint, text string, box array<array<int>>, score double").write.json(str(tmp_path / "b"))

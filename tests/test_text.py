@@ -66,3 +66,12 @@ def test_vectors(spark):
 
 def test_call_errors(evaluate):
     assert evaluate(tx.classify_call_error("x"), ["HTTP 429", "触发限流", "timeout"]) == ["rate_limit", "rate_limit", "other"]
+
+
+def test_titles_of_any_length(spark):
+    from chatloom.operators.transcript import report_titles
+    chats = spark.createDataFrame([(1, f"chat {i:02d}") for i in range(40)], "report int, chat string")
+    for chars in (5, 30, 100, None):
+        whole = "、".join(f"chat {i:02d}" for i in range(40))
+        got = report_titles(chats, ["report"], F.lit(""), F.lit("work"), chars).first().title
+        assert got == (whole if chars is None else whole[:chars] + "…") + "工作情况报告"
