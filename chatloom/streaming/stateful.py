@@ -1,9 +1,8 @@
 """Operators with their own state: overlap removal, label carry and the running name list.
 
-State is small and does not grow: overlap removal keeps the texts of the last two screens, labels one time,
-names the last sixteen. Rows of a key are put in screen order inside a batch; screens must arrive in
-order across batches, and what comes too late is handed out with ``late = true`` instead of being
-dropped.
+Overlap removal keeps the texts of the last two screens, labels one time, names the last sixteen and every name that was put
+on the list. Rows of a key are put in screen order inside a batch; screens must arrive in order across batches. Overlap
+removal hands out what comes too late with ``late = true``; labels and names take late rows as they come, without a mark.
 """
 
 from __future__ import annotations
