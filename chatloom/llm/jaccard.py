@@ -12,12 +12,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatloom.llm.common import settle, small_enough
-from chatloom.llm.grams import WordHashes, among, byte_words, frequent_grams, mixed, rolling
+from chatloom.llm.grams import REMEMBERED, WordHashes, among, byte_words, frequent_grams, mixed, rolling
 from chatloom.operators.entities import components
 
 WIDTH = 5
@@ -25,6 +25,8 @@ WIDTH = 5
 SMALL, BUCKET_CHARS = 1_000_000, 8_000_000
 #: Size bands: a set is compared under the partition of the band of the larger set.
 GROWTH = 1.5
+#: Longs of a set's parity map.
+PARITY = 16
 #: Rounds in which the members of a segment meet one of them; after these all that are still apart meet.
 STAR_ROUNDS = 2
 
@@ -118,7 +120,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[list[np.ndarra
     return out, needs
 
 
-def _blocks(frames, chars: int = 4_000_000):
+def _blocks(frames, chars: int = 1_000_000):
     """Lists of (id, text) that are worked on at once; ids are null if there are none."""
     for f in frames:
         rows, size = [], 0
@@ -138,31 +140,49 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> np.uint64(40)).astype(np.int64) & 255, minlength=256), 255).astype(np.uint8).tobytes()
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITY parts of the universe: whether the set has an odd number of elements there. Every bit in which
+    two sets differ is an element that only one of them has."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether sizes and parity maps leave room for a link: linked sets differ in at most a seventh of the sum of their sizes."""
+    odd = sum((F.bit_count(F.col(f"p{a}")[i].bitwiseXOR(F.col(f"p{b}")[i])) for i in range(PARITY)), F.lit(0))
+    return (odd * 7 <= F.col(f"n{a}") + F.col(f"n{b}")) & (F.col(f"n{a}") * 4 >= F.col(f"n{b}") * 3) & (F.col(f"n{b}") * 4 >= F.col(f"n{a}") * 3)
+
+
 def segment_groups(docs: DataFrame, width: int, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """Rows (gid, s, band): sets that agree on a listed segment, groups of the same members once for each bucket. Beside them rows without
-    gid: (s, band, n), on how many segments of a bucket a set meets others, or below zero how many it needs; and (s, doc_id, n, counts),
-    each text's set, its size and sketch, without band; s is null for an empty set.
+    """Rows (gid, s, band, n, size): sets that agree on n listed segments of a bucket and how many these are, segments of the same members as
+    one group. Beside them rows without gid: (s, band, n), on how many segments of a bucket a set meets others, or below zero how many it
+    needs; and (s, doc_id, n, counts, odd), each text's set, its size, sketch and parity map, without band; s is null for an empty set.
 
     All travel packed: one row for each block of texts and bucket. Copies of a set within a task are listed once."""
+    homes = max(1024, buckets)
+
     def cut(frames):
         hashes, known = WordHashes(), set()
-        for turn, rows in enumerate(_blocks(frames)):
+        for rows in _blocks(frames):
             names, parts, ids, sets, needs = [], [], [], [], []
+            if len(known) >= REMEMBERED:
+                known.clear()
             for i, t in rows:
                 x = shingle_set(byte_words(t, lower=True), hashes, width)
                 s = set_key(x) if len(x) else 0
                 ids.append((i or 0, i is not None, s, len(x)))
-                sets.append(sketch(x))
+                sets.append(sketch(x) + parity(x).tobytes())
                 if len(x) > 2 and s not in known:
                     known.add(s)
                     sigs, need = signatures(x, frequent)
                     names += [s] * len(sigs)
                     parts += sigs
                     needs += [(s, b, c) for b, c in need]
-            yield pd.DataFrame({"bucket": [-1 - int(ids[0][0] % 1024)], "sigs": [np.array(ids, np.int64).tobytes()], "sets": [b"".join(sets)]})
+            home = xxhash.xxh3_64_intdigest(b"".join(sets)) % homes
+            yield pd.DataFrame({"bucket": [-1 - home], "sigs": [np.array(ids, np.int64).tobytes()], "sets": [b"".join(sets)]})
             if not names:
                 continue
-            yield pd.DataFrame({"bucket": [-5000 - int(names[0] % 1024)], "sigs": [np.array(needs, np.int64).tobytes()], "sets": [b""]})
+            yield pd.DataFrame({"bucket": [-1 - homes - home], "sigs": [np.array(needs, np.int64).tobytes()], "sets": [b""]})
             sig, who = np.concatenate(parts), np.repeat(np.array(names, np.int64), [len(p) for p in parts])
             home = (sig % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(home, kind="stable")
@@ -174,22 +194,24 @@ def segment_groups(docs: DataFrame, width: int, buckets: int, frequent: np.ndarr
             yield pd.DataFrame({"bucket": home[edges], "sigs": [short[a:b].tobytes() for a, b in zip(edges, ends)],
                                 "sets": [who[a:b].tobytes() for a, b in zip(edges, ends)]})
 
-    kinds = {"gid": "Int64", "s": "Int64", "band": "Int64", "n": "Int64", "doc_id": "Int64", "counts": object}
+    kinds = {"gid": "Int64", "s": "Int64", "band": "Int64", "n": "Int64", "size": "Int64", "doc_id": "Int64", "counts": object, "odd": object}
+    record = 256 + 8 * PARITY
 
-    def frame(size, **cols):
+    def frame(size, /, **cols):
         return pd.DataFrame({c: pd.Series(cols.get(c, [None] * size), dtype=t) for c, t in kinds.items()})
 
     def meet(f):
-        if f["bucket"].iloc[0] <= -5000:
+        if f["bucket"].iloc[0] < -homes:
             need = np.unique(np.frombuffer(b"".join(f["sigs"]), np.int64).reshape(-1, 3), axis=0)
             return frame(len(need), s=need[:, 0], band=need[:, 1], n=-need[:, 2])
         if f["bucket"].iloc[0] < 0:
             told = np.frombuffer(b"".join(f["sigs"]), np.int64).reshape(-1, 4)
-            counts = b"".join(f["sets"])
+            kept = np.frombuffer(b"".join(f["sets"]), np.uint8).reshape(-1, record)
             named = lambda v, ok: pd.array(v, "Int64").copy() if ok.all() else pd.array(np.where(ok, v, 0), "Int64")
             doc, s = named(told[:, 0], told[:, 1] > 0), named(told[:, 2], told[:, 3] > 0)
             doc[told[:, 1] == 0], s[told[:, 3] == 0] = pd.NA, pd.NA
-            return frame(len(told), s=s, doc_id=doc, n=told[:, 3], counts=[counts[256 * i:256 * i + 256] for i in range(len(told))])
+            return frame(len(told), s=s, doc_id=doc, n=told[:, 3], counts=[x[:256].tobytes() for x in kept],
+                         odd=[x[256:].copy().view(np.int64) for x in kept])
         whole = np.zeros((sum(map(len, f["sigs"])) // 6, 8), np.uint8)
         whole[:, :6] = np.frombuffer(b"".join(f["sigs"]), np.uint8).reshape(-1, 6)
         sig, who = whole.view(np.uint64).ravel(), np.frombuffer(b"".join(f["sets"]), np.int64)
@@ -202,19 +224,20 @@ def segment_groups(docs: DataFrame, width: int, buckets: int, frequent: np.ndarr
         several = np.repeat(count > 1, count)
         if not several.any():
             return frame(0)
-        gid = mixed(np.add.reduceat(mixed(who.view(np.uint64)), start) + count.astype(np.uint64))
         band_of = (sig & np.uint64(63)).astype(np.int64)
+        gid = mixed(np.add.reduceat(mixed(who.view(np.uint64)), start) + mixed(count.astype(np.uint64) << np.uint64(6) | band_of[start].astype(np.uint64)))
         # how many segments of a set others list as well: its bucket's share of what it needs
         met = pd.DataFrame({"s": who[several], "band": band_of[several]}).groupby(["s", "band"]).size().reset_index(name="n")
-        _, one = np.unique(gid, return_index=True)
-        pick = np.zeros(len(start), bool)
-        pick[one] = True
+        _, one, alike = np.unique(gid, return_index=True, return_counts=True)
+        pick, times = np.zeros(len(start), bool), np.zeros(len(start), np.int64)
+        pick[one], times[one] = True, alike
         rows = np.repeat(pick & (count > 1), count)
         shared = frame(len(met), s=met["s"], band=met["band"], n=met["n"])
-        return pd.concat([shared, frame(int(rows.sum()), gid=np.repeat(gid, count)[rows].astype(np.int64), s=who[rows], band=band_of[rows])], ignore_index=True)
+        return pd.concat([shared, frame(int(rows.sum()), gid=np.repeat(gid, count)[rows].astype(np.int64), s=who[rows], band=band_of[rows],
+                                        n=np.repeat(times, count)[rows], size=np.repeat(count, count)[rows])], ignore_index=True)
 
     return (docs.select("doc_id", "text").mapInPandas(cut, "bucket long, sigs binary, sets binary")
-            .groupBy("bucket").applyInPandas(meet, "gid long, s long, band long, n long, doc_id long, counts binary"))
+            .groupBy("bucket").applyInPandas(meet, "gid long, s long, band long, n long, size long, doc_id long, counts binary, odd array<long>"))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -278,10 +301,10 @@ def link_components(groups: DataFrame, known: DataFrame, docs: DataFrame, width:
         if turn < STAR_ROUNDS:
             pairs = left.filter("root <> hub_root").select(F.least("s", "hub").alias("u"), F.greatest("s", "hub").alias("v"))
         else:
-            sized = left.select("gid", "s", "root").join(known.select("s", "n"), "s")
-            a = sized.select("gid", F.col("s").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"))
-            b = sized.select("gid", F.col("s").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"))
-            pairs = a.join(b, "gid").filter("ru < rv and nu * 4 >= nv * 3 and nv * 4 >= nu * 3").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+            sized = left.select("gid", "s", "root").join(known.select("s", "n", "odd"), "s")
+            a = sized.select("gid", F.col("s").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("odd").alias("pu"))
+            b = sized.select("gid", F.col("s").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("odd").alias("pv"))
+            pairs = a.join(b, "gid").filter(F.expr("ru < rv") & _may_link("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         found = _verified(pairs.distinct(), known, docs, width)
         left = left.select("gid", "s")
         if found.isEmpty():
@@ -297,20 +320,24 @@ def similar_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Null or blank text: an empty set, linked with nothing. component_id is the least id that links lead to, the row's own
     included; null ids count for nothing unless there are no others. Equal texts and repeated rows share a set, which travels and is
     compared once. No rows give no rows. Extra columns are ignored.
-    Sets that meet others on fewer segments than any link implies are out before anything is compared. Hot groups:
-    segments that frequent shingles fill are left out where that is safe, and groups shrink to the members still apart."""
+    Sets that meet others on fewer segments than any link implies are out before anything is compared, and of the others' segments
+    only the rarest are used, as many as they have beyond that. Hot groups: segments that frequent shingles fill are left
+    out where that is safe, groups shrink to the members still apart, and parity maps are compared inside the join."""
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     frequent = frequent_grams(docs, width, lower=True)
     met = settle(segment_groups(docs, width, max(128, chars // BUCKET_CHARS), frequent), "segments")
-    rows = met.filter("gid is null and band is null").select("doc_id", "n", "s", "counts")
+    rows = met.filter("gid is null and band is null").select("doc_id", "n", "s", "counts", "odd")
     able = met.filter("gid is null and band is not null").groupBy("s", "band").agg(
-        F.sum(F.greatest("n", F.lit(0))).alias("met"), F.max(-F.least("n", F.lit(0))).alias("need")).filter("met >= need").select("s", "band")
-    groups = met.filter("gid is not null").select("gid", "s", "band").join(able, ["s", "band"], "left_semi").select("gid", "s").distinct()
+        F.sum(F.greatest("n", F.lit(0))).alias("met"), F.max(-F.least("n", F.lit(0))).alias("need")).filter("met >= need")
+    # linked sets share at least as many segments as either needs, so the first that they share, the rarest first, is not among the last need - 1 of either
+    shared = met.filter("gid is not null").groupBy("gid", "s", "band").agg(F.sum("n").alias("n"), F.max("size").alias("size")).join(able, ["s", "band"])
+    before = F.sum("n").over(Window.partitionBy("s", "band").orderBy("size", "gid").rowsBetween(Window.unboundedPreceding, -1))
+    groups = shared.withColumn("before", F.coalesce(before, F.lit(0))).filter("before <= met - need").select("gid", "s")
     groups = settle(groups, "members")
     groups = settle(groups.join(groups.groupBy("gid").count().filter("count > 1").select("gid"), "gid", "left_semi"), "groups")
     wanted = rows.filter("s is not null").join(groups.select("s").distinct(), "s", "left_semi")
-    known = settle(wanted.groupBy("s").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.min("doc_id").alias("doc_id")), "known")
+    known = settle(wanted.groupBy("s").agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("odd").alias("odd"), F.min("doc_id").alias("doc_id")), "known")
     root = link_components(groups, known, docs, width)
     least = rows.filter("s is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     least = least.join(root, "s", "left").select("s", F.coalesce("root", "s").alias("root"), "doc_id")
