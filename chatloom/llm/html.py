@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from chatloom.llm.common import packed, settle, small_enough
 
 #: Elements whose content is never text of the page, fixed values.
-RAW = "script|style|noscript|template|title|textarea|svg|math|iframe|object|canvas|audio|video|select"
+RAW = "script|style|noscript|template|title|textarea|svg|annotation-xml|annotation|iframe|object|canvas|audio|video|select"
 #: Elements that hold the page itself: words in their class, id or role tell its layout.
 WHOLE = {"html", "body", "main", "article"}
 APART = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "label"}
@@ -25,11 +25,27 @@ FURNITURE = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "spon
              "subscribe", "subscription", "signup", "login", "search", "comment", "comments", "reply", "replies", "respond", "disqus", "pagination", "pager", "tags", "toc", "skip"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "center", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "ul", "ol", "dl", "figure", "details", "blockquote", "address", "hgroup"} | APART
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "figcaption", "caption", "summary", "legend", "option"}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)|<({RAW})\b(?:\s*/>|(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=[\s\"']/)>|>.*?(?:</\1\s*>|\Z)))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What stands in a tag: a quote opens a value behind an equals sign only.
+INSIDE = r"""(?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:\s*/>|{INSIDE}(?:(?<=[\s"']/)>|>.*?(?:</\1\s*>|\Z)))|<(/?)([a-zA-Z][^\s/>]*)({INSIDE})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S | re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: A whole name, bare or behind a place and before a part, unless the part tells a state of the page: sidebar, site-footer, ad-slot, but not no-ads or comments-open.
 MARK = re.compile(rf"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary)[-_])?(?:{'|'.join(sorted(FURNITURE))})(?:\d*|[-_](?!(?:open|opened|closed|enabled|disabled|on|off|none|fixed|sticky|visible|collapsed|results)(?:[-_]|\Z)).*)", re.S)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: The voted container is taken if it holds this share of a page's text.
+FAIR = 0.125
+
+
+def attributes(inside: str) -> dict[str, str]:
+    """Name (lower case) to value of a tag's attributes, the first of each name; stray quotes are skipped."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(inside):
+        out.setdefault(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "")
+    return out
+
+
+def hidden(attrs: dict[str, str]) -> bool:
+    style = "".join(attrs.get("style", "").lower().split())
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or "display:none" in style
 
 
 def _kept(nodes: list[tuple[int, str, str, bool, bool]], blocks: list[tuple[int, str, int]]) -> list[bool]:
@@ -97,10 +113,11 @@ def blocks_of(html: str | None) -> list[tuple[str, str, int]]:
             flush()
             in_link = 0
             if tag in CONTAINERS and not m.group(4).endswith("/"):
-                names = {k.lower(): (a or b or c) for k, a, b, c in NAMES.findall(m.group(4))}
-                marked = tag not in WHOLE and any(map(MARK.fullmatch, " ".join(names.values()).lower().split()))
+                names = attributes(m.group(4))
+                called = " ".join(names.get(k, "") for k in ("class", "id", "role")).lower().split()
+                marked = tag not in WHOLE and any(map(MARK.fullmatch, called))
                 kind = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(names.get("class", "").split())[:3])
-                nodes.append((stack[-1], tag, f"{nodes[stack[-1]][2]}/{kind}", tag in APART or bool(HIDDEN.search(m.group(4))), marked))
+                nodes.append((stack[-1], tag, f"{nodes[stack[-1]][2]}/{kind}", tag in APART or hidden(names), marked))
                 stack.append(len(nodes) - 1)
     flush()
     kept = _kept(nodes, blocks)
@@ -121,9 +138,9 @@ def scored_paths(blocks: list[tuple[str, str, int]]) -> Counter:
 
 
 def main_text(blocks: list[tuple[str, str, int]], path: str | None) -> str:
-    """The blocks in the voted container; on a page without it, in the page's own best one."""
+    """The blocks in the voted container; on a page where it is missing or holds under FAIR of the text, in the page's own best one."""
     inside = [b for b in blocks if path and (b[0] == path or b[0].startswith(path + "/"))]
-    if not inside:
+    if not inside or sum(len(t) - n for _, t, n in inside) < FAIR * sum(len(t) - n for _, t, n in blocks):
         own = scored_paths(blocks)
         best = max(own, key=lambda p: (own[p], p)) if own else ""
         inside = [b for b in blocks if b[0] == best or b[0].startswith(best + "/")]
