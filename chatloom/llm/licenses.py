@@ -60,7 +60,8 @@ def scan(docs: DataFrame, share: float = SHARE) -> DataFrame:
     and offset (a diagonal); grams of a template are bits, so a gram counts once however often its row comes.
     A phrase stands where one diagonal has all its grams: places, array of (start, label). For longer templates
     diagonals at most DRIFT apart are merged, as words may be missing or added, and the merged span is verified: it holds at
-    least ``share`` of the template's grams and is at most half as long again: spans, array of (start, stop, label, share).
+    least ``share`` of the template's grams and is at most half as long again: spans, array of (start, stop, label, share). Where stray
+    grams chain diagonals into a longer run, its peaks count, each with the diagonals at most DRIFT to either side.
     Null text has no words. Equal rows get equal findings. The table of grams is a constant, hence the broadcast."""
     spark = docs.sparkSession
     grams = {n: len(_parts(t)) - K + 1 for n, t in TEMPLATES.items()}
@@ -79,13 +80,20 @@ def scan(docs: DataFrame, share: float = SHARE) -> DataFrame:
     by_offset = Window.partitionBy("_key", "template").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(by_offset) <= DRIFT, 0).otherwise(1)
     size = F.create_map(*[F.lit(x) for kv in grams.items() for x in kv])
+    near = by_offset.rangeBetween(-DRIFT, DRIFT)
+    best = F.struct(F.bit_count("near_bits"), F.bit_count("bits"), -F.col("diagonal"))
+    span = lambda start, stop, bits: F.struct(start.alias("start"), (stop + K).alias("stop"), (F.bit_count(bits) / size[F.col("template")]).alias("share"))
+    holds = lambda s: (s["share"] >= share) & (s["stop"] - s["start"] <= 1.5 * (size[F.col("template")] + K) + DRIFT)
     spans = (votes.filter(F.col("template").isin(list(TEMPLATES)))
              .withColumn("apart", apart)
-             .withColumn("island", F.sum("apart").over(by_offset)))
-    spans = (spans.groupBy("_key", "template", "island").agg(F.min("lo").alias("start"), (F.max("hi") + K).alias("stop"), F.bit_or("bits").alias("bits"))
-             .withColumn("share", F.bit_count("bits") / size[F.col("template")])
-             .filter((F.col("share") >= share) & (F.col("stop") - F.col("start") <= 1.5 * (size[F.col("template")] + K) + DRIFT))
-             .groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", F.regexp_replace("template", "-notice$", "").alias("label"), "share"))).alias("spans")))
+             .withColumns({"island": F.sum("apart").over(by_offset), "near_bits": F.bit_or("bits").over(near), "near_lo": F.min("lo").over(near), "near_hi": F.max("hi").over(near)})
+             .withColumn("peak", best == F.max(best).over(near)))
+    spans = (spans.groupBy("_key", "template", "island")
+             .agg(span(F.min("lo"), F.max("hi"), F.bit_or("bits")).alias("run"),
+                  F.collect_list(F.when(F.col("peak"), span(F.col("near_lo"), F.col("near_hi"), F.col("near_bits")))).alias("peaks"))
+             .select("_key", "template", F.explode(F.when(holds(F.col("run")), F.array("run")).otherwise(F.filter("peaks", holds))).alias("s"))
+             .select("_key", "s.start", "s.stop", F.regexp_replace("template", "-notice$", "").alias("label"), "s.share")
+             .groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "label", "share"))).alias("spans")))
     found = settle(places.join(spans, "_key", "full"), "license-spans")
     none = {n: F.array().cast(t) for n, t in dict(found.dtypes).items() if n != "_key"}
     return (d.drop("_w").join(small_enough(found, SMALL), "_key", "left").drop("_key")
