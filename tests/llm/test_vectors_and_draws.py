@@ -127,6 +127,23 @@ def test_search_without_queries_or_others(spark):
     assert [tuple(r) for r in top_products(table(spark, [*rows, (3, [1e30, -1.0, 1.0])])).collect()] == [(20, 1, 3, 32 * 2 ** 24 - 64 * 64)]
 
 
+def test_the_search_query_counts_every_row(spark, tmp_path):
+    """Rows that come twice, and rows of one id with other vectors, are candidates of each other and queries of their own."""
+    from chatloom.llm.queries import QUERIES
+
+    rows = vectors(9)
+    rows += [r for r in rows if r[0] is not None and r[0] % 3 != 1][:120] + [(20, [0.9] * 64), (40, [-0.5] * 64), (None, [0.8] * 64)]
+    table(spark, rows).repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    good = [(i, floors(x, 64)) for i, x in rows if finite(x)]
+    want = []
+    for n, (i, x) in enumerate(good):
+        if i is not None and i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), j is None, j or 0, j) for m, (j, y) in enumerate(good) if m != n)[:20]
+            want += [(i, place, j, -s) for place, (s, _, _, j) in enumerate(best, 1)]
+    got = QUERIES["op12_exact_topk"](spark, str(tmp_path)).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want))
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
