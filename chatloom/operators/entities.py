@@ -17,17 +17,17 @@ from ..session import settle, shared_dir
 from .scan import SCREENS_PER_SLICE, fold_sorted, key_ddl, null_safe_join, slice_of
 
 
-def _tokens(name: Column) -> Column:
-    """Characters of a normalised name, numbered where they repeat, so that plain set intersection counts
+def _tokens(chars: Column) -> Column:
+    """``chars``, the characters of a normalised name, numbered where they repeat, so that plain set intersection counts
     a common character as often as both names hold it."""
-    chars = characters(norm_name(name))
     return F.transform(chars, lambda c, i: F.concat(
         c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
 
 
 def _with_tokens(names: DataFrame) -> DataFrame:
     """Tokens, their number, and a map of them in two longs: a token whose bit the other name lacks is not in that name."""
-    d = names.withColumn("_tok", _tokens(F.col("name"))).withColumn("_n", F.size("_tok"))
+    # the characters are a column of their own: inside the numbering they would be cut anew for each of them
+    d = names.withColumn("_chars", characters(norm_name("name"))).withColumn("_tok", _tokens(F.col("_chars"))).drop("_chars").withColumn("_n", F.size("_tok"))
     place = lambda t: F.pmod(F.xxhash64(t), F.lit(128)).cast("int")
     bit = lambda t, half: F.when(F.floor(place(t) / 64) == half, F.call_function("shiftleft", F.lit(1).cast("long"), place(t) % 64)).otherwise(F.lit(0).cast("long"))
     held = lambda half: F.aggregate("_tok", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(bit(t, half)))
@@ -46,7 +46,7 @@ def _rarest_first(names: DataFrame, counts: DataFrame, keys: list[str]) -> DataF
     each = names.select(*keys, "name", F.explode("_tok").alias("token"))
     ranked = each.join(counts, "token").groupBy(*keys, "name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("_rare"))
-    return names.join(ranked, [*keys, "name"], "left").withColumn("_rare", F.coalesce("_rare", F.array().cast("array<string>")))
+    return names.join(ranked.hint("merge"), [*keys, "name"], "left").withColumn("_rare", F.coalesce("_rare", F.array().cast("array<string>")))
 
 
 # How two names can meet, as the first part of a blocking key.
@@ -118,7 +118,9 @@ def _digit_grams() -> Column:
 def _tokenised(sides: list[DataFrame], keys: list[str]) -> list[DataFrame]:
     """Names with their tokens, rare ones first. Stored: they are small next to what they come from and are
     read by each of the steps below."""
-    sides = [_with_tokens(d.select(*keys, "name").distinct()) for d in sides]
+    n = int(sides[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # names are small and cutting them is not: they go over all partitions first, and are cut once
+    sides = [settle(_with_tokens(d.select(*keys, "name").distinct().repartition(n, *keys, "name")), "tokens") for d in sides]
     counts = None
     for d in sides:
         t = d.select(F.explode("_tok").alias("token"))
@@ -129,7 +131,8 @@ def _tokenised(sides: list[DataFrame], keys: list[str]) -> list[DataFrame]:
 
 def _meet(l: DataFrame, r: DataFrame, keys: list[str], apart: Column, extra: list[str] = [], hubs: bool = False) -> DataFrame:
     """Distinct (name, other) that share a blocking key, fit in length and characters and satisfy ``apart``. With ``hubs`` each
-    name meets only the least name under a key: as many pairs as keys, however full a key is."""
+    name meets only the least name under a key: as many pairs as keys, however full a key is. Spark sizes a side by its files, a small part of
+    what its tokens and blocking keys are in memory, so neither here nor in ``_bounded`` is it left to choose a broadcast."""
     one = l.select(*keys, "name", "_n", "_bits0", "_bits1", *extra, F.explode(_probes("one")).alias("_p"))
     other = r.select(*keys, F.col("name").alias("other"), F.col("_n").alias("_m"), F.col("_bits0").alias("_other0"), F.col("_bits1").alias("_other1"),
                      *[F.col(c).alias(f"{c}_o") for c in extra], F.explode(_probes("other")).alias("_q"))
@@ -138,6 +141,7 @@ def _meet(l: DataFrame, r: DataFrame, keys: list[str], apart: Column, extra: lis
         least = other.groupBy(*key).agg(F.min(F.struct("other", "_m", "_other0", "_other1", F.col("_q.place").alias("place"))).alias("h"))
         other = least.select(*keys, *[F.col(f"h.{c}").alias(c) for c in ("other", "_m", "_other0", "_other1")],
                              F.struct("kind", "token", F.col("h.place").alias("place")).alias("_q"))
+    other = other.hint("merge")
     meet = [one[k] == other[k] for k in keys] + [one["_p.kind"] == other["_q.kind"], one["_p.token"] == other["_q.token"], apart, _fits()]
     return one.join(other, meet).select(*[one[k] for k in keys], "name", "other").distinct()
 
@@ -145,7 +149,7 @@ def _meet(l: DataFrame, r: DataFrame, keys: list[str], apart: Column, extra: lis
 def _bounded(met: DataFrame, l: DataFrame, r: DataFrame, keys: list[str]) -> DataFrame:
     side = lambda d, s, as_: d.select(*keys, F.col("name").alias(as_), *[
         F.col(c).alias(f"{c}_{s}") for c in ("_tok", "_n", "_num")])
-    return (met.join(side(l, "a", "name"), [*keys, "name"]).join(side(r, "b", "other"), [*keys, "other"])
+    return (met.join(side(l, "a", "name").hint("merge"), [*keys, "name"]).join(side(r, "b", "other").hint("merge"), [*keys, "other"])
             .filter(_possible()).select(*keys, "name", "other"))
 
 
@@ -271,7 +275,7 @@ def variant_groups(names: DataFrame, keys: list[str]) -> DataFrame:
     for _ in range(2):      # and on what those hang on
         up = star.select(F.col("id").alias("root"), F.col("root").alias("_up"))
         star = star.join(up, "root", "left").select("id", F.coalesce("_up", "root").alias("root"))
-    rooted = l.join(star, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = l.join(star.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rest = linked(_meet(rooted, rooted, keys, (F.col("name") < F.col("other")) & (F.col("root") != F.col("root_o")), ["root"]))
     roots = components(l.select("id"), near.unionAll(rest))
     return l.select(*keys, "name", "id").join(roots, "id").select(*keys, "name", "root")
@@ -394,6 +398,24 @@ def merge_round_names(readings: DataFrame, keys: list[str], window: int = 16, wi
     return listed.select(*keys, F.lit("name").alias("what"), "no", "name", F.lit(None).cast("int").alias("new")).unionAll(rounds)
 
 
+class _FirstVariant:
+    """The first of the names that come in order whose reading ``name``, the last key, is. Nothing behind it is compared."""
+
+    keyed = True
+
+    def __init__(self, key):
+        self.name, self.found = key[-1], False
+
+    def row(self, values):
+        if self.found or not same_reading(self.name, values[-1]):
+            return ()
+        self.found = True
+        return ((values[-1],),)
+
+    def end(self):
+        return ()
+
+
 def resolve_exact_then_variant(names: DataFrame, table: DataFrame, keys: list[str], value: list[str],
                                order: str, variants: bool = True) -> DataFrame:
     """Look ``name`` up in ``table``: the exact name first; for misses the first variant by ``order``.
@@ -404,10 +426,12 @@ def resolve_exact_then_variant(names: DataFrame, table: DataFrame, keys: list[st
     if not variants:
         return exact
     misses = names.join(hit.select(*keys, "name"), [*keys, "name"], "left_anti")
-    near = variant_pairs(misses, table, keys)
-    pick = F.min_by(F.struct(F.col("other").alias("matched"), *cols), F.struct(order, "other"))
-    found = (near.join(table.select(*keys, F.col("name").alias("other"), F.col(order), *value), [*keys, "other"])
-             .groupBy(*keys, "name").agg(pick.alias("_v")))
+    # structs, so that a row without an order comes first instead of being left out
+    pick = F.min_by(F.struct(F.col("name").alias("matched"), *cols), F.struct(order))
+    first = table.groupBy(*keys, "name").agg(F.min(F.struct(F.col(order).alias("at")))["at"].alias("_at"), pick.alias("_v"))
+    near = candidate_pairs(misses, table, keys).join(first.select(*keys, F.col("name").alias("other"), "_at").hint("merge"), [*keys, "other"])
+    found = fold_sorted(near.select(*keys, "name", "_at", "other"), [*keys, "name"], ["_at", "other"], _FirstVariant, f"{key_ddl(near, [*keys, 'name'])}, other string")
+    found = found.join(first.select(*keys, F.col("name").alias("other"), "_v").hint("merge"), [*keys, "other"]).drop("other")
     out = exact.join(found, [*keys, "name"], "left")
     for c in ["matched", *value]:
         out = out.withColumn(c, F.coalesce(c, f"_v.{c}"))

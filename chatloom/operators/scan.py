@@ -99,7 +99,7 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], make, schema:
 
     Rows arrive as sorted Arrow batches, so memory does not depend on the size of a key. ``make()`` gives a
     fold for the next key. It takes rows one by one, ``row(values) -> rows``, or the rows of a batch at
-    once, ``run(columns) -> columns``; ``end() -> rows`` closes the key. Values are the columns after the
+    once, ``run(columns) -> columns``; ``end() -> rows`` closes the key. A fold marked ``keyed`` is made with its key. Values are the columns after the
     keys. Use it on keys that hold a bounded run (a slice) or on carry tables. Whole numbers among the keys
     travel as text: beside a NULL pandas would turn them into floats.
     """
@@ -151,7 +151,7 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], make, schema:
                 if fold is None or key != current:
                     if fold is not None:
                         pieces.append(rows(current, fold.end()))
-                    fold, current = make(), key
+                    fold, current = make(key) if getattr(make, "keyed", False) else make(), key
                 here = [v[s:e] for v in values]
                 if hasattr(fold, "run"):
                     pieces.append((key, fold.run(here) or [[]]))

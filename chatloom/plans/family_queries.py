@@ -1,6 +1,6 @@
 """Name variants over families of names, where SQL can say who belongs together.
 
-Every three customers share eight characters that no other family has. The readings of a family are these eight, the first
+Every three customers share eight characters that no other family has (while code points last; see ``OWN``). The readings of a family are these eight, the first
 seven, and the eight with two more; a reading with one character exchanged stands for a bad scan. Within a family all are variants of
 each other, across families none are.
 """
@@ -15,6 +15,8 @@ from .stream_queries import _run, _stream
 from ..streaming import stateful as sf
 
 FIRST = 0x20000
+#: Families with eight code points of their own. Any two beyond share at most one character, always at the same place: far from a variant.
+OWN = (0x110000 - FIRST) // 8
 NAMES = f"""n AS (SELECT c_custkey AS pos, c_custkey // 3 AS family, c_custkey // 20 AS screen, b, CASE c_custkey % 3 WHEN 0 THEN b WHEN 1 THEN substr(b, 1, 7) ELSE b || 'xy' END AS name
 FROM (SELECT c_custkey, array_to_string(list_transform(range(8), lambda j: chr(({FIRST} + c_custkey // 3 * 8 + j)::INT)), '') AS b FROM customer))"""
 
@@ -22,7 +24,10 @@ FROM (SELECT c_custkey, array_to_string(list_transform(range(8), lambda j: chr((
 def _families(customers):
     """(pos, family, screen_idx, base, name)"""
     c = customers.select(F.col("c_custkey").alias("pos"), F.floor(F.col("c_custkey") / 3).alias("family"), F.floor(F.col("c_custkey") / 20).cast("int").alias("screen_idx"))
-    code = lambda j: F.decode(F.unhex(F.lpad(F.hex(F.col("family") * 8 + (FIRST + j)), 8, "0")), "UTF-32")
+    # code points end: later families take their characters from eight earlier ones, no two families the same one twice
+    later = F.floor(F.col("family") / OWN)
+    whose = lambda j: F.when(F.col("family") < OWN, F.col("family")).otherwise(F.pmod(F.col("family") + later * j, F.lit(OWN)))
+    code = lambda j: F.decode(F.unhex(F.lpad(F.hex((whose(j) * 8 + (FIRST + j)).cast("long")), 8, "0")), "UTF-32")
     c = c.withColumn("base", F.concat(*[code(j) for j in range(8)]))
     name = F.when(F.col("pos") % 3 == 0, F.col("base")).when(F.col("pos") % 3 == 1, F.substring("base", 1, 7)).otherwise(F.concat("base", F.lit("xy")))
     return c.withColumn("name", name).withColumn("list_id", F.lit("l"))
