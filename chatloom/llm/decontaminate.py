@@ -19,8 +19,8 @@ from chatloom.llm.grams import REMEMBERED, byte_words, sampled
 
 #: Words of a passage and from one passage to the next.
 PASSAGE, STRIDE = 32, 16
-#: Dimensions of the latent space, extra directions and power steps of the randomised SVD, documents it is fitted on at most.
-RANK, EXTRA, STEPS, SAMPLE = 192, 16, 2, 2000
+#: Dimensions of the latent space, extra directions and power steps of the randomised SVD.
+RANK, EXTRA, STEPS = 192, 16, 2
 #: Items of one search; larger benchmarks are searched in blocks of so many.
 BLOCK = 2000
 #: Least cosine in the latent space; share of an item's TF-IDF mass that a passage must hold to be looked up.
@@ -99,14 +99,33 @@ def _counts(frames, known: dict[bytes, int], most: int = 1024):
         yield np.concatenate(rows), np.concatenate(cols), n
 
 
-def _document_frequencies(docs: DataFrame, known: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def _cut(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
+    """(passages, words, n): all texts cut once, up to 1024 passages a row: 16-bit passage and 32-bit word numbers end to end."""
     def run(frames):
-        for _, cols, n in _counts(frames, known):
-            w, c = np.unique(cols, return_counts=True)
-            yield pd.DataFrame({"w": np.append(w, -1), "n": np.append(c, n)})
+        for rows, cols, n in _counts(frames, known):
+            yield pd.DataFrame({"passages": [rows.astype("<u2").tobytes()], "words": [cols.astype("<i4").tobytes()], "n": [n]})
+
+    return settle(docs.select("text").mapInPandas(run, "passages binary, words binary, n long"), "passages")
+
+
+def _read(frames):
+    """The arrays that ``_cut`` has written."""
+    for f in frames:
+        for p, w, n in zip(f["passages"], f["words"], f["n"]):
+            yield np.frombuffer(p, "<u2").astype(np.int64), np.frombuffer(w, "<i4").astype(np.int64), int(n)
+
 
-    rows = docs.mapInPandas(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(len(known)), 0
+def _document_frequencies(cut: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    def run(frames):
+        df, total = np.zeros(size, np.int64), 0
+        for _, cols, n in _read(frames):
+            df += np.bincount(cols, minlength=size)
+            total += n
+        w = np.flatnonzero(df)
+        yield pd.DataFrame({"w": np.append(w, -1), "n": np.append(df[w], total)})
+
+    rows = cut.mapInPandas(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    df, total = np.zeros(size), 0
     for r in rows:
         if r["w"] < 0:
             total = r["n"]
@@ -115,11 +134,11 @@ def _document_frequencies(docs: DataFrame, known: dict[bytes, int]) -> tuple[np.
     return df, total
 
 
-def _gram_product(sample: DataFrame, known: dict[bytes, int], idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
+def _gram_product(cut: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """AᵀA·omega for the passages' TF-IDF matrix A: each task multiplies its rows, Spark adds up the sums by word."""
     def run(frames):
         total = np.zeros_like(omega)
-        for rows, cols, n in _counts(frames, known):
+        for rows, cols, n in _read(frames):
             weights = idf[cols]
             length = np.sqrt(np.bincount(rows, weights ** 2, n)) + 1e-12
             if not len(rows):
@@ -142,25 +161,28 @@ def _gram_product(sample: DataFrame, known: dict[bytes, int], idf: np.ndarray, o
         return pd.DataFrame({"w": w[order][edge], "v": [x.tobytes() for x in sums]})
 
     width, out = omega.shape[1], np.zeros_like(omega)
-    # a dozen tasks are enough for the sample, and each yields a row of sums for every word
-    summed = sample.coalesce(12).mapInPandas(run, "w long, v binary").groupBy(F.pmod("w", F.lit(16))).applyInPandas(add, "w long, v binary")
+    # a task yields a row of sums for every word, a group adds up those of a few words
+    summed = cut.mapInPandas(run, "w long, v binary").groupBy(F.pmod("w", F.lit(256))).applyInPandas(add, "w long, v binary")
     for r in summed.collect():
         out[r["w"]] = np.frombuffer(r["v"])
     return out
 
 
-def fit_space(docs: DataFrame, items: list[tuple[int, str]], sample: int = SAMPLE, rank: int = RANK, seed: int = 5) -> Space:
-    """Latent space of the items of one block, fitted on the passages of at most ``sample`` texts (least hash) and the items.
-    Document frequencies are those of all texts.
+def fit_space(docs: DataFrame, items: list[tuple[int, str]], sample: int | None = None, rank: int = RANK, seed: int = 5) -> Space:
+    """Latent space of the items of one block, fitted on the passages of all texts and the items. The texts are cut once; document
+    frequencies and each power step read what was cut. ``sample`` bounds the fit to so many texts (least hash); by default none is left out.
 
     The vocabulary is that of the items: other words add nothing to a dot product. So everything that reaches the driver has
     at most BLOCK items' words times rank + EXTRA numbers."""
     ids, words = item_words(items)
     known = {w: n for n, w in enumerate(sorted({x for w in words for x in w}))}
     numbered = [np.array([known[x] for x in w]) for w in words]
-    picked = settle(sampled(docs, sample), "svd-sample")
-    df, total = _document_frequencies(docs.select("text"), known)
-    n_picked = _document_frequencies(picked, known)[1]
+    cut = _cut(docs, known)
+    df, total = _document_frequencies(cut, len(known))
+    fitted, n_fitted = cut, total
+    if sample is not None:
+        fitted = _cut(sampled(docs, sample), known)
+        n_fitted = _document_frequencies(fitted, len(known))[1]
     idf = np.log((1.0 + total) / (1.0 + df)) + 0.05
     own = np.zeros((len(ids), len(known)))
     for i, v in enumerate(numbered):
@@ -170,7 +192,7 @@ def fit_space(docs: DataFrame, items: list[tuple[int, str]], sample: int = SAMPL
     width = min(len(known), rank + EXTRA)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(known), width)))[0]
     for _ in range(STEPS):
-        q = np.linalg.qr(own.T @ (own @ q) + _gram_product(picked, known, idf, q) / max(n_picked, 1))[0]
+        q = np.linalg.qr(own.T @ (own @ q) + _gram_product(fitted, idf, q) / max(n_fitted, 1))[0]
     # within the found range, the directions that carry the items best
     _, _, vt = np.linalg.svd(own @ q, full_matrices=False)
     directions = (q @ vt.T[:, :rank]).astype(np.float32)

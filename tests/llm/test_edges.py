@@ -137,3 +137,21 @@ def test_an_id_counts_once_in_toxicity(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     score = lambda rs: {r["doc_id"]: round(r["score"], 9) for r in toxicity(spark.createDataFrame(rs, "doc_id long, text string"), labels).collect()}
     assert score(rows) == score(rows + [rows[1]] * 300)
+
+
+def test_the_latent_space_is_fitted_on_all_texts(spark, monkeypatch):
+    """More texts than the fit once took: every passage is in the sums of each power step."""
+    import numpy as np
+
+    from chatloom.llm import decontaminate as dc
+
+    docs = spark.createDataFrame([(i, "alpha beta gamma" if i % 2 else "delta epsilon") for i in range(2500)] + [(9999, None)], "doc_id long, text string")
+    known = {w: n for n, w in enumerate([b"alpha", b"beta", b"delta", b"epsilon", b"gamma"])}
+    sums, real = [], dc._gram_product
+    monkeypatch.setattr(dc, "_gram_product", lambda cut, idf, q: sums.append((cut.agg({"n": "sum"}).first()[0], real(cut, idf, q), idf, q)) or sums[-1][1])
+    dc.fit_space(docs, [(1, "alpha beta gamma delta epsilon")])
+    assert [n for n, *_ in sums] == [2500] * dc.STEPS
+    _, got, idf, q = sums[0]
+    a = np.array([[1, 1, 0, 0, 1]] * 1250 + [[0, 0, 1, 1, 0]] * 1250) * idf
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    assert np.allclose(got, a.T @ (a @ q)) and set(known) == {b"alpha", b"beta", b"gamma", b"delta", b"epsilon"}
