@@ -7,7 +7,7 @@ sets agree on some segment. Only candidates that agree on one are compared, exac
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatloom.functions.memo import remembered
 from chatloom.llm.common import settle, small_enough
 from chatloom.llm.grams import REMEMBERED, WordHashes, among, byte_words, frequent_grams, mixed, rolling
 from chatloom.operators.entities import components
@@ -47,14 +48,14 @@ def set_key(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-@lru_cache(None)
+@remembered
 def band(no: int) -> tuple[int, int]:
     """Range of set sizes, counted from the least size of the larger of two different sets that link."""
     lo = band(no - 1)[1] + 1 if no else 4
     return lo, max(lo, int(lo * GROWTH))
 
 
-@lru_cache(4096)
+@partial(remembered, most=4096)
 def bands(n: int) -> list[tuple[int, int, int]]:
     """(number, least, most) of the bands that a set of ``n`` has a part in: its own and those of larger partners."""
     out, no = [], 0
@@ -65,12 +66,12 @@ def bands(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-@lru_cache(None)
+@remembered
 def segment_salts(no: int, m: int) -> np.ndarray:
     return mixed(np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(no))
 
 
-@lru_cache(None)
+@remembered
 def allocation(lo: int, hi: int) -> tuple[int, bool]:
     """(segments, whether one-deletion neighbourhoods are used) of a band, whichever costs less.
 

@@ -421,11 +421,12 @@ def resolve_exact_then_variant(names: DataFrame, table: DataFrame, keys: list[st
     """Look ``name`` up in ``table``: the exact name first; for misses the first variant by ``order``.
     ``matched`` is the name that was hit. Only misses enter the variant join."""
     cols = [F.col(c).alias(c) for c in value]
-    hit = table.select(*keys, "name", F.col("name").alias("matched"), *cols)
+    # sized by its files a table looks small enough for a broadcast long after it is not
+    hit = table.select(*keys, "name", F.col("name").alias("matched"), *cols).hint("merge")
     exact = names.join(hit, [*keys, "name"], "left")
     if not variants:
         return exact
-    misses = names.join(hit.select(*keys, "name"), [*keys, "name"], "left_anti")
+    misses = names.join(table.select(*keys, "name").hint("merge"), [*keys, "name"], "left_anti")
     # structs, so that a row without an order comes first instead of being left out
     pick = F.min_by(F.struct(F.col("name").alias("matched"), *cols), F.struct(order))
     first = table.groupBy(*keys, "name").agg(F.min(F.struct(F.col(order).alias("at")))["at"].alias("_at"), pick.alias("_v"))
