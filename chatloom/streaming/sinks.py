@@ -77,7 +77,8 @@ def upsert_ledger(results: DataFrame, path: str, checkpoint: str, timeout: int |
         if touched:
             known = read_ledger(spark, path).filter(F.col("bucket").isin(touched))
             new = settle(new_ledger_rows(rows, known), "new-rows")      # read in full before the folder changes
-            (new.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("bucket", bucket)
+            # a folder's rows come from one task, or a few where it is large: else every task writes a file to every folder
+            (new.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("bucket", bucket).hint("rebalance", "bucket")
              .write.mode("append").partitionBy("bucket").parquet(path))
 
     q = (results.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

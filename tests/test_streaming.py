@@ -132,3 +132,33 @@ def test_ledger_is_the_same_for_any_batches(spark, tmp_path, size):
         ss.upsert_ledger(stream, led, str(tmp_path / f"state{run}"), 300, buckets=5)
     got = [tuple(r) for r in ss.read_ledger(spark, led).select("name", "status", "messages", "error", "at").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_ledger_folder_gets_one_file_a_batch(spark, tmp_path):
+    schema = "name string, messages long, error string, at timestamp_ntz"
+    src, led = str(tmp_path / "in"), tmp_path / "led"
+    rows = [(f"n{i}", i, None, datetime(2026, 1, 1) + timedelta(seconds=i)) for i in range(4000)]
+    spark.createDataFrame(rows, schema).repartition(6).write.parquet(src)
+    with_rules = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in with_rules}
+    try:
+        for k, value in with_rules.items():
+            spark.conf.set(k, value)
+        ss.upsert_ledger(spark.readStream.schema(schema).parquet(src), str(led), str(tmp_path / "state"), 300, buckets=3)
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert ss.read_ledger(spark, str(led)).count() == 4000
+    assert [len(list(led.glob(f"bucket={b}/*.parquet"))) for b in range(3)] == [1, 1, 1]
+
+
+def test_batches_are_dealt_into_files_that_are_never_empty(spark, tmp_path):
+    """Few rows, many tasks: each part still has the number of files that makes it one batch."""
+    from chatloom.plans.stream_queries import batch_files
+    rows = spark.range(0, 200, 1, 6)
+    files = batch_files(rows, [150, 50])
+    for no, (lo, hi) in enumerate([(0, 150), (150, 200)]):
+        part = rows.filter((F.col("id") >= lo) & (F.col("id") < hi))
+        part.unionAll(part.filter("id % 3 = 0")).repartition(files).write.parquet(str(tmp_path / f"{no}"))
+        assert len(list((tmp_path / f"{no}").glob("*.parquet"))) == files
+    assert files == 4 and batch_files(rows, [150, 3]) == 1 and batch_files(rows, [10**6]) == 8 and batch_files(rows, []) == 8
