@@ -120,6 +120,33 @@ def test_chats_with_like_names_get_their_own_folders(spark, tmp_path):
     assert len(texts) == 2 and all(("群 A" in t) != ("群/A" in t) for t in texts)
 
 
+def test_transcripts_are_what_the_text_writer_writes(spark, tmp_path):
+    """Many chats, one of them large, names and texts with odd characters, and none: the same lines in the same folders, without a checksum file each."""
+    rows = [(c, i, "text", t, datetime(2026, 1, 1 + i % 3, 0, i % 60), "", "left", "") for c in ["群/一", "a b", "a/b", None, "x" * 90, *map(str, range(40))]
+            for i, t in enumerate(["早", "", None, "tab\tand\r", "emoji 😀"])]
+    rows += [("large", i, "text", f"l{i}", datetime(2026, 1, 1, 0, i % 60), "", "left", "") for i in range(3000)]
+    m = spark.createDataFrame(rows, "chat string, seq int, kind string, text string, ts timestamp_ntz, speaker string, side string, time_label string")
+    new, old = tmp_path / "new", tmp_path / "old"
+    sk.write_transcript(m, str(new), files=6)
+    old.mkdir()
+    sk.write_transcript(m, f"file:{old}", files=6, mode="append")  # a folder that is there is left to Spark
+    read = lambda at: {d.name: b"".join(f.read_bytes() for f in sorted(d.glob("part-*"))) for d in at.glob("chat=*")}
+    assert read(new) == read(old) and len(read(new)) == 46
+    assert len(list(new.glob("chat=large-*/part-*"))) > 1 and not list(new.rglob(".*.crc"))
+    assert sorted(p.name for p in new.iterdir() if not p.name.startswith("chat=")) == ["_SUCCESS"]
+    assert spark.read.text(str(new)).count() == spark.read.text(str(old)).count()
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sk.write_transcript(m, str(new))
+
+
+def test_a_transcript_that_fails_leaves_nothing(spark, tmp_path):
+    m = spark.createDataFrame([("a", 1, "text", "t", datetime(2026, 1, 1), "", "left", "")],
+                              "chat string, seq int, kind string, text string, ts timestamp_ntz, speaker string, side string, time_label string")
+    with pytest.raises(Exception, match="broken"):
+        sk.write_transcript(m.withColumn("text", F.raise_error(F.lit("broken"))), str(tmp_path / "t"))
+    assert not (tmp_path / "t").exists()
+
+
 def test_whole_errors_by_default(spark):
     r = spark.createDataFrame([("b", 7, "x" * 300, datetime(2026, 1, 1))], "name string, messages int, error string, at timestamp_ntz")
     assert len(sk.ledger_rows(r).first().error) == 300
