@@ -30,6 +30,8 @@ GROWTH = 1.5
 PARITY = 16
 #: Rounds in which the members of a segment meet one of them; after these all that are still apart meet.
 STAR_ROUNDS = 2
+#: Times that groups of one hub are taken together before that.
+MERGES = 2
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -284,11 +286,22 @@ def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, width: int) -
     return settle(joined.filter(_linked("tu", "tv")).select("u", "v"), "links")
 
 
+def as_one(groups: DataFrame, salt: int) -> DataFrame:
+    """``groups`` (gid, s, root) with those of one hub, the member with the least hash, as one group, where together they have no more pairs
+    than one by one. Similar sets share dozens of segments: they meet once instead of in each. No pair that shares a group is lost."""
+    hubs = settle(groups.groupBy("gid").agg(F.min_by("s", F.xxhash64("s", F.lit(salt))).alias("hub"), F.count("*").cast("double").alias("n")), "hubs")
+    together = groups.join(hubs, "gid").select("hub", "s").distinct().groupBy("hub").agg(F.count("*").cast("double").alias("all"))
+    apart = hubs.groupBy("hub").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    pays = together.join(apart, "hub").filter("all * all <= pairs").select("hub", F.col("hub").alias("one"))
+    named = hubs.join(pays, "hub", "left").select("gid", F.coalesce("one", "gid").alias("one"))
+    return settle(groups.join(named, "gid").select(F.col("one").alias("gid"), "s", "root").distinct(), "together")
+
+
 def link_components(groups: DataFrame, known: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(s, root): components of the links among sets that share a group.
 
     A group's members first meet one of them, then another one. Whoever is linked by then is settled; members of a group
-    that are still apart meet one another, so that no link between components is missed."""
+    that are still apart meet one another, so that no link between components is missed. Before that, groups of much the same members become one."""
     spark = groups.sparkSession
     nodes = settle(groups.select(F.col("s").alias("id")).distinct(), "nodes")
     root = nodes.select("id", F.col("id").alias("root"))
@@ -302,7 +315,9 @@ def link_components(groups: DataFrame, known: DataFrame, docs: DataFrame, width:
         if turn < STAR_ROUNDS:
             pairs = left.filter("root <> hub_root").select(F.least("s", "hub").alias("u"), F.greatest("s", "hub").alias("v"))
         else:
-            sized = left.select("gid", "s", "root").join(known.select("s", "n", "odd"), "s")
+            for salt in range(1, 1 + MERGES):
+                left = as_one(left.select("gid", "s", "root"), -salt)
+            sized = left.join(known.select("s", "n", "odd"), "s")
             a = sized.select("gid", F.col("s").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("odd").alias("pu"))
             b = sized.select("gid", F.col("s").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("odd").alias("pv"))
             pairs = a.join(b, "gid").filter(F.expr("ru < rv") & _may_link("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
