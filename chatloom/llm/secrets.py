@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,8 +37,11 @@ REACH = 400
 SIGNS, RUN = ["pass", "pwd", "secret", "token", "api_key", "apikey", "private", "akia"], r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32}"
 #: Texts with findings up to which these are broadcast to the texts.
 SMALL = 200_000
+#: Texts that a worker holds as Python strings at once.
+BLOCK = 500
 
 PARTS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("stop", "integer").add("scope", "integer"))
+PARTS_ARROW = [pa.string(), pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("scope", pa.int32())]))]
 
 
 def find_parts(text: str) -> list[tuple]:
@@ -66,9 +70,14 @@ def find_parts(text: str) -> list[tuple]:
     return out
 
 
-@F.pandas_udf(PARTS)
-def _parts(texts: pd.Series) -> pd.Series:
-    return texts.map(find_parts)
+def _parts(batches):
+    """(_key, p) of the texts that have parts, a few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK):
+            keys, texts = (c.to_pylist() for c in b.slice(at, BLOCK).columns)
+            rows = [(k, [dict(zip(PARTS.elementType.names, x)) for x in p]) for k, p in zip(keys, map(find_parts, texts)) if p]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), PARTS_ARROW)], ["_key", "p"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -84,7 +93,8 @@ def scan(docs: DataFrame) -> DataFrame:
     signs = F.col("row.text").rlike(RUN)
     for x in SIGNS:
         signs = signs | F.lower("row.text").contains(x)
-    found = (d.filter(signs).select("_key", F.col("row.text").alias("_text")).select("_key", _parts("_text").alias("p")).filter(F.size("p") > 0)
+    # a UDF whose result is filtered would run twice on each text, in two workers a task: the filter is inside
+    found = (d.filter(signs).select("_key", F.col("row.text").alias("_text")).mapInArrow(_parts, T.StructType().add("_key", "string").add("p", PARTS))
              .groupBy("_key").agg(F.first("p").alias("p"))
              .select("_key", F.explode("p").alias("p")).select("_key", "p.*")
              .withColumn("role", _of(ROLE)).withColumn("bin", F.floor(F.col("start") / REACH))

@@ -48,3 +48,21 @@ def test_members_of_many_segments_meet_about_once(spark, monkeypatch):
     got = jaccard.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {(x["doc_id"], x["component_id"]) for x in got} == {(i, i) for i in range(40)}
     assert len(cost) == jaccard.MERGES and cost[-1][1] * 5 <= cost[0][0], cost
+
+
+def test_a_text_is_searched_for_secrets_once(spark, monkeypatch):
+    from chatloom.llm import secrets
+
+    plans, settle = [], secrets.settle
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, label)
+
+    monkeypatch.setattr(secrets, "settle", seen)
+    rows = [(1, "password = abcd1234efgh"), (1, "password = abcd1234efgh"), (2, "nothing"), (3, None), (None, "é token: 0123456789abcdef\n\nuser = bob")]
+    got = secrets.secret_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x["doc_id"]), x["n_assign"], x["spans"]) for x in got) == [
+        ("1", 1, "assign:0:23"), ("1", 1, "assign:0:23"), ("2", 0, ""), ("3", 0, ""), ("None", 1, "assign:2:25")]
+    # one pass of Python on each branch that reads the texts
+    assert plans[0].count("ArrowEvalPython") + plans[0].count("MapInArrow") == plans[0].count("Scan ExistingRDD")
