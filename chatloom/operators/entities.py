@@ -3,6 +3,9 @@
 Pairs are never formed across whole lists. Every way two names can be variants forces them to share a
 rare token, so names meet by equality on tokens, are checked against native bounds, and only then reach
 the sequence ratio. ``keys`` (the list or account a name belongs to) keep lists apart.
+
+Where a list is made of few characters its keys are crowded, and a pair would come out of the join once for each of them. The names
+under such keys are compared block by block instead (``functions.grid``), and their pairs are made where they are needed.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.grid import Block, Shelf, Tokens, linked, possible
 from ..functions.similarity import either_way, name_variant, same_reading, variant_of_any
 from ..functions.text import characters, norm_name
 from ..session import settle, shared_dir
@@ -44,9 +48,10 @@ def _rarest_first(names: DataFrame, counts: DataFrame, keys: list[str]) -> DataF
     """Tokens of each name in one global order, rare ones first. The table of counts has a row per
     distinct character and repeat, not per name."""
     each = names.select(*keys, "name", F.explode("_tok").alias("token"))
-    ranked = each.join(counts, "token").groupBy(*keys, "name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("_rare"))
-    return names.join(ranked.hint("merge"), [*keys, "name"], "left").withColumn("_rare", F.coalesce("_rare", F.array().cast("array<string>")))
+    ranked = each.join(counts, "token").groupBy(*keys, "name").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_r"))
+    part = lambda c, of: F.coalesce(F.transform("_r", lambda x: x[c]), F.array().cast(f"array<{of}>"))
+    return (names.join(ranked.hint("merge"), [*keys, "name"], "left").withColumns({"_rare": part("token", "string"), "_often": part("df", "bigint")})
+            .drop("_r"))
 
 
 # How two names can meet, as the first part of a blocking key.
@@ -126,15 +131,119 @@ def _tokenised(sides: list[DataFrame], keys: list[str]) -> list[DataFrame]:
         t = d.select(F.explode("_tok").alias("token"))
         counts = t if counts is None else counts.unionAll(t)
     counts = counts.groupBy("token").agg(F.count("*").alias("df"))
-    return [settle(_rarest_first(d, counts, keys).withColumn("_num", _digit_grams()), "names") for d in sides]
+    return _crowded([settle(_rarest_first(d, counts, keys).withColumn("_num", _digit_grams()), "names") for d in sides], keys)
+
+
+# From how many members on its smaller side a key is crowded; how many comparisons in blocks take the time of one inside the join;
+# names in a block.
+CROWDED, PER_MEETING, BLOCK = 64, 8, 2048
+
+
+def _by_list(names: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Names with what a table has on their list; without keys all are one list."""
+    return names.join(other.hint("merge"), keys, how) if keys else names.crossJoin(other)
+
+
+def _crowded(sides: list[DataFrame], keys: list[str]) -> list[DataFrame]:
+    """Names with ``_dense``, whether they are compared block by block, and ``_sparse``, whether they meet others by blocking keys. Two
+    names that are both dense meet in blocks only. All names of a list are dense where that costs less than its crowded keys, else those
+    under a crowded key, else none."""
+    l, r = sides[0], sides[-1]
+
+    def probes(d: DataFrame, role: str) -> DataFrame:
+        # only a token that is frequent at all can be crowded; numbers are not counted by token
+        p = F.filter(_probes(role), lambda p: (p["kind"] == NUMBER) | (F.get("_often", p["place"]) >= CROWDED))
+        return d.select(*keys, "name", F.explode(p).alias("_p")).select(*keys, "name", "_p.kind", "_p.token")
+
+    members = lambda d, role, *n: probes(d, role).select(*keys, "kind", "token", *[F.lit(x).cast("double").alias(c) for x, c in zip(n, ("s", "t"))])
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    full = settle(members(l, "one", 1, 0).unionAll(members(r, "other", 0, 1)).filter(known).groupBy(*keys, "kind", "token")
+                  .agg(F.sum("s").alias("s"), F.sum("t").alias("t")).filter(F.least("s", "t") >= CROWDED), "crowded")
+    if full.isEmpty():
+        return [d.withColumns({"_dense": F.lit(False), "_sparse": F.lit(True)}) for d in sides]
+    sizes = lambda d, as_: d.groupBy(*keys).agg(F.count("*").cast("double").alias(as_))
+    lists = _by_list(_by_list(full.groupBy(*keys).agg(F.sum(F.col("s") * F.col("t") * PER_MEETING).alias("_met")), sizes(l, "_l"), keys), sizes(r, "_r"), keys)
+    lists = settle(lists.select(*keys, "_met", (F.col("_l") * F.col("_r") <= F.col("_met")).alias("_whole")), "lists")
+    some = _by_list(full, lists.filter("NOT _whole"), keys).select(*keys, "kind", "token", "_met")
+    under = [settle(probes(d, role).join(some.hint("merge"), [*keys, "kind", "token"]).groupBy(*keys, "name").agg(F.first("_met").alias("_met")), "under-crowded")
+             for d, role in ((l, "one"), (r, "other"))]
+    both = lambda d, as_: d.groupBy(*keys).agg(F.count("*").cast("double").alias(as_), F.first("_met").alias("_met"))
+    worth = _by_list(both(under[0], "_l"), both(under[1], "_r").drop("_met"), keys).filter("_l * _r <= _met").select(*keys, F.lit(True).alias("_worth"))
+
+    def flagged(d: DataFrame, own: list[DataFrame]) -> DataFrame:
+        for no, u in enumerate(own):
+            part = _by_list(u.select(*keys, "name"), worth, keys).withColumnRenamed("_worth", f"_part{no}")
+            d = d.join(part.hint("merge"), [*keys, "name"], "left")
+        d = _by_list(d, lists.select(*keys, "_whole"), keys, "left")
+        whole = F.coalesce("_whole", F.lit(False))
+        dense = whole
+        for no in range(len(own)):
+            dense = dense | F.coalesce(f"_part{no}", F.lit(False))
+        return settle(d.withColumns({"_dense": dense, "_sparse": ~whole}).drop("_whole", *[f"_part{no}" for no in range(len(own))]), "flagged")
+
+    if len(sides) == 1:      # a name may be crowded in either role
+        return [flagged(l, under)]
+    return [flagged(l, under[:1]), flagged(r, under[1:])]
+
+
+def _in_blocks(d: DataFrame, keys: list[str], as_: str, width: int = BLOCK) -> DataFrame:
+    """Dense names with the block ``_b`` they are in, of ``as_`` blocks of about ``width`` on their list."""
+    d = d.filter("_dense")
+    d = _by_list(d, d.groupBy(*keys).agg(F.ceil(F.count("*") / width).cast("int").alias(as_)), keys)
+    return d.withColumn("_b", F.pmod(F.xxhash64("name", F.lit(as_)), F.col(as_)).cast("int"))
+
+
+def _block_pairs(l: DataFrame, r: DataFrame | None, keys: list[str], more: list[str] = []) -> DataFrame:
+    """Names once for each pair of blocks (``_i``, ``_j``) that theirs is in; ``_side`` says in which place. Within one table each pair of blocks comes
+    once, and one of a block with itself has it in the first place only. A pair of blocks is small and costs much: the number of partitions is fixed."""
+    n = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias("_o")
+    a = _in_blocks(l, keys, "_blocks")
+    if r is None:
+        rows = a.select(*keys, "name", *more, "_b", each("_blocks")).select(
+            *keys, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") > F.col("_o")).alias("_side"), "name", *more)
+    else:
+        b = _in_blocks(r, keys, "_others")
+        of = lambda d, as_: d.select(*keys, as_).distinct()
+        rows = _by_list(a, of(b, "_others"), keys).select(*keys, "_b", "name", *more, each("_others")).select(*keys, F.col("_b").alias("_i"), F.col("_o").alias("_j"), F.lit(False).alias("_side"), "name", *more)
+        rows = rows.unionAll(_by_list(b, of(a, "_blocks"), keys).select(*keys, "_b", "name", *more, each("_blocks")).select(
+            *keys, F.col("_o").alias("_i"), F.col("_b").alias("_j"), F.lit(True).alias("_side"), "name", *more))
+    return rows.repartition(n, *keys, "_i", "_j")
+
+
+def _pairs_in_blocks(l: DataFrame, r: DataFrame | None, keys: list[str], test) -> DataFrame:
+    """(name, other) pairs of dense names that pass ``test(first names, second names)``, a list of truths. They are formed and tested inside
+    a task, each once, and never shuffled. Within one table they come both ways round."""
+    within = r is None
+
+    def run(pdf):
+        import pandas as pd
+
+        at, tokens, out = [pdf[k].iloc[0] for k in keys], Tokens(), ([], [])
+        first = Block(pdf["name"][~pdf["_side"]].tolist(), tokens)
+        itself = within and pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+        second = first if itself else Block(pdf["name"][pdf["_side"]].tolist(), tokens)
+        for i, j in possible(first, second, later=itself):
+            xs, ys = [first.names[a] for a in i.tolist()], [second.names[b] for b in j.tolist()]
+            for one, other in ((xs, ys), (ys, xs)) if within else ((xs, ys),):
+                for x, y, hit in zip(one, other, test(one, other)):
+                    if hit and x != y:
+                        out[0].append(x)
+                        out[1].append(y)
+        return pd.DataFrame({**{k: [v] * len(out[0]) for k, v in zip(keys, at)}, "name": out[0], "other": out[1]})
+
+    schema = ", ".join([*([key_ddl(l, keys)] if keys else []), "name string", "other string"])
+    return _block_pairs(l, r, keys).groupBy(*keys, "_i", "_j").applyInPandas(run, schema)
 
 
 def _meet(l: DataFrame, r: DataFrame, keys: list[str], apart: Column, extra: list[str] = [], hubs: bool = False) -> DataFrame:
     """Distinct (name, other) that share a blocking key, fit in length and characters and satisfy ``apart``. With ``hubs`` each
     name meets only the least name under a key: as many pairs as keys, however full a key is. Spark sizes a side by its files, a small part of
     what its tokens and blocking keys are in memory, so neither here nor in ``_bounded`` is it left to choose a broadcast."""
-    one = l.select(*keys, "name", "_n", "_bits0", "_bits1", *extra, F.explode(_probes("one")).alias("_p"))
-    other = r.select(*keys, F.col("name").alias("other"), F.col("_n").alias("_m"), F.col("_bits0").alias("_other0"), F.col("_bits1").alias("_other1"),
+    one = l.filter("_sparse").select(*keys, "name", "_n", "_bits0", "_bits1", *extra, F.explode(_probes("one")).alias("_p"))
+    other = r.filter("_sparse").select(*keys, F.col("name").alias("other"), F.col("_n").alias("_m"), F.col("_bits0").alias("_other0"), F.col("_bits1").alias("_other1"),
                      *[F.col(c).alias(f"{c}_o") for c in extra], F.explode(_probes("other")).alias("_q"))
     if hubs:
         key = [*keys, F.col("_q.kind").alias("kind"), F.col("_q.token").alias("token")]
@@ -162,12 +271,24 @@ def _spread(pairs: DataFrame) -> DataFrame:
 def candidate_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[str] = []) -> DataFrame:
     """Every (left, right) pair of distinct names that can be variants, as ``name`` and ``other``; within
     ``left`` if ``right`` is not given. Loses none; ``tests/test_entities.py`` checks it against all pairs."""
+    l, r, crowded = _sides(left, right, keys)
+    near = _sparse_pairs(l, r, keys)
+    return near.unionByName(_pairs_in_blocks(l, r, keys, lambda xs, ys: [True] * len(xs))) if crowded else near
+
+
+def _sides(left: DataFrame, right: DataFrame | None, keys: list[str]) -> tuple[DataFrame, DataFrame | None, bool]:
+    """Both sides with their tokens, the second None within one table, and whether any names are dense."""
     sides = _tokenised([left] if right is None else [left, right], keys)
-    l, r = sides[0], sides[-1]
-    if right is not None:
-        return _bounded(_meet(l, r, keys, F.col("name") != F.col("other")), l, r, keys)
+    return sides[0], sides[1] if len(sides) > 1 else None, not sides[0].filter("_dense").isEmpty()
+
+
+def _sparse_pairs(l: DataFrame, r: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Candidate pairs whose names are not both dense."""
+    apart = ~(F.col("_dense") & F.col("_dense_o"))
+    if r is not None:
+        return _bounded(_meet(l, r, keys, (F.col("name") != F.col("other")) & apart, ["_dense"]), l, r, keys)
     # bounds are symmetric: within one table each pair is formed once and turned round at the end
-    near = _bounded(_meet(l, l, keys, F.col("name") < F.col("other")), l, l, keys)
+    near = _bounded(_meet(l, l, keys, (F.col("name") < F.col("other")) & apart, ["_dense"]), l, l, keys)
     turn = F.array(F.struct("name", "other"), F.struct(F.col("other").alias("name"), F.col("name").alias("other")))
     return near.select(*keys, F.explode(turn).alias("_t")).select(*keys, "_t.name", "_t.other")
 
@@ -219,21 +340,35 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFr
 
 
 class _Cluster:
-    """Joins each name to the first cluster whose current longest reading it resembles."""
+    """Joins each name to the first cluster whose current longest reading it resembles. Many clusters are searched through a shelf."""
+
+    FEW = 64
 
     def __init__(self):
-        self.kept = []
+        self.kept, self.shelf = [], None
 
     def row(self, values):
         pos, name = values
-        for c in self.kept:
+        if self.shelf is None and len(self.kept) > self.FEW:
+            self.shelf = Shelf()
+            for i, (_, n) in enumerate(self.kept):
+                self.shelf.put(i, n)
+        places = range(len(self.kept)) if self.shelf is None else self.shelf.near(name)
+        for i in places:
+            c = self.kept[i]
             if name == c[1] or same_reading(name, c[1]):
                 if len(name) > len(c[1]):
+                    self._put(i, name)
                     c[1] = name
                 return ()
+        self._put(len(self.kept), name)
         self.kept.append([pos, name])
         return ()
 
+    def _put(self, i, name):
+        if self.shelf is not None:
+            self.shelf.put(i, name)
+
     def end(self):
         return [(p, n) for p, n in self.kept]
 
@@ -258,17 +393,21 @@ def variant_groups(names: DataFrame, keys: list[str]) -> DataFrame:
 
     Two passes keep a large family of similar names from being scored pair by pair. First every name is
     scored against one hub per blocking key and hangs on the least name it is linked with, which joins most of a family. Then only
-    pairs that hang on different names are formed. The links of both passes are closed together.
+    pairs that hang on different names are formed. The links of both passes are closed together. Dense names are linked block by block, where
+    names that hang together already are not compared.
     """
     (l,) = _tokenised([names], keys)
     l = l.withColumn("id", F.xxhash64(*keys, "name"))
+    crowded = not l.filter("_dense").isEmpty()
     ids = lambda c: F.xxhash64(*keys, F.col(c))
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def by_keys(pairs: DataFrame) -> DataFrame:
         scored = _spread(_bounded(pairs, l, l, keys)).filter(either_way("name", "other"))
         return settle(scored.select(ids("name").alias("u"), ids("other").alias("v")), "links")
 
-    near = linked(_meet(l, l, keys, F.col("name") != F.col("other"), hubs=True))
+    near = by_keys(_meet(l, l, keys, F.col("name") != F.col("other"), hubs=True))
+    if crowded:
+        near = near.unionAll(_block_links(l, keys))
     # a star: each name on the least id it is linked with, if that is below its own
     star = near.unionAll(near.select("v", "u")).groupBy("u").agg(F.min("v").alias("v"))
     star = settle(star.select(F.col("u").alias("id"), F.least("u", "v").alias("root")), "stars")
@@ -276,11 +415,37 @@ def variant_groups(names: DataFrame, keys: list[str]) -> DataFrame:
         up = star.select(F.col("id").alias("root"), F.col("root").alias("_up"))
         star = star.join(up, "root", "left").select("id", F.coalesce("_up", "root").alias("root"))
     rooted = l.join(star.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rest = linked(_meet(rooted, rooted, keys, (F.col("name") < F.col("other")) & (F.col("root") != F.col("root_o")), ["root"]))
+    apart = (F.col("name") < F.col("other")) & (F.col("root") != F.col("root_o")) & ~(F.col("_dense") & F.col("_dense_o"))
+    rest = by_keys(_meet(rooted, rooted, keys, apart, ["root", "_dense"]))
     roots = components(l.select("id"), near.unionAll(rest))
     return l.select(*keys, "name", "id").join(roots, "id").select(*keys, "name", "root")
 
 
+def _block_links(l: DataFrame, keys: list[str]) -> DataFrame:
+    """Links (u, v) that connect dense names as their variants do: first inside each block, then between what is one in two blocks, so
+    that a pair of blocks leaves at most as many links as both have families."""
+    n, either = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions")), lambda x, y: same_reading(x, y) or same_reading(y, x)
+
+    def inside(pdf):
+        labels = pdf["id"].to_numpy(copy=True)
+        linked(Block(pdf["name"].tolist(), Tokens()), None, labels, either)
+        return pdf.drop(columns="_b").assign(root=labels)
+
+    def between(pdf):
+        import numpy as np
+        import pandas as pd
+
+        tokens, one, other = Tokens(), pdf[~pdf["_side"]], pdf[pdf["_side"]]
+        labels = np.concatenate([one["root"].to_numpy(), other["root"].to_numpy()])
+        found = linked(Block(one["name"].tolist(), tokens), Block(other["name"].tolist(), tokens), labels, either)
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    cut = _in_blocks(l.select(*keys, "name", "id", "_dense"), keys, "_blocks").select(*keys, "name", "id", "_dense", "_b").repartition(n, *keys, "_b")
+    own = settle(cut.groupBy(*keys, "_b").applyInPandas(inside, ", ".join([*([key_ddl(l, keys)] if keys else []), "name string", "id bigint, _dense boolean, root bigint"])), "blocks")
+    across = settle(_block_pairs(own, None, keys, ["root"]).filter("_i <> _j").groupBy(*keys, "_i", "_j").applyInPandas(between, "u bigint, v bigint"), "block-links")
+    return own.select(F.col("id").alias("u"), F.col("root").alias("v")).unionAll(across)
+
+
 class NameList:
     """Running list of chat names. ``offer`` puts a reading where it belongs: nowhere if it was met before or
     repeats an item of the previous screen, over a shorter reading among the last ``window`` names, or at
