@@ -563,6 +563,52 @@ def merge_round_names(readings: DataFrame, keys: list[str], window: int = 16, wi
     return listed.select(*keys, F.lit("name").alias("what"), "no", "name", F.lit(None).cast("int").alias("new")).unionAll(rounds)
 
 
+class _FirstInBlock:
+    """A block of names, then the names of a table in order: each name with the first whose reading it is. What has found one is compared no further."""
+
+    STEP = 512
+
+    def __init__(self):
+        self.left, self.tokens, self.block = [], Tokens(), None
+
+    def run(self, columns):
+        turn, name, _ = columns
+        asked = int((turn == 0).sum())
+        self.left += name[:asked].tolist()
+        out = ([], [])
+        for s in range(asked, len(name), self.STEP):
+            if not self.left:
+                break
+            if self.block is None:
+                self.block = Block(self.left, self.tokens)
+            table, found = Block(name[s:s + self.STEP].tolist(), self.tokens), {}
+            for i, j in possible(self.block, table):
+                for a, b in zip(i.tolist(), j.tolist()):
+                    if a not in found and same_reading(self.left[a], table.names[b]):
+                        found[a] = b
+            if found:
+                for a, b in found.items():
+                    out[0].append(self.left[a])
+                    out[1].append(table.names[b])
+                self.left, self.block = [n for a, n in enumerate(self.left) if a not in found], None
+        return list(out) if out[0] else None
+
+    def end(self):
+        return []
+
+
+def _first_in_blocks(misses: DataFrame, table: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """(name, other): the first variant of each dense name among the dense names of ``table``, by ``_at`` of ``first``. A task has a block of names
+    and walks the table of their list, which is copied once a block, until all have found theirs."""
+    a = _in_blocks(misses, keys, "_blocks", 2 * BLOCK)
+    b = table.filter("_dense").select(*keys, "name").join(first.select(*keys, "name", "_at").hint("merge"), [*keys, "name"])
+    copies = _by_list(b, a.select(*keys, "_blocks").distinct(), keys).select(
+        *keys, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), F.lit(1).alias("_turn"), "name", "_at")
+    rows = a.select(*keys, "_b", F.lit(0).alias("_turn"), "name", F.lit(None).cast(b.schema["_at"].dataType).alias("_at")).unionAll(copies)
+    found = fold_sorted(rows, [*keys, "_b"], ["_turn", "_at", "name"], _FirstInBlock, f"{key_ddl(rows, [*keys, '_b'])}, name string, other string")
+    return found.drop("_b")
+
+
 class _FirstVariant:
     """The first of the names that come in order whose reading ``name``, the last key, is. Nothing behind it is compared."""
 
@@ -595,8 +641,13 @@ def resolve_exact_then_variant(names: DataFrame, table: DataFrame, keys: list[st
     # structs, so that a row without an order comes first instead of being left out
     pick = F.min_by(F.struct(F.col("name").alias("matched"), *cols), F.struct(order))
     first = table.groupBy(*keys, "name").agg(F.min(F.struct(F.col(order).alias("at")))["at"].alias("_at"), pick.alias("_v"))
-    near = candidate_pairs(misses, table, keys).join(first.select(*keys, F.col("name").alias("other"), "_at").hint("merge"), [*keys, "other"])
+    l, r, crowded = _sides(misses, table.select(*keys, "name"), keys)
+    at = first.select(*keys, F.col("name").alias("other"), "_at").hint("merge")
+    near = _sparse_pairs(l, r, keys).join(at, [*keys, "other"])
     found = fold_sorted(near.select(*keys, "name", "_at", "other"), [*keys, "name"], ["_at", "other"], _FirstVariant, f"{key_ddl(near, [*keys, 'name'])}, other string")
+    if crowded:
+        found = found.unionByName(_first_in_blocks(l, r, first, keys)).join(at, [*keys, "other"])
+        found = found.groupBy(*keys, "name").agg(F.min_by("other", F.struct("_at", "other")).alias("other"))
     found = found.join(first.select(*keys, F.col("name").alias("other"), "_v").hint("merge"), [*keys, "other"]).drop("other")
     out = exact.join(found, [*keys, "name"], "left")
     for c in ["matched", *value]:
