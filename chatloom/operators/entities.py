@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.grid import Block, Shelf, Tokens, linked, possible
-from ..functions.similarity import either_way, name_variant, same_reading, variant_of_any
+from ..functions.similarity import Gathered, either_way, name_variant, same_reading, traits, variant_of_any
 from ..functions.text import characters, norm_name
 from ..session import settle, shared_dir
 from .scan import SCREENS_PER_SLICE, fold_sorted, key_ddl, null_safe_join, slice_of
@@ -454,20 +454,40 @@ class NameList:
     def __init__(self, window: int, names: list[str] | None = None, met=None):
         self.window, self.names = window, names if names is not None else []
         self.met = met if met is not None else set()
+        self.gone = 0       # names that were dropped in front of these
+        self.recent = Gathered((i, n) for i, n in enumerate(self.names) if i >= len(self.names) - window)
+        self.screen, self.shown = None, Gathered()
 
     def offer(self, name: str, before: list[str]) -> bool:
-        """Whether the reading is a chat not met so far."""
-        if not name or name in self.met:
-            return False
-        if name in before or any(same_reading(name, b) for b in before):
-            return False
-        recent = range(len(self.names))[-self.window:]
-        place = next((i for i in recent if same_reading(name, self.names[i])), len(self.names))
-        grown = place == len(self.names)
-        if grown or len(self.names[place]) < len(name):
-            self.names[place:place + 1] = [name]
-            self.met.add(name)
-        return grown
+        """Whether the reading is a chat not met so far. ``before`` stays as it is while it is the same list."""
+        place = self.place(name, before)
+        return place is not None and place[1]
+
+    def place(self, name: str, before: list[str]) -> tuple[int, bool] | None:
+        """Where the reading was put, and whether that made the list longer."""
+        if not name or name in before or name in self.met:
+            return None
+        if before is not self.screen:
+            self.screen, self.shown = before, Gathered((i, b) for i, b in enumerate(before) if b)
+        mine = traits(name)
+        if any(same_reading(name, before[i]) for i in self.shown.near(mine)):
+            return None
+        count = len(self.names)
+        at = next((no - self.gone for no in self.recent.near(mine) if same_reading(name, self.names[no - self.gone])), count)
+        if at < count and len(self.names[at]) >= len(name):
+            return None
+        self.names[at:at + 1] = [name]
+        self.recent.drop(at + self.gone if at < count else count + self.gone - self.window)
+        self.recent.add(at + self.gone, mine)
+        self.met.add(name)
+        return at, at == count
+
+    def forget(self) -> int:
+        """Drop what is no longer among the last names; how many."""
+        gone = max(0, len(self.names) - self.window)
+        del self.names[:gone]
+        self.gone += gone
+        return gone
 
 
 class _Piece:

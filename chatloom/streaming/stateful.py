@@ -1,14 +1,16 @@
 """Operators with their own state: overlap removal, label carry and the running name list.
 
 Overlap removal keeps the texts of the last two screens, labels one time, names the last sixteen and every name that was put
-on the list. Rows of a key are put in screen order inside a batch; screens must arrive in order across batches. Overlap
+on the list, in buckets. Rows of a key are put in screen order inside a batch; screens must arrive in order across batches. Overlap
 removal hands out what comes too late with ``late = true``; labels and names take late rows as they come, without a mark.
 """
 
 from __future__ import annotations
 
+import zlib
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,30 +128,41 @@ class _Names(StatefulProcessor):
         self.recent = handle.getListState("recent", name)
         self.before = handle.getListState("before", name)
         self.now = handle.getListState("now", name)
+        # names that an earlier form of this operator put on the list, one by one
         self.seen = handle.getMapState("seen", name, T.StructType([T.StructField("n", T.IntegerType())]))
+        self.put = handle.getMapState("put", T.StructType([T.StructField("bucket", T.LongType())]),
+                                      T.StructType([T.StructField("names", T.ArrayType(T.StringType()))]))
+        self.many = handle.getValueState("many", T.StructType([T.StructField("n", T.LongType())]))
         self.at = handle.getValueState("at", T.StructType([
             T.StructField("screen", T.LongType()), T.StructField("names", T.LongType())]))
 
     def handleInputRows(self, key, rows, timers):
-        recent = [r[0] for r in self.recent.get()]
-        before, now = [r[0] for r in self.before.get()], [r[0] for r in self.now.get()]
-        screen, count = self.at.get() or (None, 0)
-        offset, seen, changed = count - len(recent), _Seen(self.seen), {}
-        for at, _, name in _batch(rows, ["screen_idx", "pos"], ["screen_idx", "pos", "name"]):
-            if at != screen:
-                before, now, screen = now, [], int(at)
-            now.append(name)
-            old = list(recent)
-            NameList(self.window, recent, seen).offer(name, before)
-            for i, n in enumerate(recent):
-                if i >= len(old) or n != old[i]:
-                    changed[offset + i] = n
-            if len(recent) > self.window:
-                offset += len(recent) - self.window
-                recent = recent[-self.window:]
-        for state, names in ((self.recent, recent), (self.before, before), (self.now, now)):
+        met, recent, before, now, screen, count = _Met(self.put, 0), [], [], [], None, 0
+        known = self.at.get()
+        if known:
+            many = self.many.get()
+            met = _Met(self.put, many[0] if many else 0, self.seen if self.seen.exists() else None)
+            recent, before, now = ([r[0] for r in state.get()] for state in (self.recent, self.before, self.now))
+            screen, count = known
+        offset, listed, changed = count - len(recent), NameList(self.window, recent, met), {}
+        batch = pd.concat([pdf[["screen_idx", "pos", "name"]] for pdf in rows], ignore_index=True)
+        batch = batch.iloc[np.lexsort((batch["pos"].to_numpy(), batch["screen_idx"].to_numpy()))]
+        for start in range(0, len(batch), 1 << 16):
+            part = batch.iloc[start:start + (1 << 16)]
+            for at, name in zip(part["screen_idx"].tolist(), part["name"].tolist()):
+                if at != screen:
+                    before, now, screen = now, [], int(at)
+                now.append(name)
+                place = listed.place(name, before)
+                if place is not None:
+                    changed[offset + place[0]] = name
+                    if place[1]:
+                        offset += listed.forget()
+        for state, names in ((self.recent, listed.names), (self.before, before), (self.now, now)):
             state.put([(n,) for n in names]) if names else state.clear()
-        self.at.update((screen, offset + len(recent)))
+        self.at.update((screen, offset + len(listed.names)))
+        if met.new:
+            self.many.update((met.write(),))
         if changed:
             yield pd.DataFrame([(*key, i, n) for i, n in sorted(changed.items())],
                                columns=[f"k{i}" for i in range(len(key))] + ["no", "name"])
@@ -158,17 +171,67 @@ class _Names(StatefulProcessor):
         pass
 
 
-class _Seen:
-    """Set view of a map state."""
-
-    def __init__(self, state):
-        self.state = state
-
-    def __contains__(self, name):
-        return self.state.containsKey((name,))
-
-    def add(self, name):
-        self.state.updateValue((name,), (1,))
+class _Met:
+    """The names that were put on a list, as a set over buckets of names in the state: one call reads or writes a bucket, and there are as many
+    buckets as keep them short (linear hashing: a batch that adds names splits only as many buckets as it needs). ``many`` names are in
+    the state already; what a batch adds is written at its end."""
+
+    FULL, HELD = 64, 4096
+
+    def __init__(self, state, many: int, older=None):
+        self.state, self.many, self.older = state, many, older
+        self.buckets, self.new, self.read = self._wanted(many), set(), {}
+
+    def _wanted(self, many: int) -> int:
+        return -(-many // self.FULL)
+
+    @staticmethod
+    def _home(name: str, buckets: int) -> int:
+        """Bucket of a name; a bucket that is not there yet is still part of the one half as far."""
+        h, full = zlib.crc32(name.encode("utf-8", "surrogatepass")), 1 << (buckets - 1).bit_length()
+        return h % full if h % full < buckets else h % (full // 2)
+
+    def _bucket(self, no: int) -> list[str]:
+        if no not in self.read:
+            if len(self.read) >= self.HELD:
+                self.read.clear()
+            found = self.state.getValue((no,))
+            self.read[no] = list(found[0]) if found else []
+        return self.read[no]
+
+    def __contains__(self, name) -> bool:
+        if name in self.new:
+            return True
+        if self.many and name in self._bucket(self._home(name, self.buckets)):
+            return True
+        return self.older is not None and self.older.containsKey((name,))
+
+    def add(self, name: str) -> None:
+        self.new.add(name)
+
+    def write(self) -> int:
+        """Put what is new into the state; how many names that makes."""
+        total = self.many + len(self.new)
+        wanted, homes = self._wanted(total), {}
+        for n in self.new:
+            homes.setdefault(self._home(n, wanted), []).append(n)
+        # a bucket that is split deals its names out, maybe to several that are new
+        split = {self._parent(no) for no in range(max(1, self.buckets), wanted)} if self.buckets else set()
+        for no in sorted(split):
+            dealt = {no: []}
+            for n in self._bucket(no):
+                dealt.setdefault(self._home(n, wanted), []).append(n)
+            for to, names in dealt.items():
+                self.state.updateValue((to,), (names + homes.pop(to, []),))
+        for no, names in homes.items():
+            self.state.updateValue((no,), ([*(self._bucket(no) if no < self.buckets else ()), *names],))
+        return total
+
+    def _parent(self, no: int) -> int:
+        """The bucket of now that holds the names of one that is not there yet."""
+        while no >= self.buckets:
+            no -= 1 << (no.bit_length() - 1)
+        return no
 
 
 def stream_merge_names(stream: DataFrame, keys: list[str], window: int = 16) -> DataFrame:

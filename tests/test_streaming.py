@@ -162,3 +162,68 @@ def test_batches_are_dealt_into_files_that_are_never_empty(spark, tmp_path):
         part.unionAll(part.filter("id % 3 = 0")).repartition(files).write.parquet(str(tmp_path / f"{no}"))
         assert len(list((tmp_path / f"{no}").glob("*.parquet"))) == files
     assert files == 4 and batch_files(rows, [150, 3]) == 1 and batch_files(rows, [10**6]) == 8 and batch_files(rows, []) == 8
+
+
+class Calls:
+    """A map state that counts what is asked of it."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.kept[key] = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.kept
+
+
+def test_names_on_a_list_are_kept_in_buckets():
+    """Batch after batch the state holds every name once, where it is looked for, and is asked far less often than once a name."""
+    state, many, all_names = Calls(), 0, []
+    for batch, size in enumerate([1, 5, 700, 0, 64, 3000, 1]):
+        met = sf._Met(state, many)
+        names = [f"群{batch}-{i}" for i in range(size)]
+        assert all(n in met for n in all_names[::7]) and not any(n in met for n in names)
+        for n in names:
+            met.add(n)
+        assert all(n in met for n in names)
+        before = state.calls
+        many = met.write() if met.new else many
+        assert state.calls - before <= 2 + 4 * size // 64 + min(size, len(state.kept)) * 2
+        all_names += names
+        assert many == len(all_names) and sorted(n for v in state.kept.values() for n in v[0]) == sorted(all_names)
+    assert len(state.kept) <= many // 32 and max(len(v[0]) for v in state.kept.values()) < 300
+    old = Calls()
+    old.updateValue(("früher",), (1,))
+    assert "früher" in sf._Met(state, many, old) and "später" not in sf._Met(state, many, old)
+
+
+def test_a_first_batch_asks_the_state_once_a_bucket():
+    class Handle:
+        def __init__(self):
+            self.maps = {}
+
+        def getMapState(self, name, *types):
+            return self.maps.setdefault(name, Calls())
+
+        def getListState(self, name, *types):
+            return types and type("L", (), {"put": lambda *a: None, "clear": lambda *a: None, "get": lambda *a: iter(())})()
+
+        def getValueState(self, name, *types):
+            return type("V", (), {"get": lambda *a: None, "update": lambda *a: None})()
+
+    import pandas as pd
+
+    names = [f"{chr(0x4e00 + i)}{chr(0x6e00 + i)}{chr(0x8000 + i)}" for i in range(4000)]
+    handle, op = Handle(), sf._Names(16)
+    op.init(handle)
+    rows = pd.DataFrame({"screen_idx": [i // 20 for i in range(4000)], "pos": range(4000), "name": names}).sample(frac=1, random_state=1)
+    (out,) = op.handleInputRows(("l",), iter([rows[:1500], rows[1500:]]), None)
+    assert out["name"].tolist() == names and out["no"].tolist() == list(range(4000))
+    assert sum(m.calls for m in handle.maps.values()) <= 4000 // 16
