@@ -295,7 +295,9 @@ def _sparse_pairs(l: DataFrame, r: DataFrame | None, keys: list[str]) -> DataFra
 
 def variant_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[str] = []) -> DataFrame:
     """Pairs where ``name`` (left) is a variant of ``other`` (right)."""
-    return _spread(candidate_pairs(left, right, keys)).filter(name_variant("name", "other"))
+    l, r, crowded = _sides(left, right, keys)
+    near = _spread(_sparse_pairs(l, r, keys)).filter(name_variant("name", "other"))
+    return near.unionByName(_pairs_in_blocks(l, r, keys, lambda xs, ys: list(map(same_reading, xs, ys)))) if crowded else near
 
 
 def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
