@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.grid import Block, Shelf, Tokens, linked, possible
+from ..functions.grid import Block, Shelf, Texts, Tokens, linked, possible
 from ..functions.similarity import Gathered, either_way, name_variant, same_reading, traits, variant_of_any
 from ..functions.text import characters, norm_name
 from ..session import settle, shared_dir
@@ -188,24 +188,24 @@ def _crowded(sides: list[DataFrame], keys: list[str]) -> list[DataFrame]:
     return [flagged(l, under[:1]), flagged(r, under[1:])]
 
 
-def _in_blocks(d: DataFrame, keys: list[str], as_: str, width: int = BLOCK) -> DataFrame:
+def _in_blocks(d: DataFrame, keys: list[str], as_: str, width: int | None = None) -> DataFrame:
     """Dense names with the block ``_b`` they are in, of ``as_`` blocks of about ``width`` on their list."""
     d = d.filter("_dense")
-    d = _by_list(d, d.groupBy(*keys).agg(F.ceil(F.count("*") / width).cast("int").alias(as_)), keys)
+    d = _by_list(d, d.groupBy(*keys).agg(F.ceil(F.count("*") / (width or BLOCK)).cast("int").alias(as_)), keys)
     return d.withColumn("_b", F.pmod(F.xxhash64("name", F.lit(as_)), F.col(as_)).cast("int"))
 
 
-def _block_pairs(l: DataFrame, r: DataFrame | None, keys: list[str], more: list[str] = []) -> DataFrame:
+def _block_pairs(l: DataFrame, r: DataFrame | None, keys: list[str], more: list[str] = [], width: int | None = None) -> DataFrame:
     """Names once for each pair of blocks (``_i``, ``_j``) that theirs is in; ``_side`` says in which place. Within one table each pair of blocks comes
     once, and one of a block with itself has it in the first place only. A pair of blocks is small and costs much: the number of partitions is fixed."""
     n = int(l.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias("_o")
-    a = _in_blocks(l, keys, "_blocks")
+    a = _in_blocks(l, keys, "_blocks", width)
     if r is None:
         rows = a.select(*keys, "name", *more, "_b", each("_blocks")).select(
             *keys, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), (F.col("_b") > F.col("_o")).alias("_side"), "name", *more)
     else:
-        b = _in_blocks(r, keys, "_others")
+        b = _in_blocks(r, keys, "_others", width)
         of = lambda d, as_: d.select(*keys, as_).distinct()
         rows = _by_list(a, of(b, "_others"), keys).select(*keys, "_b", "name", *more, each("_others")).select(*keys, F.col("_b").alias("_i"), F.col("_o").alias("_j"), F.lit(False).alias("_side"), "name", *more)
         rows = rows.unionAll(_by_list(b, of(a, "_blocks"), keys).select(*keys, "_b", "name", *more, each("_blocks")).select(
@@ -213,29 +213,33 @@ def _block_pairs(l: DataFrame, r: DataFrame | None, keys: list[str], more: list[
     return rows.repartition(n, *keys, "_i", "_j")
 
 
-def _pairs_in_blocks(l: DataFrame, r: DataFrame | None, keys: list[str], test) -> DataFrame:
-    """(name, other) pairs of dense names that pass ``test(first names, second names)``, a list of truths. They are formed and tested inside
+def _pairs_in_blocks(l: DataFrame, r: DataFrame | None, keys: list[str], scored: bool) -> DataFrame:
+    """(name, other) pairs of dense names, those that can be variants or, ``scored``, those that are. They are formed and scored inside
     a task, each once, and never shuffled. Within one table they come both ways round."""
     within = r is None
 
     def run(pdf):
-        import pandas as pd
+        import numpy as np
 
-        at, tokens, out = [pdf[k].iloc[0] for k in keys], Tokens(), ([], [])
+        tokens, out = Tokens(), [[np.zeros(0, dtype=object)] for _ in range(2)]
         first = Block(pdf["name"][~pdf["_side"]].tolist(), tokens)
         itself = within and pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
         second = first if itself else Block(pdf["name"][pdf["_side"]].tolist(), tokens)
+        xs, ys = (np.array(b.names, dtype=object) for b in (first, second))
+        texts = Texts(first, second) if scored else None
         for i, j in possible(first, second, later=itself):
-            xs, ys = [first.names[a] for a in i.tolist()], [second.names[b] for b in j.tolist()]
-            for one, other in ((xs, ys), (ys, xs)) if within else ((xs, ys),):
-                for x, y, hit in zip(one, other, test(one, other)):
-                    if hit and x != y:
-                        out[0].append(x)
-                        out[1].append(y)
-        return pd.DataFrame({**{k: [v] * len(out[0]) for k, v in zip(keys, at)}, "name": out[0], "other": out[1]})
+            differ = xs[i] != ys[j]
+            hits = texts.same(i, j) if scored else (differ, differ)
+            for hit, one, other in ((hits[0], xs[i], ys[j]), (hits[1], ys[j], xs[i]))[:1 + within]:
+                out[0].append(one[hit & differ])
+                out[1].append(other[hit & differ])
+        name, other = (np.concatenate(o) for o in out)
+        # the key columns are repeated, so that they keep their type where nothing is found
+        return pdf[keys].iloc[np.zeros(len(name), dtype=np.int64)].reset_index(drop=True).assign(name=name, other=other)
 
     schema = ", ".join([*([key_ddl(l, keys)] if keys else []), "name string", "other string"])
-    return _block_pairs(l, r, keys).groupBy(*keys, "_i", "_j").applyInPandas(run, schema)
+    # half as wide: all pairs of two blocks may be variants
+    return _block_pairs(l, r, keys, width=BLOCK // 2).groupBy(*keys, "_i", "_j").applyInPandas(run, schema)
 
 
 def _meet(l: DataFrame, r: DataFrame, keys: list[str], apart: Column, extra: list[str] = [], hubs: bool = False) -> DataFrame:
@@ -273,7 +277,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[
     ``left`` if ``right`` is not given. Loses none; ``tests/test_entities.py`` checks it against all pairs."""
     l, r, crowded = _sides(left, right, keys)
     near = _sparse_pairs(l, r, keys)
-    return near.unionByName(_pairs_in_blocks(l, r, keys, lambda xs, ys: [True] * len(xs))) if crowded else near
+    return near.unionByName(_pairs_in_blocks(l, r, keys, scored=False)) if crowded else near
 
 
 def _sides(left: DataFrame, right: DataFrame | None, keys: list[str]) -> tuple[DataFrame, DataFrame | None, bool]:
@@ -297,7 +301,7 @@ def variant_pairs(left: DataFrame, right: DataFrame | None = None, keys: list[st
     """Pairs where ``name`` (left) is a variant of ``other`` (right)."""
     l, r, crowded = _sides(left, right, keys)
     near = _spread(_sparse_pairs(l, r, keys)).filter(name_variant("name", "other"))
-    return near.unionByName(_pairs_in_blocks(l, r, keys, lambda xs, ys: list(map(same_reading, xs, ys)))) if crowded else near
+    return near.unionByName(_pairs_in_blocks(l, r, keys, scored=True)) if crowded else near
 
 
 def components(nodes: DataFrame, edges: DataFrame, id_col: str = "id") -> DataFrame:
